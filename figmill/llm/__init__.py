@@ -1 +1 @@
-
+"""Text operators for training-data pipelines. Nothing outside this subpackage imports it."""
