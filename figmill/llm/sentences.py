@@ -6,7 +6,7 @@ import re
 
 #: Marks that break a word at a line end.
 BREAK_MARKS = "-‐‑¬­"
-_JOIN = re.compile(rf"(?<=[^\W\d_])[{BREAK_MARKS}][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
+_JOIN = re.compile(rf"(?<=[^\W\d_])[{BREAK_MARKS}][ \t]*\r?\n[ \t]*(?!(?:and|or|und|oder|y|o)\b)(?=[^\W\d_])")
 _NUMBER_LINE = re.compile(r"^\W*(?:p\.|page|s)?\s*\d+\s*(?:(?:/|of)\s*\d+)?\W*$", re.I)
 _BLOCK_LINE = re.compile(r"^(?:[|{}<>#=]|R-H|-{3,}|\W*$)|\t|[{}]|^[^ ]+\([^)]*\)|^\w+ = |->|^(?:ok )?[^\w\s\"'“(\[-]")
 _END = re.compile(r"(?<=[.!?])[\"')\]]?\s+(?=[^\sa-zäöüß])|(?<=[。！？])")
