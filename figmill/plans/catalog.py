@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from figmill.plans import training
+from figmill.plans import figures, training
 
-MODULES = [training]
+MODULES = [training, figures]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
