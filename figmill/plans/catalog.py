@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from figmill.plans import figures, training
+from figmill.plans import figures, tables, training
 
-MODULES = [training, figures]
+MODULES = [training, figures, tables]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
