@@ -20,6 +20,7 @@ repeated documents get rows each; ties between subjects go to the lower id.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from figmill.llm.sentences import sentences
 
-FIT_DOCUMENTS = 8000
+FIT_DOCUMENTS = 6000
 ROUNDS, LEAK, SHARE = 12, 0.03, 0.25
 #: A term speaks for a subject that explains at least this share of it; a sentence needs this much of such terms.
 SPECIFIC, LEAST_LOAD = 0.6, 0.9
+#: Occurrences of terms that an update handles at once.
+CHUNK = 200_000
 _WORD = re.compile(r"[一-鿿]+|[^\W\d_][^\W_]*(?:[-'][^\W_]+)*")
 
 
@@ -117,37 +120,44 @@ def fit(texts: list[tuple[str, dict[int, int]]], descriptions: dict[int, str], r
     subjects = sorted(descriptions)
     place = {s: i for i, s in enumerate(subjects)}
     k = len(subjects) + 1
-    rows: list[list[str]] = []
-    allowed: list[np.ndarray] = []
-    for text, labels in texts:
-        weight = np.full(k, LEAK)
+    weights: list[np.ndarray] = []
+    owner: list[int] = []  # of each sentence, the row of weights
+
+    def lines() -> Iterator[tuple[int, str]]:
+        for i, (text, _) in enumerate(texts):
+            for s in sentences(text):
+                yield i, s
+        for j, s in enumerate(subjects):
+            yield len(texts) + j, descriptions[s]
+
+    for _, labels in [*texts, *(("", {s: 1}) for s in subjects)]:
+        weight = np.full(k, LEAK, dtype=np.float32)
         total = sum(labels.values()) or 1
         for s, n in labels.items():
             if s in place:
                 weight[place[s]] = n / total
         weight[-1] = 1.0
-        for s in sentences(text):
-            rows.append(terms(s))
-            allowed.append(weight)
-    for s, d in descriptions.items():
-        weight = np.full(k, LEAK)
-        weight[place[s]] = 1.0
-        rows.append(terms(d))
-        allowed.append(weight)
-    seen = Counter(t for r in rows for t in set(r))
+        weights.append(weight)
+    seen: Counter[str] = Counter()
+    for _, s in lines():
+        seen.update(set(terms(s)))
     vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in seen.items() if n > 1 or len(texts) < 500))}
+    del seen
     v = len(vocabulary)
-    at, term = [], []
-    for i, r in enumerate(rows):
-        for t in r:
+    # two numbers for each occurrence of a term; texts and terms themselves aren't kept
+    at_l, term_l = array("i"), array("i")
+    for doc, s in lines():
+        for t in terms(s):
             j = vocabulary.get(t)
             if j is not None:
-                at.append(i)
-                term.append(j)
-    at_, term_ = np.array(at, int), np.array(term, int)
-    s = np.array(allowed) if allowed else np.zeros((0, k))
+                at_l.append(len(owner))
+                term_l.append(j)
+        owner.append(doc)
+    at_, term_ = np.frombuffer(at_l, dtype=np.int32), np.frombuffer(term_l, dtype=np.int32)
+    s = np.stack(weights)[owner]
+    allowed = np.where(s > LEAK, np.float32(1.0), np.float32(LEAK))
     # anchors: terms by how much more a subject's documents use them than others do; the background by evenness
-    use = np.stack([np.bincount(term_, weights=np.where(s[at_, c] > LEAK, s[at_, c], 0.0), minlength=v) for c in range(k - 1)])
+    use = np.stack([np.bincount(term_, weights=np.where(s[:, c] > LEAK, s[:, c], 0.0)[at_], minlength=v) for c in range(k - 1)])
     p = (use + 0.02) / (use.sum(axis=1, keepdims=True) + 0.02 * max(v, 1))
     lift = p / np.maximum(p.mean(axis=0), 1e-12)
     q = p / np.maximum(p.sum(axis=0), 1e-12)
@@ -156,15 +166,21 @@ def fit(texts: list[tuple[str, dict[int, int]]], descriptions: dict[int, str], r
     shared = (spread >= 3.0) & (np.bincount(term_, minlength=v) >= 6)
     general = np.clip((spread - 2.5) / 1.5, 0.03, 1.0)
     h = np.concatenate([p * np.clip(lift - 1.2, 0.02, None), (p.mean(axis=0) * 4 * general)[None, :]]) + 1e-12
-    h /= h.sum(axis=1, keepdims=True) if v else 1
+    h = (h / h.sum(axis=1, keepdims=True)).astype(np.float32) if v else h
+    n = len(owner)
     for _ in range(rounds if v else 0):
-        part = s[at_] * h[:, term_].T
-        part /= part.sum(axis=1, keepdims=True) + 1e-12
-        own = np.stack([np.bincount(at_, weights=part[:, c], minlength=len(rows)) for c in range(k)], axis=1) + 1e-3
-        s = np.where(np.array(allowed) > LEAK, 1.0, LEAK) * own / own.sum(axis=1, keepdims=True)
-        h = np.stack([np.bincount(term_, weights=part[:, c], minlength=v) for c in range(k)]) + 1e-3
-        h /= h.sum(axis=1, keepdims=True)
-    return Model(subjects, vocabulary, h, shared)
+        own, grown = np.full((n, k), 1e-3), np.full((k, v), 1e-3)
+        for lo in range(0, len(at_), CHUNK):  # the factors' products of one chunk of occurrences at a time
+            a, t = at_[lo : lo + CHUNK], term_[lo : lo + CHUNK]
+            part = s[a] * h[:, t].T
+            part /= part.sum(axis=1, keepdims=True) + 1e-12
+            first, last = int(a[0]), int(a[-1]) + 1
+            for c in range(k):
+                own[first:last, c] += np.bincount(a - first, weights=part[:, c], minlength=last - first)
+                grown[c] += np.bincount(t, weights=part[:, c], minlength=v)
+        s = (allowed * own / own.sum(axis=1, keepdims=True)).astype(np.float32)
+        h = (grown / grown.sum(axis=1, keepdims=True)).astype(np.float32)
+    return Model(subjects, vocabulary, h.astype(np.float64), shared)
 
 
 def train(docs: DataFrame, labels: DataFrame, areas: DataFrame, limit: int = FIT_DOCUMENTS) -> Model:
