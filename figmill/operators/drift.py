@@ -22,6 +22,7 @@ from __future__ import annotations
 import difflib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -62,23 +63,21 @@ def _shape(s: str) -> str:
     return out
 
 
-def add_to_sketch(sketch: dict[int, int], v: object, depth: int = 0) -> None:
-    """Count one value: numbers by magnitude, texts by shape, words and length, nested values by their leaves."""
-    t = json_type(v)
-    if t == "number":
-        if math.isfinite(v):
-            b = min(NUMBER_BINS - 1, int(NUMBER_BINS / 2 + math.copysign(4 * math.log2(1 + abs(v) / 1.5), v) / 2))
-            sketch[max(0, b)] = sketch.get(max(0, b), 0) + 1
-    elif t == "string" and v:
-        words = [w for w in _words(v) if not w.isdigit()][:8]
-        for key in {_shape(v), *words, *(w[:4] for w in words)}:
-            b = NUMBER_BINS + _hash(key) % SHAPE_BINS
-            sketch[b] = sketch.get(b, 0) + 1
-        b = NUMBER_BINS + SHAPE_BINS + min(LENGTH_BINS - 1, int(2 * math.log2(1 + len(v))))
+@lru_cache(200_000)
+def _text_bins(v: str) -> tuple[int, ...]:
+    words = [w for w in _words(v) if not w.isdigit()][:8]
+    return (*{NUMBER_BINS + _hash(key) % SHAPE_BINS for key in {_shape(v), *words, *(w[:4] for w in words)}}, NUMBER_BINS + SHAPE_BINS + min(LENGTH_BINS - 1, int(2 * math.log2(1 + len(v)))))
+
+
+def add_to_sketch(sketch: dict[int, int], v: object) -> None:
+    """Count one plain value: numbers by magnitude, texts by shape, words and length."""
+    if isinstance(v, str):
+        if v:
+            for b in _text_bins(v):
+                sketch[b] = sketch.get(b, 0) + 1
+    elif not isinstance(v, bool) and isinstance(v, (int, float)) and math.isfinite(v):
+        b = max(0, min(NUMBER_BINS - 1, int(NUMBER_BINS / 2 + math.copysign(4 * math.log2(1 + abs(v) / 1.5), v) / 2)))
         sketch[b] = sketch.get(b, 0) + 1
-    elif t in ("array", "object") and depth < 4:
-        for x in (v if t == "array" else v.values()):
-            add_to_sketch(sketch, x, depth + 1)
 
 
 class Baseline:
@@ -92,6 +91,7 @@ class Baseline:
             self.children.setdefault(parent(p), []).append(p)
 
 
+@lru_cache(100_000)
 def parent(path: str) -> str:
     return path[:-2] if path.endswith("[]") else path.rpartition(".")[0]
 
@@ -204,10 +204,10 @@ def pair_weight(base_path: str, base_type: str, base_sketch: np.ndarray, new_pat
     if not same_place and (name < 0.99 or "[]" in base_path or "[]" in new_path):
         return 0.0
     value = sketch_similarity(base_sketch, new_sketch)
+    if base_type in ("array", "object"):
+        return 0.6 * name + 0.4 * replaces
     if value is None:
         return 0.65 * name + 0.35 * replaces
-    if base_type in ("array", "object"):
-        return 0.5 * name + 0.15 * value + 0.35 * replaces
     return 0.3 * name + 0.35 * value + 0.35 * replaces
 
 
