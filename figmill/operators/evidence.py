@@ -28,7 +28,7 @@ def field_texts(f: str) -> Column:
     return F.filter(F.transform(f"text_evidence.{f}", lambda x: x["text"]), lambda t: t.isNotNull())
 
 
-def all_text(packets_col: None = None) -> Column:
+def all_text() -> Column:
     """All texts of a packet in one string."""
     return F.concat(*(F.coalesce(F.array_join(field_texts(f), ""), F.lit("")) for f in FIELDS))
 
@@ -97,15 +97,15 @@ def axis_titles(packets: DataFrame) -> DataFrame:
 
 
 def fused(packets: DataFrame, names: DataFrame, conditions: dict[str, str]) -> DataFrame:
-    """packet_id, point_no, attr, value: points in long form, columns named by the axis titles, names resolved, the
+    """packet_id, point_no, attr, value, number: points in long form (texts in value, numbers in number), columns named by the axis titles, names resolved, the
     global conditions on every point. ``names`` (term, full) is a lookup of fixed size."""
     pts = points(packets).join(axis_titles(packets), "packet_id").join(F.broadcast(names), F.col("series") == F.col("term"), "left")
-    num = lambda c: F.format_number(c, 4)
+    none = F.lit(None).cast("string")
+    text = lambda a, t: F.struct(a.alias("attr"), t.alias("value"), F.lit(None).cast("double").alias("number"))
+    num = lambda a, c: F.struct(a.alias("attr"), none.alias("value"), c.alias("number"))
     attrs = [
-        F.struct(F.lit("Series").alias("attr"), resolved(F.coalesce("series", F.lit("Unknown")), F.col("full")).alias("value")),
-        F.struct(F.col("x_title").alias("attr"), num(F.col("x")).alias("value")),
-        F.struct(F.col("y_title").alias("attr"), num(F.col("y_left")).alias("value")),
-        *(F.struct(F.lit(f"Condition: {k}").alias("attr"), F.lit(c).alias("value")) for k, c in conditions.items()),
-    ]
-    data = F.when(F.col("y_right").isNotNull(), F.array(F.struct(F.lit("Data_Value").alias("attr"), num(F.col("y_right")).alias("value")))).otherwise(F.array().cast("array<struct<attr: string, value: string>>"))
-    return pts.select("packet_id", "point_no", F.explode(F.concat(F.array(*attrs), data)).alias("a")).select("packet_id", "point_no", "a.attr", "a.value")
+        text(F.lit("Series"), resolved(F.coalesce("series", F.lit("Unknown")), F.col("full"))), num(F.col("x_title"), F.col("x")), num(F.col("y_title"), F.col("y_left")),
+        *(text(F.lit(f"Condition: {k}"), F.lit(c)) for k, c in conditions.items()),
+    ]
+    data = F.when(F.col("y_right").isNotNull(), F.array(num(F.lit("Data_Value"), F.col("y_right")))).otherwise(F.array().cast("array<struct<attr: string, value: string, number: double>>"))
+    return pts.select("packet_id", "point_no", F.explode(F.concat(F.array(*attrs), data)).alias("a")).select("packet_id", "point_no", "a.attr", "a.value", "a.number")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from figmill.plans import figures, tables, training
+from figmill.plans import evidence, figures, tables, training
 
-MODULES = [training, figures, tables]
+MODULES = [training, figures, tables, evidence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
