@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from figmill.operators.shred import _words, load, packets_of
+from figmill.session import cut
 
 #: Numbers: bins of a signed logarithm. Texts: hashed shapes and words, then lengths.
 NUMBER_BINS, SHAPE_BINS, LENGTH_BINS = 48, 64, 12
@@ -96,25 +97,24 @@ def parent(path: str) -> str:
     return path[:-2] if path.endswith("[]") else path.rpartition(".")[0]
 
 
-def profile_file(base: Baseline, payload: str | None, sketches: bool = True) -> tuple[dict, set, set, set] | None:
+def profile_file(base: Baseline, payload: str | None) -> tuple[dict, set, set, set] | None:
     """(path -> [objects, type set, sketch], missing, new, retyped) of one file, or None where it has no cases."""
     root = load(payload)
     packets = packets_of(root)
     seen: dict[str, list] = {}
     holders: dict[str, int] = {}
 
-    def note(path: str, v: object, sketch: bool) -> str:
+    def note(path: str, v: object) -> str:
         t = json_type(v)
         e = seen.setdefault(path, [0, set(), {}])
         e[0] += 1
         e[1].add(t)
-        if sketch and sketches:
-            add_to_sketch(e[2], v)
+        add_to_sketch(e[2], v)
         return t
 
     def walk(path: str, v: object) -> None:
         want = base.types.get(path)
-        t = note(path, v, sketch=True)
+        t = note(path, v)
         if want is None or t != want:
             return
         if t == "object":
@@ -251,54 +251,28 @@ def _baseline(schema: DataFrame) -> Baseline:
     return Baseline([(r.field_path, r.json_type, bool(r.required)) for r in schema.select("field_path", "json_type", "required").collect()])
 
 
-PROFILE = "file_id long, version string, path string, change string, types array<string>, objects long, sketch array<long>"
+PASS = "path string, type string, files long, objects long, sketch array<long>, file_id long, missing array<string>, new array<string>, retyped array<string>, version string"
 
 
-def profiles(raw: DataFrame, schema: DataFrame) -> DataFrame:
-    """One row per file and observed or missing path with its types and value sketch;
-    ``change`` is missing, new, retyped or null; ``version`` names the file's set of missing and new fields."""
-    base = _baseline(schema)
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for fid, payload in zip(pdf.file_id, pdf.payload):
-                got = profile_file(base, payload)
-                if got is None:
-                    continue
-                seen, missing, new, retyped = got
-                version = "|".join(sorted(missing)) + " -> " + "|".join(sorted(new)) if missing and new else None
-                for p in sorted({*seen, *missing}):
-                    n, types, sk = seen.get(p, (0, set(), {}))
-                    change = "missing" if p in missing else "new" if p in new else "retyped" if p in retyped else None
-                    vec = np.zeros(BINS, dtype=np.int64)
-                    for b, c in sk.items():
-                        vec[b] = c
-                    rows.append((fid, version, p, change, sorted(types), n, vec))
-            yield pd.DataFrame(rows, columns=["file_id", "version", "path", "change", "types", "objects", "sketch"])
-
-    return raw.select("file_id", "payload").mapInPandas(run, PROFILE)
-
-
-def _summed(sketches: pd.Series) -> np.ndarray:
-    return np.sum(np.stack(sketches.to_list()), axis=0) if len(sketches) else np.zeros(BINS, dtype=np.int64)
-
-
-def sketch_table(raw: DataFrame, schema: DataFrame) -> DataFrame:
-    """path, types, files, objects, sketch: value sketches of every path over the whole corpus.
+def _one_pass(raw: DataFrame, schema: DataFrame) -> DataFrame:
+    """Payloads are parsed once: rows with a path are value sketches of a task, rows with a file_id the changes of a file.
 
-    Sketches are summed in each task before anything is shuffled, so a path that
-    all files hold costs one row per task. Retyped uses of a path do not count to it."""
+    Sketches are summed in each task before anything is shuffled, so a path that all files hold costs one row per task.
+    Retyped uses of a path do not count to it. The rows, few beside the payloads, are cut through the checkpoint folder."""
     base = _baseline(schema)
-    out = "path string, type string, files long, objects long, sketch array<long>"
+    names = ["path", "type", "files", "objects", "sketch", "file_id", "missing", "new", "retyped", "version"]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[str, str], list] = {}
         for pdf in it:
-            for payload in pdf.payload:
+            rows = []
+            for fid, payload in zip(pdf.file_id, pdf.payload):
                 got = profile_file(base, payload)
                 if got is None:
                     continue
+                if any(got[1:]):
+                    missing, new, retyped = map(sorted, got[1:])
+                    rows.append((None, None, None, None, None, fid, missing, new, retyped, "|".join(missing) + " -> " + "|".join(new) if missing and new else None))
                 for p, (n, types, sk) in got[0].items():
                     kinds = types - {"null"}
                     if len(kinds) > 1 or (p in base.types and kinds and kinds != {base.types[p]}):
@@ -308,9 +282,14 @@ def sketch_table(raw: DataFrame, schema: DataFrame) -> DataFrame:
                     e[1] += n
                     for b, c in sk.items():
                         e[2][b] += c
-        yield pd.DataFrame([(p, t, *e) for (p, t), e in total.items()], columns=["path", "type", "files", "objects", "sketch"])
+            yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame([(p, t, *e, None, None, None, None, None) for (p, t), e in total.items()], columns=names)
+
+    return cut(raw.select("file_id", "payload").mapInPandas(run, PASS))
 
-    part = raw.select("payload").mapInPandas(run, out)
+
+def _sketches(part: DataFrame) -> DataFrame:
+    part = part.where("path is not null")
     # few rows per task and path: their bins are added as rows of (path, bin)
     bins = part.select("path", F.posexplode("sketch").alias("bin", "n")).where("n > 0").groupBy("path", "bin").agg(F.sum("n").alias("n"))
     vec = bins.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
@@ -319,24 +298,18 @@ def sketch_table(raw: DataFrame, schema: DataFrame) -> DataFrame:
     return head.join(vec, "path", "left").select("path", "types", "files", "objects", filled.alias("sketch"))
 
 
-CHANGES = "file_id long, missing array<string>, new array<string>, retyped array<string>, version string"
+def _changes(part: DataFrame) -> DataFrame:
+    return part.where("file_id is not null").select("file_id", "missing", "new", "retyped", "version")
 
 
-def file_changes(raw: DataFrame, schema: DataFrame) -> DataFrame:
-    """One row per file that differs from the baseline: its missing, new and retyped fields and its version."""
-    base = _baseline(schema)
+def sketch_table(raw: DataFrame, schema: DataFrame) -> DataFrame:
+    """path, types, files, objects, sketch: value sketches of every path over the whole corpus."""
+    return _sketches(_one_pass(raw, schema))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for fid, payload in zip(pdf.file_id, pdf.payload):
-                got = profile_file(base, payload, sketches=False)
-                if got and any(got[1:]):
-                    missing, new, retyped = map(sorted, got[1:])
-                    rows.append((fid, missing, new, retyped, "|".join(missing) + " -> " + "|".join(new) if missing and new else None))
-            yield pd.DataFrame(rows, columns=["file_id", "missing", "new", "retyped", "version"])
 
-    return raw.select("file_id", "payload").mapInPandas(run, CHANGES)
+def file_changes(raw: DataFrame, schema: DataFrame) -> DataFrame:
+    """One row per file that differs from the baseline: its missing, new and retyped fields and its version."""
+    return _changes(_one_pass(raw, schema))
 
 
 def renames(changes: DataFrame, sketches: DataFrame, schema: DataFrame) -> DataFrame:
@@ -368,8 +341,9 @@ def renames(changes: DataFrame, sketches: DataFrame, schema: DataFrame) -> DataF
 
 def resolved(raw: DataFrame, schema: DataFrame) -> DataFrame:
     """file_changes with the renames of each file as a map from baseline to new path."""
-    changes = file_changes(raw, schema)
-    found_ = renames(changes, sketch_table(raw, schema), schema)
+    part = _one_pass(raw, schema)
+    changes = _changes(part)
+    found_ = renames(changes, _sketches(part), schema)
     maps = found_.groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct("base_path", "new_path"))).alias("renamed"))
     return changes.join(maps, "version", "left")
 
