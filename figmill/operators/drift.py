@@ -177,17 +177,21 @@ def name_similarity(a: str, b: str) -> float:
     return max(words, 0.8 * difflib.SequenceMatcher(None, "".join(wa), "".join(wb)).ratio())
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float | None:
-    """Overlap of two sketches, None where one of them holds no value."""
-    if a.sum() == 0 or b.sum() == 0:
+def sketch_similarity(base: np.ndarray, new: np.ndarray) -> float | None:
+    """Likeness of a new field's sketch to a baseline field's, None where one of them holds no value: the overlap of the
+    distributions, for few values rather the share that lies where the baseline has values."""
+    if base.sum() == 0 or new.sum() == 0:
         return None
     parts = []
     for lo, hi in ((0, NUMBER_BINS), (NUMBER_BINS, NUMBER_BINS + SHAPE_BINS), (NUMBER_BINS + SHAPE_BINS, BINS)):
-        x, y = a[lo:hi], b[lo:hi]
-        if x.sum() and y.sum():
-            parts.append((float(np.minimum(x / x.sum(), y / y.sum()).sum()), x.sum() + y.sum()))
-        elif x.sum() or y.sum():
-            parts.append((0.0, x.sum() + y.sum()))
+        x, y = base[lo:hi], new[lo:hi]
+        n, m = x.sum(), y.sum()
+        if n and m:
+            x, y = x / n, y / m
+            trust = m / (m + 10.0)
+            parts.append((trust * float(np.minimum(x, y).sum()) + (1 - trust) * float(y[x > 0.01].sum()), n + m))
+        elif n or m:
+            parts.append((0.0, n + m))
     return sum(v * w for v, w in parts) / sum(w for _, w in parts)
 
 

@@ -20,7 +20,7 @@ def evidence_packets(raw: DataFrame) -> DataFrame:
 def mapped_points(raw: DataFrame) -> DataFrame:
     """file_id, series, x, y_left, y_right: payloads that are a list of points; the legacy column stands in for the current one."""
     pts = raw.where(F.col("payload").startswith("[")).select("file_id", F.from_json("payload", POINTS).alias("p"))
-    first = F.col("p")[0]
+    first = F.get("p", F.lit(0))
     rows = pts.where(first["X"].isNotNull() & first["Series"].isNotNull()).select("file_id", F.explode("p").alias("p"))
     clean = lambda c: F.nanvl(c, F.lit(None).cast("double"))
     return rows.select("file_id", F.col("p.Series").alias("series"), clean(F.col("p.X")).alias("x"), clean(F.col("p.Y_Left")).alias("y_left"), F.coalesce(clean(F.col("p")["Y_Right/Data_Value"]), clean(F.col("p.Y_Right"))).alias("y_right"))
@@ -28,9 +28,9 @@ def mapped_points(raw: DataFrame) -> DataFrame:
 
 def _texts(json: Column) -> Column:
     """All texts of a recognition result of either producer."""
-    listed = F.from_json(json, "array<struct<rec_texts: array<string>>>")[0]["rec_texts"]
-    lines = F.from_json(json, "array<array<array<string>>>")[0]
-    nested = F.transform(lines, lambda line: F.from_json(line[1], "array<string>")[0])
+    listed = F.get(F.from_json(json, "array<struct<rec_texts: array<string>>>"), F.lit(0))["rec_texts"]
+    lines = F.get(F.from_json(json, "array<array<array<string>>>"), F.lit(0))
+    nested = F.transform(lines, lambda line: F.get(F.from_json(F.get(line, F.lit(1)), "array<string>"), F.lit(0)))
     return F.coalesce(listed, nested, F.array().cast("array<string>"))
 
 
