@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from figmill.functions import values as v
 from figmill.operators.detect import FIGURE, HEIGHT, WIDTH
+from figmill.session import cut
 
 BIN, MARGIN = 20.0, 2.0
 
@@ -65,7 +66,7 @@ def aligned(cands: DataFrame) -> DataFrame:
     """Candidates near the lowest well-filled bin of their axis' cross coordinate; axes of under three stay as they are."""
     cross = F.when(F.col("axis") == "x", F.col("cy")).otherwise(F.col("cx"))
     keys = [*FIGURE, "axis"]
-    c = cands.withColumn("cross", cross)
+    c = cut(cands.withColumn("cross", cross))  # read three times below
     bins = c.groupBy(*keys, F.floor(F.col("cross") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.median("cross").alias("mid"), F.min("det_id").alias("first_id"))
     tops = bins.groupBy(*keys).agg(F.max("n").alias("top"), F.sum("n").alias("all_n"), F.max_by("mid", F.struct("n", -F.col("first_id"))).alias("modal"))
     major = bins.join(tops, keys).where((F.col("n") >= F.greatest(F.lit(3.0), F.col("top") * 0.5))).groupBy(*keys).agg(F.min_by("mid", "bin").alias("major"))
@@ -73,6 +74,11 @@ def aligned(cands: DataFrame) -> DataFrame:
     return c.join(line, keys).where((F.col("all_n") < 3) | (F.abs(F.col("cross") - F.col("line")) < 30.0)).select(*cands.columns)
 
 
+def candidates(dets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The aligned candidates of all axes, written once for the steps that follow."""
+    return cut(aligned(axis_candidates(dets, texts, plot_bounds(dets))))
+
+
 def log_votes(cands: DataFrame) -> DataFrame:
     """is_log of each axis: at least two labels, over half of them written as powers."""
     return cands.groupBy(*FIGURE, "axis").agg(((F.count(F.lit(1)) >= 2) & (F.avg(v.is_log_text(F.col("text")).cast("double")) > 0.5)).alias("is_log"))
@@ -93,6 +99,7 @@ def fit(cands: DataFrame, votes: DataFrame) -> DataFrame:
     pts = cands.join(votes, keys).withColumn("px", pixel).withColumn("t", F.when(F.col("is_log"), v.log_target(F.col("value"))).otherwise(F.col("value"))).where("t is not null")
     w = W.partitionBy(*keys).orderBy("px", "det_id")
     ranked = pts.select(*keys, "is_log", "det_id", "px", "t", F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("n"), *(F.lead(F.struct("det_id", "px", "t"), k).over(w).alias(f"next{k}") for k in (1, 2, 3))).where("n >= 3")
+    ranked = cut(ranked)  # read three times below
     pairs = ranked.select(*keys, F.col("det_id").alias("i"), F.col("px").alias("px_i"), F.col("t").alias("t_i"), F.explode(F.array("next1", "next2", "next3")).alias("o")).where("o is not null and o.px <> px_i")
     lines = pairs.select(*keys, "i", F.col("o.det_id").alias("j"), F.try_divide(F.col("o.t") - F.col("t_i"), F.col("o.px") - F.col("px_i")).alias("a"), "px_i", "t_i").withColumn("b", F.col("t_i") - F.col("a") * F.col("px_i"))
     tried = lines.withColumn("no", F.row_number().over(W.partitionBy(*keys).orderBy((F.col("i") * 31 + F.col("j") * 17) % 1009, "i", "j"))).where(F.col("no") <= TRIALS).select(*keys, "i", "j", "a", "b")

@@ -33,8 +33,7 @@ def mapped(dets: DataFrame, texts: DataFrame, series: DataFrame) -> DataFrame:
     """series, x, y_left, y_right_or_value of every data point: the whole chain from detections to values.
 
     The three models of a figure become one row, so points are joined once."""
-    bounds = axes.plot_bounds(dets)
-    cands = axes.aligned(axes.axis_candidates(dets, texts, bounds))
+    cands = axes.candidates(dets, texts)
     models = axes.fit(cands, axes.log_votes(cands))
     per = models.groupBy(*FIGURE).agg(*(F.first(F.when(F.col("axis") == a, F.struct("is_log", "slope", "intercept")), ignorenulls=True).alias(a) for a in ("x", "yl", "yr")))
     points = axes.without_ghosts(dets.where("label = 'data_point'"), axes.axis_lines(cands))

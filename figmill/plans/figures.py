@@ -262,7 +262,8 @@ def axis_align(spark, d):
 
 @query(f"WITH {DET}, {TXT}, {_B2}, {_CAND}, {_ALIGN}, {_LINES} SELECT * FROM lines")
 def axis_medians(spark, d):
-    return axes.axis_lines(axes.aligned(_axis(spark, d)[1]))
+    x = dets(spark, d)
+    return axes.axis_lines(axes.candidates(x, texts(x)))
 
 
 @query(f"WITH {DET}, {TXT}, {_B2}, {_CAND}, {_ALIGN}, {_VOTE} SELECT * FROM vote")
@@ -284,7 +285,8 @@ def log_target(spark, d):
 
 @query(f"WITH {DET}, {TXT}, {_B2}, {_CAND}, {_ALIGN}, {_VOTE}, {_FIT} SELECT paper_id, figure_id, axis, is_log, round(slope, 4) AS slope, round(intercept, 3) AS intercept, inliers FROM model WHERE slope IS NOT NULL")
 def axis_fit(spark, d):
-    c = axes.aligned(_axis(spark, d)[1])
+    x = dets(spark, d)
+    c = axes.candidates(x, texts(x))
     return axes.fit(c, axes.log_votes(c)).select(*FIGURE, "axis", "is_log", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), "inliers")
 
 
