@@ -70,44 +70,37 @@ class Model:
         self.cache: dict[str, np.ndarray | None] = {}
 
     def _loads(self, sentence: str) -> np.ndarray | None:
-        """Terms of a sentence as columns of loads, None for a general sentence."""
+        """How much of a sentence's terms speaks for each subject, None for a general sentence."""
         key = _DIGITS.sub("", sentence).strip()
         if key not in self.cache:
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            ids = [i for t in terms(key) if (i := self.vocabulary.get(t)) is not None]
-            cols = self.loads[:, ids]
-            cols = cols[:, cols.any(axis=0)]
             whole = self.vocabulary.get("= " + key)
-            if whole is not None and self.general[whole]:
-                cols = cols[:, :0]
-            self.cache[key] = cols if cols.sum(axis=1).max(initial=0.0) >= LEAST_LOAD else None
+            load = None
+            if whole is None or not self.general[whole]:
+                ids = [i for t in terms(key) if (i := self.vocabulary.get(t)) is not None]
+                load = self.loads[:, ids].sum(axis=1)
+                load = load if load.max(initial=0.0) >= LEAST_LOAD else None
+            self.cache[key] = load
         return self.cache[key]
 
     def document(self, text: str | None) -> tuple[np.ndarray, list[int]]:
         """Subject mixture of a text and the component of each of its sentences (the last one: general)."""
-        cols = [self._loads(s) for s in sentences(text)]
+        found_ = [self._loads(s) for s in sentences(text)]
         k = len(self.loads)
-        known = [c for c in cols if c is not None]
-        mix = np.full(k, 1.0 / k)
+        known = [x for x in found_ if x is not None]
         if not known:
-            return np.zeros(k), [k] * len(cols)
-        every = np.concatenate(known, axis=1)
-        for _ in range(8):
+            return np.zeros(k), [k] * len(found_)
+        every = np.stack(known, axis=1)
+        mix = np.full(k, 1.0 / k)
+        total = every.sum(axis=0)
+        for _ in range(6):
             part = mix[:, None] * every
-            mix = (part / part.sum(axis=0)).sum(axis=1)
+            mix = (part * (total / part.sum(axis=0))).sum(axis=1)
             mix = (mix + 0.05) / (mix.sum() + 0.05 * k)
-        picks = []
-        for c in cols:
-            if c is None:
-                picks.append(k)
-                continue
-            s = mix**0.5
-            for _ in range(2):
-                part = s[:, None] * c
-                s = (part / part.sum(axis=0)).sum(axis=1) + 1e-9
-            picks.append(int(np.argmax(s)))
-        return mix, picks
+        # between the subjects that a sentence names, those of the document have the say
+        best = iter((every * np.sqrt(mix)[:, None]).argmax(axis=0).tolist())
+        return mix, [k if x is None else next(best) for x in found_]
 
     def treated(self, text: str | None, share: float = SHARE) -> list[int]:
         picks = self.document(text)[1]
