@@ -160,12 +160,16 @@ def assemble(cols: dict[tuple[str, ...], Column]) -> list[object]:
     return out
 
 
+_PARTS = {"meta", "text_evidence", "raw_data"}
+
+
 def packets_of(root: object) -> list[dict]:
     """The packets of a parsed payload, wrappers removed; a file of mapped points has none."""
-    if isinstance(root, dict) and isinstance(root.get("packets"), list):
-        root = root["packets"]
+    if isinstance(root, dict) and not _PARTS & set(root):  # a wrapper: the list in it that holds packets
+        lists = [v for k, v in sorted(root.items(), key=lambda x: x[0] != "packets") if isinstance(v, list) and any(isinstance(x, dict) and _PARTS & set(x) for x in v)]
+        root = lists[0] if lists else root
     rows = root if isinstance(root, list) else [root]
-    return [r for r in rows if isinstance(r, dict) and {"meta", "text_evidence", "raw_data"} & set(r)]
+    return [r for r in rows if isinstance(r, dict) and _PARTS & set(r)]
 
 
 def open_text_evidence(packet: dict) -> dict:
