@@ -18,8 +18,10 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from figmill.session import cut
@@ -75,6 +77,33 @@ def lexicon(docs: DataFrame, name: str, folder: str = VOCABULARIES) -> DataFrame
     return counts.mapInPandas(run, "word string, n long, ids array<int>")
 
 
+def _mapped(batch: pa.RecordBatch, known: dict[str, list[int]]) -> pa.RecordBatch:
+    """doc_id, ids, gap_at, gap_word of a batch of doc_id, words: the ids of known words and, for each other word,
+    the place in ids where its own belong. Each distinct word of the batch is looked up once, the rest is array work."""
+    words = batch.column(1)
+    per_doc = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.dictionary_encode(pc.list_flatten(words))
+    names = coded.dictionary.to_pylist()
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found = [known.get(w) for w in names]
+    size = np.array([0 if f is None else len(f) for f in found], dtype=np.int64)
+    start = np.cumsum(size) - size
+    flat = np.fromiter((i for f in found if f is not None for i in f), dtype=np.int32, count=int(size.sum()))
+    n = size[index]
+    ends = np.cumsum(n)
+    ids = flat[np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(start[index], n)] if len(index) else np.zeros(0, np.int32)
+    word_end = np.cumsum(per_doc)
+    before = np.concatenate([[0], ends])  # ids before each word
+    edges = np.concatenate([[0], before[word_end]])
+    missing = np.flatnonzero(np.array([f is None for f in found], dtype=bool)[index]) if len(index) else np.zeros(0, np.int64)
+    owner = np.searchsorted(word_end, missing, side="right")
+    gap_edges = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(per_doc)))])
+    lists = lambda edge, values: pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), values)
+    gap_at = pa.array((before[missing] - edges[owner]).astype(np.int32))
+    gap_word = coded.dictionary.take(pa.array(index[missing])) if len(missing) else pa.array([], pa.string())
+    return pa.RecordBatch.from_arrays([batch.column(0), lists(edges, pa.array(ids, pa.int32())), lists(gap_edges, gap_at), lists(gap_edges, gap_word.cast(pa.string()))], names=["doc_id", "ids", "gap_at", "gap_word"])
+
+
 def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """doc_id, ids: the token ids of each text, one row per row of the input."""
     spark: SparkSession = docs.sparkSession
@@ -86,22 +115,8 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARI
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
         for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[list] = [[], [], [], []]
-                for doc, words in zip(part.column(0), part.column(1)):
-                    ids: list[int] = []
-                    gaps, missing = [], []
-                    for w in words.as_py() or ():
-                        got = known.get(w)
-                        if got is None:
-                            gaps.append(len(ids))
-                            missing.append(w)
-                        else:
-                            ids += got
-                    for c, v in zip(out, (doc.as_py(), ids, gaps, missing)):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.list_(t)) for c, t in zip(out[1:], (pa.int32(), pa.int32(), pa.string())))], names=["doc_id", "ids", "gap_at", "gap_word"])
+            for at in range(0, batch.num_rows, 2048):
+                yield _mapped(batch.slice(at, 2048), known)
 
     # read three times below, so it is written once
     mapped = cut(word_arrays(docs, name, folder).mapInArrow(run, "doc_id long, ids array<int>, gap_at array<int>, gap_word array<string>"))
