@@ -179,8 +179,8 @@ class Names:
 
 def label_items(packets: DataFrame) -> DataFrame:
     """packet_id, field, item_no, label: every legend text and Series label that isn't null."""
-    legend = packets.select("packet_id", F.lit("legend_text").alias("field"), F.posexplode(F.transform("text_evidence.legend_text", lambda x: x["text"])).alias("item_no", "label"))
-    series = packets.select("packet_id", F.lit("series").alias("field"), F.posexplode(F.transform("raw_data", lambda x: x["Series"])).alias("item_no", "label"))
+    legend = packets.select("packet_id", F.lit("legend_text").alias("field"), F.posexplode("text_evidence.legend_text.text").alias("item_no", "label"))
+    series = packets.select("packet_id", F.lit("series").alias("field"), F.posexplode("raw_data.Series").alias("item_no", "label"))
     return legend.unionByName(series).where("label is not null")
 
 
