@@ -97,7 +97,12 @@ def parent(path: str) -> str:
     return path[:-2] if path.endswith("[]") else path.rpartition(".")[0]
 
 
-def profile_file(base: Baseline, payload: str | None) -> tuple[dict, set, set, set] | None:
+def _version(missing: set, new: set) -> str | None:
+    """The name of a file's missing and new fields, None where one of them is empty."""
+    return "|".join(sorted(missing)) + " -> " + "|".join(sorted(new)) if missing and new else None
+
+
+def profile_file(base: Baseline, payload: str | None, sketches: bool = True) -> tuple[dict, set, set, set] | None:
     """(path -> [objects, type set, sketch], missing, new, retyped) of one file, or None where it has no cases."""
     root = load(payload)
     packets = packets_of(root)
@@ -109,7 +114,8 @@ def profile_file(base: Baseline, payload: str | None) -> tuple[dict, set, set, s
         e = seen.setdefault(path, [0, set(), {}])
         e[0] += 1
         e[1].add(t)
-        add_to_sketch(e[2], v)
+        if sketches:
+            add_to_sketch(e[2], v)
         return t
 
     def walk(path: str, v: object) -> None:
@@ -276,7 +282,7 @@ def _one_pass(raw: DataFrame, schema: DataFrame) -> DataFrame:
                     continue
                 if any(got[1:]):
                     missing, new, retyped = map(sorted, got[1:])
-                    rows.append((None, None, None, None, None, fid, missing, new, retyped, "|".join(missing) + " -> " + "|".join(new) if missing and new else None))
+                    rows.append((None, None, None, None, None, fid, missing, new, retyped, _version(got[1], got[2])))
                 for p, (n, types, sk) in got[0].items():
                     kinds = types - {"null"}
                     if len(kinds) > 1 or (p in base.types and kinds and kinds != {base.types[p]}):
@@ -326,21 +332,28 @@ def renames(changes: DataFrame, sketches: DataFrame, schema: DataFrame) -> DataF
     lacking = pairs.groupBy("path").agg(F.collect_list(F.struct("base_path", "n")).alias("lacking"))
     rows = sides.join(sketches.select("path", "types", "files", "sketch"), "path", "left").join(lacking, "path", "left")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        zero = np.zeros(BINS)
-        sk = lambda r: zero if r.sketch is None else np.asarray(r.sketch, float)
-        old = [(r.path, sk(r)) for r in pdf[pdf.side == "missing"].sort_values("path").itertuples()]
-        new = []
-        for r in pdf[pdf.side == "new"].sort_values("path").itertuples():
-            files = r.files if r.files == r.files and r.files else 0
-            share = {} if r.lacking is None else {e["base_path"]: e["n"] / (max(files, e["n"]) + 0.5) for e in r.lacking}
-            new.append((r.path, set() if r.types is None else set(r.types), sk(r), share))
-        w = np.array([[pair_weight(p, base.types[p], s, q, t, k, share.get(p, 0.0)) for q, t, k, share in new] for p, s in old])
-        w[w < MATCH_AT] = 0.0
-        out = [(pdf.version.iloc[0], old[i][0], new[j][0], float(w[i, j])) for i, j in assignment(w) if w[i, j] > 0]
-        return pd.DataFrame(out, columns=["version", "base_path", "new_path", "weight"])
+    # one row per version, with its few fields
+    per = rows.groupBy("version").agg(F.sort_array(F.collect_list(F.struct("path", "side", "types", "files", "sketch", "lacking"))).alias("fields"))
 
-    return rows.groupBy("version").applyInPandas(solve, "version string, base_path string, new_path string, weight double")
+    def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zero = np.zeros(BINS)
+        for pdf in it:
+            out = []
+            for version, fields in zip(pdf.version, pdf.fields):
+                old, new = [], []
+                for f in fields:
+                    sk = zero if f["sketch"] is None else np.asarray(f["sketch"], float)
+                    if f["side"] == "missing":
+                        old.append((f["path"], sk))
+                    else:
+                        share = {} if f["lacking"] is None else {e["base_path"]: e["n"] / (max(f["files"] or 0, e["n"]) + 0.5) for e in f["lacking"]}
+                        new.append((f["path"], set() if f["types"] is None else set(f["types"]), sk, share))
+                w = np.array([[pair_weight(p, base.types[p], s, q, t, k, share.get(p, 0.0)) for q, t, k, share in new] for p, s in old])
+                w[w < MATCH_AT] = 0.0
+                out += [(version, old[i][0], new[j][0], float(w[i, j])) for i, j in assignment(w) if w[i, j] > 0]
+            yield pd.DataFrame(out, columns=["version", "base_path", "new_path", "weight"])
+
+    return per.mapInPandas(solve, "version string, base_path string, new_path string, weight double")
 
 
 def resolved(raw: DataFrame, schema: DataFrame) -> DataFrame:
@@ -349,7 +362,9 @@ def resolved(raw: DataFrame, schema: DataFrame) -> DataFrame:
     changes = _changes(part)
     found_ = renames(changes, _sketches(part), schema)
     maps = found_.groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct("base_path", "new_path"))).alias("renamed"))
-    return changes.join(maps, "version", "left")
+    # files without a version have nothing to look up and stay out of the join
+    rest = changes.where("version is null").withColumn("renamed", F.lit(None).cast("map<string,string>"))
+    return changes.where("version is not null").join(maps, "version", "left").select(*rest.columns).unionByName(rest)
 
 
 def found(raw: DataFrame, schema: DataFrame) -> DataFrame:
@@ -429,24 +444,53 @@ _ITEMS = "array<struct<text: string, source_file: string>>"
 UNIFIED = f"file_id long, packet_no int, figure_id string, source_intermediate_dir string, caption string, x_axis_title {_ITEMS}, y_axis_title {_ITEMS}, chart_text {_ITEMS}, legend_text {_ITEMS}, raw_data array<struct<Series: string, X: double, Y_Left: double, Y_Right: double>>"
 
 
+#: Versions up to which the renames of a corpus are sent to the tasks; beyond, they are joined to the files.
+SENT_VERSIONS = 100_000
+
+
 def unified(raw: DataFrame, schema: DataFrame) -> DataFrame:
-    """All packets of all files in one table; a file of mapped points is one packet with points only."""
-    maps = resolved(raw, schema).where("renamed is not null").select("file_id", "renamed")
-    rows = raw.select("file_id", "payload").join(maps, "file_id", "left").select("file_id", "payload", F.map_entries("renamed").alias("renamed"))
+    """All packets of all files in one table; a file of mapped points is one packet with points only.
+
+    Renames are per version, of which there are few: they are counted and sent to the tasks, which find each payload's
+    version again, so payloads aren't shuffled. Beyond SENT_VERSIONS they are joined by file."""
+    base, spark = _baseline(schema), raw.sparkSession
+    part = _one_pass(raw, schema)
+    found_ = cut(renames(_changes(part), _sketches(part), schema))
     names = ["file_id", "packet_no", "figure_id", "source_intermediate_dir", "caption", "x_axis_title", "y_axis_title", "chart_text", "legend_text", "raw_data"]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packets(fid: int, payload: str | None, renamed: dict[str, str]) -> list[tuple]:
+        root = load(payload)
+        own = packets_of(root)
+        if not own and isinstance(root, list) and any(isinstance(x, dict) for x in root):
+            own = [{"raw_data": root}]
+        return [(fid, no, *(u[k] for k in names[2:])) for no, u in enumerate(unify_packet(p, renamed) for p in own)]
+
+    if found_.select("version").distinct().count() <= SENT_VERSIONS:
+        per: dict[str, dict[str, str]] = {}
+        for r in found_.select("version", "base_path", "new_path").toLocalIterator():
+            per.setdefault(r.version, {})[r.base_path] = r.new_path
+        sent = spark.sparkContext.broadcast(per)
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in it:
+                out = []
+                for fid, payload in zip(pdf.file_id, pdf.payload):
+                    got = profile_file(base, payload, sketches=False)
+                    version = _version(got[1], got[2]) if got else None
+                    out += packets(fid, payload, sent.value.get(version, {}))
+                yield pd.DataFrame(out, columns=names)
+
+        return raw.select("file_id", "payload").mapInPandas(run, UNIFIED)
+
+    maps = found_.groupBy("version").agg(F.collect_list(F.struct("base_path", "new_path")).alias("renamed"))
+    files = _changes(part).where("version is not null").join(maps, "version").select("file_id", "renamed").dropDuplicates(["file_id"])
+    rows = raw.select("file_id", "payload").join(files, "file_id", "left")
+
+    def run_joined(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for fid, payload, ren in zip(pdf.file_id, pdf.payload, pdf.renamed):
-                root = load(payload)
-                packets = packets_of(root)
-                if not packets and isinstance(root, list) and any(isinstance(x, dict) for x in root):
-                    packets = [{"raw_data": root}]
-                renamed = {} if ren is None else {e["key"]: e["value"] for e in ren}
-                for no, p in enumerate(packets):
-                    u = unify_packet(p, renamed)
-                    out.append((fid, no, *(u[k] for k in names[2:])))
+                out += packets(fid, payload, {} if ren is None else {e["base_path"]: e["new_path"] for e in ren})
             yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run, UNIFIED)
+    return rows.mapInPandas(run_joined, UNIFIED)

@@ -20,7 +20,7 @@ def packet(i):
     return {"meta": {"figure_id": f"page_{i}_figure_0", "caption": f"Fig. {i} of it"}, "text_evidence": {"x_axis_title": item, "legend_text": item}, "raw_data": [{"Series": "s", "X": i + 0.5, "Y_Right": 20.0 + i % 20}]}
 
 
-def test_changes(spark):
+def test_changes(spark, monkeypatch):
     rows = [(i, json.dumps(packet(i))) for i in range(20)]
 
     def file(n, f):
@@ -57,6 +57,9 @@ def test_changes(spark):
         (103, "raw_data[].Y_Right", "renamed"), (104, "text_evidence", "retyped"), (204, "raw_data[].X", "retyped"),
     ]
     assert got == sorted(want)
+    by_join = sorted(map(str, drift.unified(raw.dropDuplicates(["file_id"]), schema(spark)).collect()))
+    monkeypatch.setattr(drift, "SENT_VERSIONS", -1)
+    assert by_join == sorted(map(str, drift.unified(raw.dropDuplicates(["file_id"]), schema(spark)).collect()))
     u = {(r.file_id, r.packet_no): r for r in drift.unified(raw, schema(spark)).collect()}
     assert u[(100, 0)].caption == "Fig. 100 of it" and u[(101, 0)].caption == "Fig. 101 of it" and u[(103, 0)].raw_data[0].Y_Right == 23.0
     assert u[(204, 0)].raw_data[0].X == 1.5 and u[(104, 0)].legend_text[0].text == "Total flow 104" and (205, 1) in u and (201, 0) not in u
