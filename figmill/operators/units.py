@@ -17,7 +17,6 @@ as null; an axis without values gives no row; repeated packets give a row each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -253,30 +252,43 @@ def recorded_unit(axis: str, items: list[str | None] | None, caption: str | None
 
 
 def _texts(field: str) -> Column:
-    return F.transform(F.col(f"text_evidence.{field}"), lambda x: x["text"])
+    """The texts of a field; only this leaf of the nested column is read."""
+    return F.col(f"text_evidence.{field}.text")
 
 
-def axis_units(packets: DataFrame) -> DataFrame:
-    """packet_id, axis, unit_code, scale_exp of every axis with a value and a known recorded unit.
+_AXIS = "array<struct<axis: string, unit_code: string, scale_exp: int>>"
+
+
+def with_units(packets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """packet_id, the columns to keep, and ``axis_units``: axis, unit and power of ten of every axis with a value and a
+    known recorded unit.
 
     Value tests run in the JVM over the arrays; the Python stage sees titles and captions only. Nothing is shuffled."""
-    vals = lambda k: F.filter(F.transform("raw_data", lambda p: p[k]), lambda v: v.isNotNull() & ~F.isnan(v))
-    slim = packets.select(
-        "packet_id", _texts("x_axis_title").alias("xt"), _texts("y_axis_title").alias("yt"), F.col("meta.caption").alias("caption"),
-        (F.size(vals("X")) > 0).alias("has_x"), (F.size(vals("Y_Left")) > 0).alias("has_y"),
-        F.coalesce(F.array_max(vals("X")) <= 1, F.lit(False)).alias("small_x"), F.coalesce(F.array_max(vals("Y_Left")) <= 1, F.lit(False)).alias("small_y"),
-    ).where("has_x or has_y")
+    vals = lambda k: F.filter(F.col(f"raw_data.{k}"), lambda v: v.isNotNull() & ~F.isnan(v))
+    has = lambda k: F.coalesce(F.size(vals(k)) > 0, F.lit(False))
+    small = lambda k: F.coalesce(F.array_max(vals(k)) <= 1, F.lit(False))
+    names = ("xt_", "yt_", "cap_", "hx_", "hy_", "sx_", "sy_")
+    inputs = (_texts("x_axis_title"), _texts("y_axis_title"), F.col("meta.caption"), has("X"), has("Y_Left"), small("X"), small("Y_Left"))
+    slim = packets.select("packet_id", *keep, *(c.alias(n) for n, c in zip(names, inputs)))
+
+    @F.pandas_udf(_AXIS)
+    def units_of(xt: pd.Series, yt: pd.Series, cap: pd.Series, hx: pd.Series, hy: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
+        out = []
+        for x, y, c, has_x, has_y, small_x, small_y in zip(xt, yt, cap, hx, hy, sx, sy):
+            row = []
+            for axis, items, there, low in (("X", x, has_x, small_x), ("Y_Left", y, has_y, small_y)):
+                if there and (hit := recorded_unit(axis, items, c, bool(low))):
+                    row.append({"axis": axis, "unit_code": hit[0], "scale_exp": hit[1]})
+            out.append(row)
+        return pd.Series(out)
+
+    once = units_of.asNondeterministic()  # else the filter that an explode implies would evaluate it a second time
+    return slim.withColumn("axis_units", once(*names)).select("packet_id", *keep, "axis_units")
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = []
-            for pid, xt, yt, cap, hx, hy, sx, sy in pdf.itertuples(index=False):
-                for axis, items, has, small in (("X", xt, hx, sx), ("Y_Left", yt, hy, sy)):
-                    if has and (hit := recorded_unit(axis, items, cap, bool(small))):
-                        rows.append((pid, axis, *hit))
-            yield pd.DataFrame(rows, columns=["packet_id", "axis", "unit_code", "scale_exp"])
 
-    return slim.mapInPandas(run, "packet_id long, axis string, unit_code string, scale_exp int")
+def axis_units(packets: DataFrame) -> DataFrame:
+    """packet_id, axis, unit_code, scale_exp of every axis with a value and a known recorded unit."""
+    return with_units(packets).select("packet_id", F.explode("axis_units").alias("u")).select("packet_id", "u.axis", "u.unit_code", "u.scale_exp")
 
 
 def _factors(codes: DataFrame) -> DataFrame:
@@ -297,10 +309,8 @@ def converted(packets: DataFrame, codes: DataFrame) -> DataFrame:
     """packet_id, point_no, axis, value, unit_code, target_code, target_value: every value of X and Y_Left.
 
     Axes with no known unit keep their value with a null unit; null and NaN values stay null."""
-    units = axis_units(packets).join(F.broadcast(_factors(codes)), "unit_code")
-    per = units.groupBy("packet_id").agg(F.map_from_entries(F.collect_list(F.struct("axis", F.struct("unit_code", "scale_exp", "factor", "offset", "target_code").alias("u")))).alias("units"))
-    pts = packets.select("packet_id", F.posexplode("raw_data").alias("point_no", "p")).join(per, "packet_id", "left")
-    rows = pts.select("packet_id", "point_no", "units", F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), F.col(f"p.{k}").alias("value")) for k in ("X", "Y_Left")))).alias("a"))
-    u = F.element_at("units", F.col("a.axis"))
-    value = F.nanvl(F.col("a.value"), F.lit(None).cast("double"))
-    return rows.select("packet_id", "point_no", "a.axis", value.alias("value"), u["unit_code"].alias("unit_code"), u["target_code"].alias("target_code"), F.coalesce(value * F.pow(F.lit(10.0), u["scale_exp"]) * u["factor"] + u["offset"], value).alias("target_value"))
+    both = packets.withColumn("xy_", F.arrays_zip(F.col("raw_data.X").alias("X"), F.col("raw_data.Y_Left").alias("Y_Left")))
+    rows = with_units(both, ("xy_",)).select("packet_id", "axis_units", F.posexplode("xy_").alias("point_no", "p")).select("packet_id", "point_no", "axis_units", F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), F.col(f"p.{k}").alias("value")) for k in ("X", "Y_Left")))).alias("a"))
+    own = rows.select("packet_id", "point_no", F.col("a.axis").alias("axis"), F.nanvl("a.value", F.lit(None).cast("double")).alias("value"), F.get(F.filter("axis_units", lambda u: u["axis"] == F.col("a.axis")), F.lit(0)).alias("u"))
+    j = own.withColumn("unit_code", F.col("u.unit_code")).join(F.broadcast(_factors(codes)), "unit_code", "left")
+    return j.select("packet_id", "point_no", "axis", "value", "unit_code", "target_code", F.coalesce(F.col("value") * F.pow(F.lit(10.0), F.col("u.scale_exp")) * F.col("factor") + F.col("offset"), "value").alias("target_value"))
