@@ -110,3 +110,9 @@ def fused(packets: DataFrame, names: DataFrame, conditions: dict[str, str]) -> D
     ]
     data = F.when(F.col("y_right").isNotNull(), F.array(num(F.lit("Data_Value"), F.col("y_right")))).otherwise(F.array().cast("array<struct<attr: string, value: string, number: double>>"))
     return pts.select("packet_id", "point_no", F.explode(F.concat(F.array(*attrs), data)).alias("a")).select("packet_id", "point_no", "a.attr", "a.value", "a.number")
+
+
+def forced_caption(packets: DataFrame, forced: DataFrame) -> DataFrame:
+    """Packets whose caption is replaced where ``forced`` (packet_id, caption) has one."""
+    f = forced.where("caption is not null").select("packet_id", F.col("caption").alias("forced_"))
+    return packets.join(f, "packet_id", "left").withColumn("meta", F.col("meta").withField("caption", F.coalesce("forced_", "meta.caption"))).drop("forced_")

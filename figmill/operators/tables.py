@@ -82,6 +82,23 @@ def pivoted(cells: DataFrame, width: int = 6) -> DataFrame:
     return frame.join(wide, [*TABLE, "row_index"], "left").select(*TABLE, "row_index", *(F.coalesce(f"c{c}", F.lit("")).alias(f"c{c}") for c in range(width)))
 
 
+def placed(cells: DataFrame) -> DataFrame:
+    """Cells with a position: their own, else that of the nearest row and column centre of their table."""
+    at = cells.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
+    near = assigned(at, gap_clusters(at, "cy"), gap_clusters(at, "cx")).select("cell_id", F.col("row_index").alias("row_"), F.col("col_index").alias("col_"))
+    return cells.join(near, "cell_id", "left").withColumns({"row_index": F.coalesce("row_index", "row_"), "col_index": F.coalesce("col_index", "col_")}).drop("row_", "col_")
+
+
+def outcome(tables_: DataFrame, cells: DataFrame) -> DataFrame:
+    """is_valid and reason of each table (columns accepted, readable): why it has no grid, or an empty reason."""
+    have = cells.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("cells_"), F.count_if(F.coalesce(F.col("content"), F.lit("")) != "").alias("texts_"))
+    reason = (
+        F.when(~F.coalesce("accepted", F.lit(False)), "Filtered by YOLO").when(~F.coalesce("readable", F.lit(False)), "Image read error")
+        .when(F.coalesce("cells_", F.lit(0)) == 0, "No cells detected").when(F.col("texts_") == 0, "No content extracted").otherwise("")
+    )
+    return tables_.join(have, TABLE, "left").select(*TABLE, (reason == "").alias("is_valid"), reason.alias("reason"))
+
+
 def sequential(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of a column without gathering all rows: rows are sorted by range, numbered
     within each partition and moved by the counts of the partitions before. The sorted rows are cut through the

@@ -165,9 +165,9 @@ def evidence_scan(spark, d):
     return recorded.evidence_packets(table(spark, d, "raw_packets")).where("parsed.meta.figure_id is not null and parsed.raw_data is not null and parsed.text_evidence is not null").select("file_id", F.col("parsed.meta.figure_id").alias("figure_id"), F.size("parsed.raw_data").alias("points"))
 
 
-@query("SELECT file_id, CAST(count(*) AS INTEGER) AS points, round(sum(CAST(json_extract(p, '$.X') AS DOUBLE)), 4) AS x FROM (SELECT file_id, unnest(CAST(j AS JSON[])) AS p FROM (SELECT file_id, try_cast(regexp_replace(payload, '\\bNaN\\b', 'null', 'g') AS JSON) AS j FROM raw_packets WHERE starts_with(payload, '[')) WHERE json_type(j, '$[0].X') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND coalesce(json_type(j, '$[0].Series'), 'NULL') <> 'NULL') GROUP BY file_id")
+@query("SELECT file_id, CAST(count(*) AS INTEGER) AS points, round(sum(CAST(json_extract(p, '$.X') AS DOUBLE)), 5) AS x FROM (SELECT file_id, unnest(CAST(j AS JSON[])) AS p FROM (SELECT file_id, try_cast(regexp_replace(payload, '\\bNaN\\b', 'null', 'g') AS JSON) AS j FROM raw_packets WHERE starts_with(payload, '[')) WHERE json_type(j, '$[0].X') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND coalesce(json_type(j, '$[0].Series'), 'NULL') <> 'NULL') GROUP BY file_id")
 def points_scan(spark, d):
-    return recorded.mapped_points(table(spark, d, "raw_packets")).groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("points"), F.round(F.sum("x"), 4).alias("x"))
+    return recorded.mapped_points(table(spark, d, "raw_packets")).groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("points"), F.round(F.sum("x"), 5).alias("x"))
 
 
 _LOG = "'start' || chr(10) || '---JSON_START---' || chr(10) || payload || chr(10) || '---JSON_END---' || chr(10) || 'end'"
