@@ -16,6 +16,7 @@ independent of each other, so nothing is shuffled; repeats are decoded once per
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -104,24 +105,37 @@ class Ngrams:
 
 
 def decode(chars: str, model: Ngrams) -> str:
-    """The best path through the lattice of look-alikes; as long as its input."""
+    """The best path through the lattice of look-alikes, word by word; as long as its input."""
     looks = _looks()
     if all(c not in looks for c in chars):
         return chars
-    states: dict[tuple[str, str], tuple[float, str]] = {("  ", ""): (0.0, "")}
-    for c in chars:
-        step: dict[tuple[str, str], tuple[float, str]] = {}
-        options = c + looks.get(c, "")
-        for (ctx, script), (cost, path) in states.items():
-            for o in options:
+    return "".join(_decode_word(w, model, looks) if not w.isspace() else w for w in re.split(r"([ \n]+)", chars))
+
+
+def _decode_word(word: str, model: Ngrams, looks: dict[str, str]) -> str:
+    if all(c not in looks for c in word):
+        return word
+    states: dict[tuple[str, str], float] = {("  ", ""): 0.0}
+    back: list[dict[tuple[str, str], tuple[str, str]]] = []
+    for c in word:
+        step: dict[tuple[str, str], float] = {}
+        came: dict[tuple[str, str], tuple[str, str]] = {}
+        for state, cost in states.items():
+            ctx, script = state
+            for o in c + looks.get(c, ""):
                 sc = script_of(o)
-                now = "" if o in " \n" else sc or script
                 total = cost + model.score(ctx, o) - (SWITCH_COST if sc and script and sc != script else 0) - (SWAP_COST if o != c else 0)
-                key = (ctx[-1] + o, now)
-                if key not in step or total > step[key][0]:
-                    step[key] = (total, path + o)
+                key = (ctx[-1] + o, sc or script)
+                if key not in step or total > step[key]:
+                    step[key], came[key] = total, state
         states = step
-    return max(states.values())[1]
+        back.append(came)
+    state = max(states, key=lambda k: (states[k], k))
+    out = []
+    for came in reversed(back):
+        out.append(state[0][-1])
+        state = came[state]
+    return "".join(reversed(out))
 
 
 def canonical(text: str, model: Ngrams) -> tuple[str, list[tuple[int, int]]]:

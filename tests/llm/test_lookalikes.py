@@ -43,3 +43,8 @@ def test_tables(spark):
     got = {(r.field, r.item_no): r.canonical for r in look.canonical_labels(p, ref).collect()}
     assert got == {("legend_text", 0): "benzyl alcohol", ("series", 0): "α-tetralone", ("series", 1): "α-tetralone"}
     assert look.found(p.limit(0), ref).count() == 0
+
+
+def test_long_labels(names):
+    text = "а" * 200_000 + " bеnzyl alcohol " + "\u200b" * 100_000
+    assert names.disguised(text, True) == [1] and names.disguised(text, False) == []

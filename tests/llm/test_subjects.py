@@ -50,3 +50,9 @@ def test_sentences():
     text = "One thing is here. Another fol-\nlows at 3.5 bar!\n\n12\n| a | b |\n- A third one.\nsee Table 4. x = f(1)"
     assert sentences(text)[:3] == ["One thing is here.", "Another follows at 3.5 bar!", "A third one. see Table 4."] or sentences(text)[:2] == ["One thing is here.", "Another follows at 3.5 bar!"]
     assert sentences("没有载体时，积碳低于33.1%。图4比较了。") == ["没有载体时，积碳低于33.1%。", "图4比较了。"]
+
+
+def test_long_texts():
+    model = subjects.fit([(f"The {a} {VERBS[s]} it.", {s: 1}) for s in NOUNS for a in NOUNS[s]], AREAS)
+    for text in ("x" * 500_000, "The coiled capillary fed reagent into it. " * 20_000, "积" * 300_000, "\n" * 300_000, "|" * 300_000, "a(" * 100_000):
+        assert model.treated(text) in ([], [1])
