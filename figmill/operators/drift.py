@@ -64,17 +64,18 @@ def _shape(s: str) -> str:
     return out
 
 
-@lru_cache(200_000)
-def _text_bins(v: str) -> tuple[int, ...]:
+@lru_cache(50_000)
+def _text_bins(v: str, length: int) -> tuple[int, ...]:
+    """Bins of a text by its start (shape and first words, which are all that is used of it) and its length."""
     words = [w for w in _words(v) if not w.isdigit()][:8]
-    return (*{NUMBER_BINS + _hash(key) % SHAPE_BINS for key in {_shape(v), *words, *(w[:4] for w in words)}}, NUMBER_BINS + SHAPE_BINS + min(LENGTH_BINS - 1, int(2 * math.log2(1 + len(v)))))
+    return (*{NUMBER_BINS + _hash(key) % SHAPE_BINS for key in {_shape(v), *words, *(w[:4] for w in words)}}, NUMBER_BINS + SHAPE_BINS + min(LENGTH_BINS - 1, int(2 * math.log2(1 + length))))
 
 
 def add_to_sketch(sketch: dict[int, int], v: object) -> None:
     """Count one plain value: numbers by magnitude, texts by shape, words and length."""
     if isinstance(v, str):
         if v:
-            for b in _text_bins(v):
+            for b in _text_bins(v[:256], len(v)):
                 sketch[b] = sketch.get(b, 0) + 1
     elif not isinstance(v, bool) and isinstance(v, (int, float)) and math.isfinite(v):
         b = max(0, min(NUMBER_BINS - 1, int(NUMBER_BINS / 2 + math.copysign(4 * math.log2(1 + abs(v) / 1.5), v) / 2)))
