@@ -10,7 +10,8 @@ gets its mixture of subjects and each sentence its own; a subject is treated
 that holds at least a quarter of the document's sentences.
 
 The fit reads a bounded sample of labelled documents (FIT_DOCUMENTS, by hash of
-the id, a documented parameter); every document is then scored, without a shuffle.
+the id, none longer than FIT_LENGTH; documented parameters); every document is then
+scored, whole and without a shuffle.
 
 Edge cases: null, blank and purely general texts have no rows; labels without a
 document are ignored; without any label the descriptions alone are the anchors;
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from figmill.llm.sentences import sentences
 
-FIT_DOCUMENTS = 6000
+#: Labelled documents of the fit, and the length up to which a document is taken for it (every document is scored, whole).
+FIT_DOCUMENTS, FIT_LENGTH = 6000, 50_000
 ROUNDS, LEAK, SHARE = 12, 0.03, 0.25
 #: A term speaks for a subject that explains at least this share of it; a sentence needs this much of such terms.
 SPECIFIC, LEAST_LOAD = 0.6, 0.9
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, areas: DataFrame, limit: int = FIT
     descriptions = {r.subject_id: f"{(r.subject or '').replace('_', ' ')}. {r.description or ''}" for r in areas.select("subject_id", "subject", "description").collect()}
     per = labels.where("doc_id is not null and subject_id is not null").groupBy("doc_id", "subject_id").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("subject_id", "n"))).alias("labels"))
     sample = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select("doc_id", "text").where("length(trim(text)) > 0").join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("text", "labels").collect()
+    texts = docs.select("doc_id", "text").where(f"length(trim(text)) > 0 and length(text) <= {FIT_LENGTH}").join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("text", "labels").collect()
     return fit([(r.text, dict(r.labels)) for r in texts], descriptions)
 
 
