@@ -86,11 +86,15 @@ def suppressed(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
     gone = None
     open_ = edges
     while not open_.isEmpty():
-        free = open_.select(F.col("over").alias("det_id")).distinct().join(open_.select(F.col("under").alias("det_id")).distinct(), "det_id", "left_anti")
-        lost = cut(open_.join(free, open_.over == free.det_id, "left_semi").select(F.col("under").alias("det_id")).distinct())
-        gone = lost if gone is None else gone.unionByName(lost)
-        rest = open_.join(lost, open_.under == lost.det_id, "left_anti").join(lost, F.col("over") == lost.det_id, "left_anti")
-        open_ = cut(rest.join(free, F.col("over") == free.det_id, "left_anti"))
+        # boxes that no open edge leads to stay; what they overlap goes; edges of either are settled
+        unders = open_.select(F.col("under").alias("u")).distinct()
+        tagged = open_.join(unders, open_.over == unders.u, "left").select("over", "under", F.col("u").isNull().alias("free"))
+        lost = tagged.where("free").select(F.col("under").alias("l")).distinct().withColumn("lost", F.lit(True))
+        settled = tagged.join(lost, tagged.under == lost.l, "left").select("over", "under", "free", F.col("lost").isNotNull().alias("under_lost"))
+        step = cut(settled.join(lost, settled.over == lost.l, "left").select("over", "under", "free", "under_lost", F.col("lost").isNotNull().alias("over_lost")))
+        out = step.where("free").select(F.col("under").alias("det_id")).distinct()
+        gone = out if gone is None else gone.unionByName(out)
+        open_ = step.where("not free and not under_lost and not over_lost").select("over", "under")
     return best if gone is None else best.join(gone, "det_id", "left_anti").select(*best.columns)
 
 
