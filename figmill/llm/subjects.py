@@ -36,6 +36,8 @@ FIT_DOCUMENTS, FIT_LENGTH = 6000, 50_000
 ROUNDS, LEAK, SHARE = 12, 0.03, 0.25
 #: A term speaks for a subject that explains at least this share of it; a sentence needs this much of such terms.
 SPECIFIC, LEAST_LOAD = 0.6, 0.9
+#: A sentence that the background explains as a whole needs this much.
+WHOLE_LOAD = 3.0
 #: Occurrences of terms that an update handles at once.
 CHUNK = 200_000
 _WORD = re.compile(r"[一-鿿]+|[^\W\d_][^\W_]*(?:[-'][^\W_]+)*")
@@ -68,7 +70,7 @@ class Model:
         # how much of a term each subject explains; terms that the background or no one subject explains carry nothing
         share = factors / np.maximum(factors.sum(axis=0), 1e-12)
         self.loads = np.where(share[:-1].max(axis=0) >= SPECIFIC, share[:-1], 0.0)
-        self.general = (share[-1] > 0.5) | shared
+        self.shared, self.general = shared, share[-1] > 0.5
         self.cache: dict[str, np.ndarray | None] = {}
 
     def _loads(self, sentence: str) -> np.ndarray | None:
@@ -79,10 +81,11 @@ class Model:
                 self.cache.clear()
             whole = self.vocabulary.get("= " + key)
             load = None
-            if whole is None or not self.general[whole]:
+            if whole is None or not self.shared[whole]:
                 ids = [i for t in terms(key) if (i := self.vocabulary.get(t)) is not None]
                 load = self.loads[:, ids].sum(axis=1)
-                load = load if load.max(initial=0.0) >= LEAST_LOAD else None
+                least = WHOLE_LOAD if whole is not None and self.general[whole] else LEAST_LOAD
+                load = load if load.max(initial=0.0) >= least else None
             self.cache[key] = load
         return self.cache[key]
 
