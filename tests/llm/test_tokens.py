@@ -21,6 +21,8 @@ def test_round_trip_and_repeats(spark):
     back = {r.doc_id: r.text for r in tokens.decode(tokens.encode(df.where("doc_id < 50").dropDuplicates(["doc_id"]))).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert tokens.encode(df.limit(0)).count() == 0
+    many = tokens.decode(tokens.encode(spark.createDataFrame([(None, "a b"), (None, "é c"), (None, "a b"), (7, None)], "doc_id long, text string"))).collect()
+    assert sorted((str(r.doc_id), r.text) for r in many) == [("7", ""), ("None", "a b"), ("None", "a b"), ("None", "é c")]
 
 
 def test_best_two_fit():
