@@ -53,9 +53,9 @@ def comp_log(spark, d):
     return cells(spark, d).where("score >= 0.7").orderBy(F.desc("score"), "cell_id").select("cell_id", "score")
 
 
-@query(f"WITH {CELLS} SELECT paper_id, table_id, label, count(*) AS n, round(max(score), 3) AS best FROM cells GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT paper_id, table_id, label, count(*) AS n, round(max(score), 3) AS best FROM cells WHERE label IS NOT NULL GROUP BY ALL")
 def comp_map(spark, d):
-    per = cells(spark, d).groupBy(*TABLE, "label").agg(F.struct(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 3).alias("best")).alias("c"))
+    per = cells(spark, d).where("label is not null").groupBy(*TABLE, "label").agg(F.struct(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 3).alias("best")).alias("c"))
     maps = per.groupBy(*TABLE).agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("m"))
     return maps.select(*TABLE, F.explode("m").alias("label", "c")).select(*TABLE, "label", "c.n", "c.best")
 
