@@ -125,7 +125,7 @@ def packet_points(spark, d):
 
 
 @query(
-    """SELECT packet_id, coalesce(len(text_evidence.x_axis_title), 0) AS x_axis_title, coalesce(len(text_evidence.y_axis_title), 0) AS y_axis_title, coalesce(len(text_evidence.chart_text), 0) AS chart_text, coalesce(len(text_evidence.legend_text), 0) AS legend_text, coalesce(len(raw_data), 0) AS points FROM evidence_packets"""
+    """SELECT packet_id, CAST(coalesce(len(text_evidence.x_axis_title), 0) AS INTEGER) AS x_axis_title, CAST(coalesce(len(text_evidence.y_axis_title), 0) AS INTEGER) AS y_axis_title, CAST(coalesce(len(text_evidence.chart_text), 0) AS INTEGER) AS chart_text, CAST(coalesce(len(text_evidence.legend_text), 0) AS INTEGER) AS legend_text, CAST(coalesce(len(raw_data), 0) AS INTEGER) AS points FROM evidence_packets"""
 )
 def packet_nested(spark, d):
     """Items and points flattened and gathered into nested packets again; their sizes must be those of the source."""

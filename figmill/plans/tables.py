@@ -37,7 +37,7 @@ def best_body(spark, d):
     return cells(spark, d).groupBy(*TABLE).agg(F.max_by("cell_id", F.struct("score", -F.col("cell_id"))).alias("cell_id"), F.max("score").alias("score"))
 
 
-@query(f"WITH {CELLS} SELECT cell_id, 0.0 AS x1, y1, 1000.0 AS x2, least(800.0, y2 + 10) AS y2 FROM cells")
+@query(f"WITH {CELLS} SELECT cell_id, CAST(0 AS DOUBLE) AS x1, y1, CAST(1000 AS DOUBLE) AS x2, least(CAST(800 AS DOUBLE), y2 + 10) AS y2 FROM cells")
 def body_cut(spark, d):
     return cells(spark, d).select("cell_id", F.lit(0.0).alias("x1"), "y1", F.lit(1000.0).alias("x2"), F.least(F.lit(800.0), F.col("y2") + 10).alias("y2"))
 
