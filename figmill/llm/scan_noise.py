@@ -8,8 +8,9 @@ the operations, the characters around them, character n-grams and corpus
 counts. A second perceptron, with features of the page position, tells running
 headers from text.
 
-How it runs: one pass counts words and title-like lines of all texts, added up in
-each task before anything is shuffled. The editor is trained from these counts. A
+How it runs: one pass counts words and title-like lines of all distinct texts (copies
+meet by a shuffle, after each task has dropped its own), added up in each task before
+they are shuffled. The editor is trained from these counts. A
 second pass over the texts, without a shuffle, finds furniture and broken words
 and lets the editor judge each distinct word once per task. What is broadcast is
 bounded by LEXICON_WORDS and HEADER_KEYS; words beyond count as seen once.
@@ -37,8 +38,8 @@ from figmill.session import cut
 LEXICON_WORDS, HEADER_KEYS, TRAIN_WORDS = 200_000, 20_000, 4000
 #: A word is tried for two misreadings at once if one of its trigrams is less likely than this (a logarithm).
 ODD = -4.0
-#: A form of letters seen OFTEN can only be a misreading of a word seen over DOMINANCE times as often.
-OFTEN, DOMINANCE = 5, 25
+#: A word with another one beside it that is seen over DOMINANCE times as often may itself be misread and isn't learned from.
+DOMINANCE = 25
 #: What is read and what stands on the page, for one misread character.
 MISREAD = [
     ("o", "a"), ("a", "o"), ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("9", "g"), ("8", "b"), ("6", "b"),
@@ -212,28 +213,29 @@ class Editor:
         ratio = max(-3, min(9, int(math.log2((have + 0.5) / (n + 0.5))))) if have else -9
         digit = any(c.isdigit() for c in w) and not any(c.isdigit() for c in v)
         feats += [f"gain{g}", f"ratio{ratio}", f"ratio{ratio}gain{g}", f"digit{digit}gain{g}", f"digit{digit}ratio{ratio}", f"short{len(w) < 5}ratio{ratio}", f"n{min(4, int(math.log2(1 + n)))}have{min(8, int(math.log2(1 + have)))}"]
+        # how often the form itself is seen: a frequent one is a misreading only of a much more frequent word, bath isn't one of both
+        often = min(12, int(math.log2(1 + n)))
+        feats += [f"often{often}digit{digit}", f"often{often // 2}ratio{ratio}digit{digit}"]
         return feats
 
     def scripts(self, w: str, n: int) -> list[list[tuple[str, int, str, str]]]:
         """Edit scripts worth a judgement: one edit, or two that end in a known word."""
         ones = single_edits(w)
         out = []
-        # a form seen often is a misreading only of a much more frequent word: bath isn't one of both
-        least = DOMINANCE * n if n >= OFTEN and not any(c.isdigit() for c in w) else n
         for e in ones:
             have = self.counts.get(e[0], 0)
-            if have > least or have == 0 and self.grams.around(e[0], e[1], len(e[3])) - self.grams.around(w, e[1], len(e[2])) > 3.0:
+            if have > n or have == 0 and self.grams.around(e[0], e[1], len(e[3])) - self.grams.around(w, e[1], len(e[2])) > 3.0:
                 out.append([e])
         if len(w) > 4 and not any(self.counts.get(s[-1][0], 0) > 4 * n for s in out) and self.grams.least(w) < ODD:
             for e in ones:
                 for f in single_edits(e[0]):
-                    if f[1] >= e[1] + len(e[3]) and self.counts.get(f[0], 0) > max(4 * n, least):
+                    if f[1] >= e[1] + len(e[3]) and self.counts.get(f[0], 0) > 4 * n:
                         out.append([e, f])
         return out
 
     def judge(self, w: str, n: int) -> tuple[str, float] | None:
         """The correction of a word and its score, None to keep it."""
-        if not is_word(w) or n > self.total / 2000:
+        if not is_word(w):
             return None
         best = None
         for s in self.scripts(w, n):
@@ -286,8 +288,8 @@ class Editor:
                     i, s, t = rng.choice(spots)
                     w = w[:i] + s + w[i + len(t):]
             if w != v:
-                if self.counts.get(w, 0) <= n / 30 and is_word(w):
-                    seen_n = max(1, int(n / rng.choice((60, 200, 400, 1000)))) if rng.random() < 0.7 else 1
+                if self.counts.get(w, 0) <= n / 25 and is_word(w):
+                    seen_n = max(1, int(n / rng.choice((25, 40, 60, 200, 400, 1000)))) if rng.random() < 0.7 else 1
                     hidden = rng.random() < 0.12 and n < 50  # a word the corpus holds in its damaged form only
                     if hidden:
                         kept = self.counts.pop(v)
@@ -434,6 +436,7 @@ def without_broken(text: str, breaks: re.Pattern) -> str:
 def corpus_counts(items: DataFrame) -> DataFrame:
     """kind, key, n, near, inside, numbered: counts of words (kind w) and of title-like lines by outline (kind t).
 
+    Each distinct text counts once, however many rows hold it: copies say nothing about how often a form is written.
     Parts of broken words are left out. Each task sends one row per distinct key."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -471,7 +474,7 @@ def corpus_counts(items: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    part = items.select("origin", "text").mapInPandas(run, "kind string, key string, n long, near long, inside long, numbered long")
+    part = items.select("origin", "text").dropDuplicates().mapInPandas(run, "kind string, key string, n long, near long, inside long, numbered long")
     return part.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "near", "inside", "numbered")))
 
 

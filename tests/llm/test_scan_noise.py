@@ -99,3 +99,18 @@ def test_frequent_words_stay_whatever_they_resemble():
     editor = scan.Editor(counts).train()
     assert editor.judge("bath", 4000) is None and editor.judge("Bath", 4000) is None and editor.judge("both", 60_000) is None
     assert editor.judge("bofh", 30)[0] == "both" and editor.judge("catalysf", 4)[0] == "catalyst"
+
+
+def test_misread_words_of_a_copied_text_are_found(spark):
+    """A third of the rows hold one text: its misread words are as rare as in one copy."""
+    hot = "The cata1yst of the reacfor was measured between current and pressure"
+    rows = [(i, t) for i, t in enumerate(corpus(2, 200))] + [(1000 + i, hot) for i in range(100)]
+    tool = scan.train(frame(spark, rows))
+    assert tool.fix("cata1yst") == "catalyst" and tool.fix("reacfor") == "reactor" and tool.defects("document", hot) == {(0, "misread")}
+    once = {(r.kind, r.key): r.n for r in scan.corpus_counts(frame(spark, rows[:201])).collect()}
+    assert once == {(r.kind, r.key): r.n for r in scan.corpus_counts(frame(spark, rows)).collect()}
+
+
+def test_repeated_misreadings_of_a_rarer_word_are_found():
+    counts = {w: 60 + 20 * i for i, w in enumerate(WORDS)} | {"catalyst": 125, "catalysf": 5}
+    assert scan.Editor(counts).train().judge("catalysf", 5)[0] == "catalyst"
