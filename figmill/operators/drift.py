@@ -20,8 +20,9 @@ gives an empty result.
 from __future__ import annotations
 
 import difflib
+import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -407,42 +408,89 @@ def _string(v: object) -> str | None:
     return str(v)
 
 
-def unify_packet(packet: dict, renamed: dict[str, str]) -> dict:
-    """A packet in the baseline's shape: renamed fields under their baseline names, values in the baseline's types."""
+def _without(v: object, packets: set[int]) -> object:
+    """A value of a wrapper without the packets (by id) in it, None where nothing is left."""
+    if isinstance(v, list) and any(id(x) in packets for x in v):
+        return [x for x in v if id(x) not in packets] or None
+    return v
+
+
+def unify_packet(packet: dict, renamed: dict[str, str], around: dict[str, object] | None = None) -> dict:
+    """A packet in the baseline's shape: renamed fields under their baseline names, values in the baseline's types.
+
+    What has no column, or more in it than its column holds, stays in the ``rest`` of the packet, item or point: a map
+    of path to JSON value, without nulls. ``around`` is what a wrapper holds beside the packets."""
     from figmill.operators.shred import legend_items, open_text_evidence
 
     packet = open_text_evidence(packet)
-    moved = {b: n for b, n in renamed.items()}
+    used: set[tuple[int, str]] = set()
 
-    def get(holder: object, path: str) -> object:
-        holder = holder if isinstance(holder, dict) else {}
+    def place(holder: dict, path: str) -> tuple[dict, str] | None:
         key = path.rpartition(".")[2]
         if key in holder:
-            return holder[key]
-        new = moved.get(path)
+            return holder, key
+        new = renamed.get(path)
         if new is None:
             return None
-        return holder.get(new.rpartition(".")[2]) if parent(new) == parent(path) else packet.get(new)
-
-    meta, te = get(packet, "meta"), get(packet, "text_evidence")
-    out = {k: _string(get(meta, f"meta.{k}")) for k in ("figure_id", "source_intermediate_dir", "caption")}
+        return (holder, new.rpartition(".")[2]) if parent(new) == parent(path) else (packet, new)
+
+    def get(holder: object, path: str, read: Callable = lambda v: v, whole: Callable = lambda v, x: True) -> object:
+        at = place(holder, path) if isinstance(holder, dict) else None
+        v = at[0].get(at[1]) if at else None
+        x = read(v)
+        if at and whole(v, x):
+            used.add((id(at[0]), at[1]))
+        return x
+
+    plain = lambda v, x: x is not None and not isinstance(v, (list, dict))
+    string = lambda h, path: get(h, path, _string, plain)
+    number = lambda h, path: get(h, path, _number, plain)
+
+    def rest(holder: object, path: str) -> dict[str, str]:
+        """The unused fields of a holder; a holder that is none, or has fields to lose, as a whole."""
+        if isinstance(holder, dict):
+            return {(f"{path}.{k}" if path else k): json.dumps(v, ensure_ascii=False) for k, v in holder.items() if v is not None and (id(holder), k) not in used}
+        return {path: json.dumps(holder, ensure_ascii=False)} if isinstance(holder, list) else {}
+
+    def item(x: object, at: str) -> dict:
+        if not isinstance(x, dict):
+            return {"text": _string(x), "source_file": None, "note": None, "rest": rest(x, f"{at}[]")}
+        out = {k: string(x, f"{at}[].{k}") for k in ("text", "source_file", "note")}
+        return out | {"rest": rest(x, f"{at}[]")}
+
+    is_object = lambda v, x: isinstance(v, dict)
+    meta, te = get(packet, "meta", whole=is_object), get(packet, "text_evidence", whole=is_object)
+    out = {k: string(meta, f"meta.{k}") for k in ("figure_id", "source_intermediate_dir", "caption")}
     for kind in ("x_axis_title", "y_axis_title", "chart_text"):
         at = f"text_evidence.{kind}"
         items = get(te, at)
         items = items if isinstance(items, list) else [items] if items else []
-        out[kind] = [{"text": _string(get(x, f"{at}[].text")) if isinstance(x, dict) else _string(x), "source_file": _string(get(x, f"{at}[].source_file"))} for x in items]
-    out["legend_text"] = [{"text": _string(t), "source_file": s or None} for t, s in legend_items(packet)]
-    data = get(packet, "raw_data")
+        out[kind] = [item(x, at) for x in items]
+    at = "text_evidence.legend_text"
+    legend = legend_items(packet)
+    # items that stand one by one keep their other fields; other forms of a legend stay whole in the packet's rest
+    own = get(te, at, whole=lambda v, x: isinstance(v, list) and len(v) == len(legend))
+    own = own if isinstance(own, list) and len(own) == len(legend) else [None] * len(legend)
+    out["legend_text"] = [item(x, at) | {"text": _string(t), "source_file": s or None} for (t, s), x in zip(legend, own)]
+    data = get(packet, "raw_data", whole=lambda v, x: isinstance(v, dict) or isinstance(v, list) and all(y is None or isinstance(y, dict) for y in v))
     if isinstance(data, dict):
         cols = {k: v if isinstance(v, list) else [v] for k, v in data.items()}
         data = [{k: v[i] if i < len(v) else None for k, v in cols.items()} for i in range(max(map(len, cols.values()), default=0))]
     pts = [x for x in data if isinstance(x, dict)] if isinstance(data, list) else []
-    out["raw_data"] = [{"Series": _string(get(x, "raw_data[].Series")), **{k: _number(get(x, f"raw_data[].{k}")) for k in ("X", "Y_Left", "Y_Right")}} for x in pts]
+    out["raw_data"] = []
+    for x in pts:
+        point = {"Series": string(x, "raw_data[].Series"), **{k: number(x, f"raw_data[].{k}") for k in ("X", "Y_Left", "Y_Right")}}
+        out["raw_data"].append(point | {"rest": rest(x, "raw_data[]")})
+    out["rest"] = {k: json.dumps(v, ensure_ascii=False) for k, v in (around or {}).items() if v is not None} | rest(packet, "")
+    for holder, path in ((meta, "meta"), (te, "text_evidence")):
+        if isinstance(holder, dict):
+            out["rest"] |= rest(holder, path)
     return out
 
 
-_ITEMS = "array<struct<text: string, source_file: string>>"
-UNIFIED = f"file_id long, packet_no int, figure_id string, source_intermediate_dir string, caption string, x_axis_title {_ITEMS}, y_axis_title {_ITEMS}, chart_text {_ITEMS}, legend_text {_ITEMS}, raw_data array<struct<Series: string, X: double, Y_Left: double, Y_Right: double>>"
+_REST = "rest: map<string, string>"
+_ITEMS = f"array<struct<text: string, source_file: string, note: string, {_REST}>>"
+UNIFIED = f"file_id long, packet_no int, figure_id string, source_intermediate_dir string, caption string, x_axis_title {_ITEMS}, y_axis_title {_ITEMS}, chart_text {_ITEMS}, legend_text {_ITEMS}, raw_data array<struct<Series: string, X: double, Y_Left: double, Y_Right: double, {_REST}>>, rest map<string, string>"
 
 
 #: Versions up to which the renames of a corpus are sent to the tasks; beyond, they are joined to the files.
@@ -457,14 +505,17 @@ def unified(raw: DataFrame, schema: DataFrame) -> DataFrame:
     base, spark = _baseline(schema), raw.sparkSession
     part = _one_pass(raw, schema)
     found_ = cut(renames(_changes(part), _sketches(part), schema))
-    names = ["file_id", "packet_no", "figure_id", "source_intermediate_dir", "caption", "x_axis_title", "y_axis_title", "chart_text", "legend_text", "raw_data"]
+    names = ["file_id", "packet_no", "figure_id", "source_intermediate_dir", "caption", "x_axis_title", "y_axis_title", "chart_text", "legend_text", "raw_data", "rest"]
 
     def packets(fid: int, payload: str | None, renamed: dict[str, str]) -> list[tuple]:
         root = load(payload)
         own = packets_of(root)
         if not own and isinstance(root, list) and any(isinstance(x, dict) for x in root):
             own = [{"raw_data": root}]
-        return [(fid, no, *(u[k] for k in names[2:])) for no, u in enumerate(unify_packet(p, renamed) for p in own)]
+        # of a wrapper, all but the packets themselves
+        ids = set(map(id, own))
+        around = {k: left for k, v in root.items() if (left := _without(v, ids)) is not None} if isinstance(root, dict) and own and own[0] is not root else {}
+        return [(fid, no, *(u[k] for k in names[2:])) for no, u in enumerate(unify_packet(p, renamed, around) for p in own)]
 
     if found_.select("version").distinct().count() <= SENT_VERSIONS:
         per: dict[str, dict[str, str]] = {}

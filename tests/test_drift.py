@@ -84,3 +84,19 @@ def test_names():
     assert drift.name_similarity("Y_Right", "yRight") == 1.0 and drift.name_similarity("Right_Y", "Y_Right") == 1.0
     assert drift.name_similarity("caption", "figure_caption") > 0.6 > drift.name_similarity("text", "conf")
     assert drift.name_similarity("source_intermediate_dir", "src_dir") > 0.6
+
+
+def test_unified_keeps_every_value(spark):
+    p, q = packet(1), packet(2)
+    p["text_evidence"]["x_axis_title"] = [{"text": "T", "source_file": "a.png", "note": "hand", "conf": 0.5}]
+    p["text_evidence"]["legend_text"] = [{"text": "L", "source_file": "b.png", "note": "twice", "lang": "de"}]
+    p["meta"] |= {"page": 7, "dpi": None}
+    p["run"], p["raw_data"][0]["color"], p["raw_data"][0]["X"] = {"id": "r"}, "#f00", "about 3"
+    q["raw_data"][0]["Y_Right"], q["raw_data"] = [1, 2], [*q["raw_data"], 5]
+    rows = [(1, json.dumps(p)), (2, json.dumps({"schema_version": 3, "packets": [q]}))]
+    got = {r.file_id: r for r in drift.unified(spark.createDataFrame(rows, "file_id long, payload string"), schema(spark)).collect()}
+    u = got[1]
+    assert u.x_axis_title[0].asDict() == {"text": "T", "source_file": "a.png", "note": "hand", "rest": {"text_evidence.x_axis_title[].conf": "0.5"}}
+    assert u.legend_text[0].asDict() == {"text": "L", "source_file": "b.png", "note": "twice", "rest": {"text_evidence.legend_text[].lang": '"de"'}}
+    assert u.rest == {"meta.page": "7", "run": '{"id": "r"}'} and u.raw_data[0].rest == {"raw_data[].color": '"#f00"', "raw_data[].X": '"about 3"'}
+    assert got[2].raw_data[0].rest == {"raw_data[].Y_Right": "[1, 2]"} and got[2].rest["schema_version"] == "3" and json.loads(got[2].rest["raw_data"])[1] == 5
