@@ -74,7 +74,11 @@ def assigned(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
 
 
 def pivoted(cells: DataFrame, width: int = 6) -> DataFrame:
-    """row_index, c0 .. c<width - 1>: the texts of a table by row, "" where there is none, the last cell_id winning."""
+    """row_index, c0 .. c<width - 1>: the texts of a table by row, "" where there is none, the last cell_id winning.
+
+    There are at least ``width`` columns, and as many as the widest table has: its last column is asked for first."""
+    last = cells.where("row_index is not null and col_index is not null").agg(F.max("col_index")).first()[0]
+    width = max(width, 0 if last is None else last + 1)
     top = cells.where("row_index is not null and col_index is not null").groupBy(*TABLE).agg(F.max("row_index").alias("last_row"))
     frame = top.select(*TABLE, F.explode(F.sequence(F.lit(0), F.col("last_row"))).alias("row_index"))
     cols = [F.max_by(F.when(F.col("col_index") == c, F.coalesce("content", F.lit(""))), F.when(F.col("col_index") == c, F.col("cell_id"))).alias(f"c{c}") for c in range(width)]

@@ -18,6 +18,12 @@ def test_pivot_last_write_wins(spark):
     assert got == {0: ("a", ""), 1: ("", "c"), 2: ("", "")}
 
 
+def test_pivot_keeps_wide_tables(spark):
+    df = cells(spark, [(0, c, f"t{c}", 0.0, 0.0) for c in range(9)])
+    got = tables.pivoted(df).collect()
+    assert [[r[f"c{c}"] for c in range(9)] for r in got] == [[f"t{c}" for c in range(9)]]
+
+
 def test_sequential(spark):
     df = spark.range(1000).selectExpr("id * 7 % 1009 as k")
     got = sorted((r.no, r.k) for r in tables.sequential(df, "k", "no", 1).collect())
