@@ -203,11 +203,13 @@ def sketch_similarity(base: np.ndarray, new: np.ndarray) -> float | None:
     return sum(v * w for v, w in parts) / sum(w for _, w in parts)
 
 
-def pair_weight(base_path: str, base_type: str, base_sketch: np.ndarray, new_path: str, new_types: set[str], new_sketch: np.ndarray, replaces: float) -> float:
+def pair_weight(base_path: str, base_type: str, base_sketch: np.ndarray, new_path: str, new_types: dict[str, int], new_sketch: np.ndarray, replaces: float) -> float:
     """How much a new field looks like the successor of a missing one: name, values and ``replaces``,
-    the share of the new field's files that lack the old one. 0 where types or places exclude it."""
-    kinds = new_types - {"null"}
-    if kinds and kinds != {base_type}:
+    the share of the new field's files that lack the old one; all by the share of the new field's files (``new_types``
+    counts them by type) that have the old one's type. 0 where types or places exclude it."""
+    kinds = {t: n for t, n in new_types.items() if t != "null"}
+    fits = kinds.get(base_type, 0) / sum(kinds.values()) if kinds else 1.0
+    if not fits:
         return 0.0
     if base_type in ("array", "object") and not kinds:
         return 0.0
@@ -217,10 +219,10 @@ def pair_weight(base_path: str, base_type: str, base_sketch: np.ndarray, new_pat
         return 0.0
     value = sketch_similarity(base_sketch, new_sketch)
     if base_type in ("array", "object"):
-        return 0.6 * name + 0.4 * replaces
+        return fits * (0.6 * name + 0.4 * replaces)
     if value is None:
-        return 0.65 * name + 0.35 * replaces
-    return 0.3 * name + 0.35 * value + 0.35 * replaces
+        return fits * (0.65 * name + 0.35 * replaces)
+    return fits * (0.3 * name + 0.35 * value + 0.35 * replaces)
 
 
 def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -307,7 +309,8 @@ def _sketches(part: DataFrame) -> DataFrame:
     vec = bins.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     head = part.groupBy("path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.sum("files").alias("files"), F.sum("objects").alias("objects"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(F.element_at("m", b), F.lit(0).cast("long")))
-    return head.join(vec, "path", "left").select("path", "types", "files", "objects", filled.alias("sketch"))
+    kinds = part.groupBy("path", "type").agg(F.sum("files").alias("n")).groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("by_type"))
+    return head.join(vec, "path", "left").join(kinds, "path", "left").select("path", "types", "files", "objects", filled.alias("sketch"), "by_type")
 
 
 def _changes(part: DataFrame) -> DataFrame:
@@ -315,7 +318,7 @@ def _changes(part: DataFrame) -> DataFrame:
 
 
 def sketch_table(raw: DataFrame, schema: DataFrame) -> DataFrame:
-    """path, types, files, objects, sketch: value sketches of every path over the whole corpus."""
+    """path, types, files, objects, sketch, by_type: value sketches of every path over the whole corpus, its files by type."""
     return _sketches(_one_pass(raw, schema))
 
 
@@ -332,7 +335,7 @@ def renames(changes: DataFrame, sketches: DataFrame, schema: DataFrame) -> DataF
     # how many files have a new path while a baseline path is missing: at most one entry per baseline path
     pairs = versions.select(F.explode("new").alias("path"), "missing", "files").select("path", F.explode("missing").alias("base_path"), "files").groupBy("path", "base_path").agg(F.sum("files").alias("n"))
     lacking = pairs.groupBy("path").agg(F.collect_list(F.struct("base_path", "n")).alias("lacking"))
-    rows = sides.join(sketches.select("path", "types", "files", "sketch"), "path", "left").join(lacking, "path", "left")
+    rows = sides.join(sketches.select("path", F.map_entries("by_type").alias("types"), "files", "sketch"), "path", "left").join(lacking, "path", "left")
 
     # one row per version, with its few fields
     per = rows.groupBy("version").agg(F.sort_array(F.collect_list(F.struct("path", "side", "types", "files", "sketch", "lacking"))).alias("fields"))
@@ -349,7 +352,7 @@ def renames(changes: DataFrame, sketches: DataFrame, schema: DataFrame) -> DataF
                         old.append((f["path"], sk))
                     else:
                         share = {} if f["lacking"] is None else {e["base_path"]: e["n"] / (max(f["files"] or 0, e["n"]) + 0.5) for e in f["lacking"]}
-                        new.append((f["path"], set() if f["types"] is None else set(f["types"]), sk, share))
+                        new.append((f["path"], {} if f["types"] is None else {e["key"]: e["value"] for e in f["types"]}, sk, share))
                 w = np.array([[pair_weight(p, base.types[p], s, q, t, k, share.get(p, 0.0)) for q, t, k, share in new] for p, s in old])
                 w[w < MATCH_AT] = 0.0
                 out += [(version, old[i][0], new[j][0], float(w[i, j])) for i, j in assignment(w) if w[i, j] > 0]

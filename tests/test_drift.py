@@ -100,3 +100,14 @@ def test_unified_keeps_every_value(spark):
     assert u.legend_text[0].asDict() == {"text": "L", "source_file": "b.png", "note": "twice", "rest": {"text_evidence.legend_text[].lang": '"de"'}}
     assert u.rest == {"meta.page": "7", "run": '{"id": "r"}'} and u.raw_data[0].rest == {"raw_data[].color": '"#f00"', "raw_data[].X": '"about 3"'}
     assert got[2].raw_data[0].rest == {"raw_data[].Y_Right": "[1, 2]"} and got[2].rest["schema_version"] == "3" and json.loads(got[2].rest["raw_data"])[1] == 5
+
+
+def test_one_file_of_another_type_leaves_the_rename(spark):
+    rows = [(i, json.dumps(packet(i))) for i in range(20)]
+    for i in range(20, 41):
+        p = packet(i)
+        p["raw_data"][0]["Right_Y"] = p["raw_data"][0].pop("Y_Right") if i < 40 else "n/a"
+        p["raw_data"][0].pop("Y_Right", None)
+        rows.append((i, json.dumps(p)))
+    raw = spark.createDataFrame(rows, "file_id long, payload string")
+    assert sorted(tuple(r) for r in drift.found(raw, schema(spark)).collect()) == [(i, "raw_data[].Y_Right", "renamed") for i in range(20, 41)]
