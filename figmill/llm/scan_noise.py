@@ -5,7 +5,7 @@ delete and insert operations on its characters (m read as rn is one replacement
 and one deletion, and so on) and, at line ends, whether to join two parts. It
 learns from words of the corpus that are damaged artificially, with features of
 the operations, the characters around them, character n-grams and corpus
-counts. A second perceptron, with features of the page position, tells running
+counts. A second perceptron, with corpus counts of a line's outline, tells running
 headers from text.
 
 How it runs: one pass counts words and title-like lines of all distinct texts (copies
