@@ -1,368 +1,106 @@
 """Repair of text from scanned pages (problem 2).
 
-An averaged-perceptron editor proposes, for each word, scripts of keep, replace,
-delete and insert operations on its characters (m read as rn is one replacement
-and one deletion, and so on) and, at line ends, whether to join two parts. It
-learns from words of the corpus that are damaged artificially, with features of
-the operations, the characters around them, character n-grams and corpus
-counts. A second perceptron, with corpus counts of a line's outline, tells running
-headers from text.
-
-How it runs: one pass counts words and title-like lines of all distinct texts (copies
-meet by a shuffle, after each task has dropped its own), added up in each task before
-they are shuffled. The editor is trained from these counts. A
-second pass over the texts, without a shuffle, finds furniture and broken words
-and lets the editor judge each distinct word once per task. What is broadcast is
-bounded by LEXICON_WORDS and HEADER_KEYS; words beyond count as seen once.
+An averaged-perceptron editor (``editor``) turns misread words into words of the
+corpus by keep, replace, delete and insert operations on their characters and
+joins words at line ends; two perceptrons over a line's place on its page and the
+corpus counts of its outline find running headers and page numbers (``furniture``).
+
+How it runs. One pass over the texts counts words, lines that may be furniture and
+pairs of word parts; copies of a document or packet together count once. All
+judgements are made on these tables in Spark, once for each distinct word, pair and
+line: words meet their possible corrections by an equi-join on keys, counts are
+looked up by joins. The models learn from a bounded sample (TRAIN_WORDS,
+``furniture.EXAMPLES``). A last pass over the texts puts the verdicts in place: the
+most frequent ones (COMMON) are sent to the tasks; texts that hold any other key
+ask for theirs by a shuffle and are done in a second step, so that the result
+doesn't depend on COMMON.
 
 Edge cases: null and empty texts have no defects; lines may end in \\r\\n; numbers
 in tables, suspended hyphens (pre- and post-), compounds at a line end, formulas
-and words in other scripts are no defects; repeated rows give rows each.
+and words in other scripts are no defects; repeated rows give rows each; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from figmill.llm import furniture
+from figmill.llm.editor import LONGEST, USUAL, Editor, Trigrams, damaged, is_word, keys, misreading, places
+from figmill.llm.furniture import MARKS, Furniture
 from figmill.llm.perceptron import Perceptron
 from figmill.session import cut
 
-#: Bounds of what is broadcast: words of the lexicon (by count), header keys; and of the artificial training examples.
-LEXICON_WORDS, HEADER_KEYS, TRAIN_WORDS = 200_000, 20_000, 4000
-#: A word is tried for two misreadings at once if one of its trigrams is less likely than this (a logarithm).
-ODD = -4.0
+#: Verdicts of each kind that are sent to the tasks; words the editor learns from; groups of copies that are joined by broadcast.
+COMMON, TRAIN_WORDS, SENT_COPIES = 200_000, 4000, 500_000
 #: A word with another one beside it that is seen over DOMINANCE times as often may itself be misread and isn't learned from.
 DOMINANCE = 25
-#: What is read and what stands on the page, for one misread character.
-MISREAD = [
-    ("o", "a"), ("a", "o"), ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("9", "g"), ("8", "b"), ("6", "b"),
-    ("f", "t"), ("t", "f"), ("b", "h"), ("h", "b"), ("cl", "d"), ("d", "cl"), ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("u", "ii"),
-    ("vv", "w"), ("w", "vv"), ("l", "I"), ("1", "I"), ("0", "O"), ("5", "S"), ("8", "B"), ("6", "G"), ("li", "h"), ("lc", "k"), ("q", "g"), ("g", "q"), ("u", "n"), ("n", "u"),
-]
-BY_FIRST: dict[str, list[tuple[str, str]]] = {}
-for _seen, _true in MISREAD:
-    BY_FIRST.setdefault(_seen[0], []).append((_seen, _true))
-#: Marks that break a word.
-MARKS = "-‐‑¬\u00ad"
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
-LATIN = re.compile(r"^[A-Za-zÀ-ÖØ-öø-ÿ0-9'’-]+$")
-CHEMICAL_LINE = re.compile(r"^(?:[BCNOPSFIHclnosr0-9]{1,2}|[\[\]()=#@+\\/-])+$")
 UNSEEN = re.compile("[\u200b-\u200f\u2060-\u2064\ufeff]")
 BROKEN_END = re.compile(rf"([^\W_][^\W_'’-]*(?:[-'’][^\W_]+)*)([{MARKS}])[ \t]*$")
 BROKEN_INSIDE = re.compile(rf"(?<=[^\W_])([{MARKS}])[ \t]+(?=[^\W\d_])")
-#: A longer run of letters is no word, and no part of a broken one.
-LONGEST = 64
 STARTS = re.compile(r"[^\W\d_][^\W_]*(?:[-'’][^\W_]+)*")
-PAGE_NUMBER = re.compile(r"^(?:\d{1,5}|\d+ ?/ ?\d+|p\. ?\d+|pp?\. \d+|[-–—] ?\d+ ?[-–—]|Page \d+(?: of \d+)?|\[\d+\]|S\d+)$", re.I)
-_VOLUME = re.compile(r"(?:,? Vol\. ?\w+| \w+ \(\w{4}\))(?:\s+\w+)?$")
-_OUTLINE = str.maketrans({"1": "l", "i": "l", "|": "l", "0": "o", "a": "o", "q": "g", "9": "g", "e": "c", "f": "t", "5": "s", "8": "b", "h": "b", "m": "rrl", "n": "rl", "u": "ll", "d": "cl", "w": "vv", "6": "b"})
-
-
-#: Words that stay small in a title, by outline.
-SMALL_WORDS = {w.translate(_OUTLINE) for w in "a an and as at by for from in into of on or over per the to under via with und der die das im in für von mit bei y de del la el en los las con por".split()}
-
-
-# --- furniture --------------------------------------------------------------
-
-
-def title_key(line: str) -> str | None:
-    """The outline of a line that has the shape of a title (with or without a page or volume number), else None."""
-    if not 8 <= len(line) <= 80 or PAGE_NUMBER.match(line) or line[-1] in ".;:!?" and not re.search(r"Vol\.$", line):
-        return None
-    body = re.sub(r"^\d+\s{2,}|\s{2,}\d+$", "", line)
-    body = _VOLUME.sub("", body).strip()
-    words = body.split()
-    if not 2 <= len(words) <= 8 or any(c in body for c in "|=<>{}/\t\"%°"):
-        return None
-    if not (words[0][0].isupper() or words[0][0].isdigit() and any(c.isalpha() for c in words[0])):
-        return None
-    for w in words:
-        if not (w[0].isupper() or w[0].isdigit() and not w.isdigit() or w.translate(_OUTLINE) in SMALL_WORDS) or w[-1] in ".,;:":
-            return None
-    return "".join(c for c in body.lower().translate(_OUTLINE) if c.isalpha())
-
-
-def title_features(n: int, near: int, inside: int, numbered: int, docs: int) -> list[str]:
-    """Features of a title-like line over the corpus: how often, beside page numbers, inside a sentence, with a number."""
-    b = lambda x: str(min(5, int(6 * x / max(1, n))))
-    return ["bias", f"n{min(6, int(math.log2(1 + n)))}", "near" + b(near), "inside" + b(inside), "numbered" + b(numbered), f"docs{min(4, docs)}", f"near{b(near)}numbered{b(numbered)}"]
-
-
-def train_headers(rows: list[tuple[str, int, int, int, int, int]]) -> set[str]:
-    """Keys of running headers: a perceptron that learns from the clear cases and judges all."""
-    examples = []
-    for _, n, near, inside, numbered, docs in rows:
-        if n >= 3 and (near + numbered) / n >= 0.3:
-            examples.append((title_features(n, near, inside, numbered, docs), True))
-        elif (near + numbered) == 0 and (n >= 3 or inside):
-            examples.append((title_features(n, near, inside, numbered, docs), False))
-    examples += [(title_features(1, 0, i, 0, 1), False) for i in (0, 1)] * max(3, len(examples) // 20)
-    examples += [(title_features(1, 1, i, 1, 1), True) for i in (0, 1)] * max(3, len(examples) // 20)
-    model = Perceptron.train(examples[: 4 * TRAIN_WORDS], 8)
-    return {r[0] for r in rows if model.score(title_features(*r[1:])) > 0}
-
-
-def _is_number(line: str) -> bool:
-    return line.isdigit() and len(line) <= 5
-
-
-def page_numbers(lines: list[str], single: bool = False) -> list[bool]:
-    """Which lines are page numbers. A bare number beside another one, or below a table's head, belongs to a table;
-    a text of one line is never furniture."""
-    out = [False] * len(lines)
-    for i, x in enumerate(lines):
-        if x and len(x) <= 24 and PAGE_NUMBER.match(x) and len(lines) > 1:
-            if _is_number(x):
-                before, after = (lines[i - 1] if i else ""), (lines[i + 1] if i + 1 < len(lines) else "")
-                if _is_number(before) or _is_number(after) or re.match(r"^(?:- )?\S{1,12} / \S+$", before) and not PAGE_NUMBER.match(before):
-                    continue
-            out[i] = True
-    return out
-
-
-# --- words ------------------------------------------------------------------
-
-
-def is_word(w: str) -> bool:
-    """Can a token be a word with a misread character? At least two letters, Latin, no formula."""
-    letters = sum(c.isalpha() for c in w)
-    if letters < 2 or not 3 <= len(w) <= LONGEST or len(w) - letters > max(2, letters // 2) or not LATIN.match(w):
-        return False
-    if any(c.isdigit() for c in w) and CHEMICAL_LINE.match(w):
-        return False
-    if not w.isupper() and any(c.isupper() for c in w[1:]) and "-" not in w:
-        return False
-    return True
-
-
-def single_edits(w: str) -> list[tuple[str, int, str, str]]:
-    """(result, place, read, true) of every single misreading undone."""
-    out = []
-    upper = w.isupper()
-    for i, c in enumerate(w):
-        for seen, true in BY_FIRST.get(c.lower() if upper else c, ()):
-            if upper:
-                seen, true = seen.upper(), true.upper()
-            if w.startswith(seen, i):
-                out.append((w[:i] + true + w[i + len(seen):], i, seen, true))
-    return out
-
-
-class Trigrams:
-    """Log-probabilities of the characters of words, types weighted by the log of their counts."""
-
-    def __init__(self, counts: dict[str, int]):
-        tri: Counter[str] = Counter()
-        ctx: Counter[str] = Counter()
-        for w, n in counts.items():
-            s, k = f"^^{w.lower()}$", 1 + math.log2(n)
-            for i in range(2, len(s)):
-                tri[s[i - 2 : i + 1]] += k
-                ctx[s[i - 2 : i]] += k
-        self.score_of = {t: math.log((n + 0.05) / (ctx[t[:2]] + 2.0)) for t, n in tri.items()}
-        self.low = {c: math.log(0.05 / (n + 2.0)) for c, n in ctx.items()}
-
-    def around(self, w: str, i: int, n: int) -> float:
-        """Score of the trigrams that touch the characters i to i + n."""
-        s = f"^^{w.lower()}$"
-        total = 0.0
-        for k in range(i + 2, min(len(s), i + 2 + n + 2)):
-            t = s[k - 2 : k + 1]
-            total += self.score_of.get(t) or self.low.get(t[:2], -4.0)
-        return total
-
-
-    def least(self, w: str) -> float:
-        """Score of the least likely trigram."""
-        s = f"^^{w.lower()}$"
-        return min(self.score_of.get(s[k - 2 : k + 1]) or self.low.get(s[k - 2 : k], -4.0) for k in range(2, len(s)))
-
-
-class Editor:
-    """The trained editor: a lexicon with counts, character n-grams and perceptron weights for words and for line ends."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.misread: dict[str, int] = {}  # words of the corpus that are no words, with their counts
-        self.total = sum(counts.values()) or 1
-        self.grams = Trigrams({w: n for w, n in counts.items() if n > 1 and is_word(w)} or counts)
-        self.words = Perceptron()
-        self.ends = Perceptron()
-
-    # features
-
-    def edit_features(self, w: str, n: int, edits: list[tuple[str, int, str, str]]) -> list[str]:
-        """Features of a script that turns w (seen n times) into the result of its last edit."""
-        v = edits[-1][0]
-        have = self.counts.get(v, 0)
-        gain, at = 0.0, w
-        feats = ["bias", f"edits{len(edits)}", f"len{min(8, len(w))}"]
-        for result, i, seen, true in edits:
-            gain += self.grams.around(result, i, len(true)) - self.grams.around(at, i, len(seen))
-            op = f"{seen.lower()}>{true.lower()}"
-            feats += [f"op{op}", f"left{at[max(0, i - 1):i].lower()}{op}", f"right{op}{at[i + len(seen): i + len(seen) + 1].lower()}"]
-            at = result
-        g = max(-4, min(6, int(gain / 1.5)))
-        ratio = max(-3, min(9, int(math.log2((have + 0.5) / (n + 0.5))))) if have else -9
-        digit = any(c.isdigit() for c in w) and not any(c.isdigit() for c in v)
-        feats += [f"gain{g}", f"ratio{ratio}", f"ratio{ratio}gain{g}", f"digit{digit}gain{g}", f"digit{digit}ratio{ratio}", f"short{len(w) < 5}ratio{ratio}", f"n{min(4, int(math.log2(1 + n)))}have{min(8, int(math.log2(1 + have)))}"]
-        # how often the form itself is seen: a frequent one is a misreading only of a much more frequent word, bath isn't one of both
-        often = min(12, int(math.log2(1 + n)))
-        feats += [f"often{often}digit{digit}", f"often{often // 2}ratio{ratio}digit{digit}"]
-        return feats
-
-    def scripts(self, w: str, n: int) -> list[list[tuple[str, int, str, str]]]:
-        """Edit scripts worth a judgement: one edit, or two that end in a known word."""
-        ones = single_edits(w)
-        out = []
-        for e in ones:
-            have = self.counts.get(e[0], 0)
-            if have > n or have == 0 and self.grams.around(e[0], e[1], len(e[3])) - self.grams.around(w, e[1], len(e[2])) > 3.0:
-                out.append([e])
-        if len(w) > 4 and not any(self.counts.get(s[-1][0], 0) > 4 * n for s in out) and self.grams.least(w) < ODD:
-            for e in ones:
-                for f in single_edits(e[0]):
-                    if f[1] >= e[1] + len(e[3]) and self.counts.get(f[0], 0) > 4 * n:
-                        out.append([e, f])
-        return out
+_BREAK_LINE = re.compile(rf"[{MARKS}][ \t]*\r?\n")
+_BREAK_ITEM = re.compile(rf"(?<=[^\W\d_])[{MARKS}]\s+")
 
-    def judge(self, w: str, n: int) -> tuple[str, float] | None:
-        """The correction of a word and its score, None to keep it."""
-        if not is_word(w):
-            return None
-        best = None
-        for s in self.scripts(w, n):
-            score = self.words.score(self.edit_features(w, n, s))
-            key = (score, self.counts.get(s[-1][0], 0), s[-1][0])
-            if score > 0 and (best is None or key > best):
-                best = key
-        return (best[2], best[0]) if best else None
-
-    def end_features(self, first: str, second: str, mark: str) -> list[str]:
-        joined, compound = self.counts.get(first + second, 0), self.counts.get(f"{first}-{second}", 0)
-        a = min(6, int(math.log2(1 + joined)))
-        b = min(6, int(math.log2(1 + compound)))
-        alone = self.counts.get(second, 0) / self.total
-        c = 0 if alone == 0 else max(-12, int(math.log10(alone) * 2)) + 13
-        d = min(4, int(math.log2(1 + self.counts.get(first, 0))))
-        j = self.grams.around(first + second, max(0, len(first) - 2), 4)
-        return ["bias", f"mark{mark != '-'}", f"j{a}c{b}", f"more{joined > compound}{compound > joined}", f"alone{c}j{a > 0}c{b > 0}", f"first{d}j{a > 0}c{b > 0}", f"case{second[:1].isupper()}", f"gram{int(j / 4)}j{a > 0}c{b > 0}", f"known{joined > 0}{compound > 0}"]
-
-    def breaks(self, first: str, second: str, mark: str) -> bool:
-        """Is a mark between two parts a break of one word?"""
-        if not any(c.isalpha() for c in first) or not second or not second[0].isalpha():
-            return False
-        if mark != "-":
-            return True
-        return self.ends.score(self.end_features(first, second, mark)) > 0
-
-    # training
-
-    def train(self, seed: int = 11) -> "Editor":
-        """Learn from words of the lexicon that are damaged and broken artificially."""
-        rng = random.Random(seed)
-        good = sorted((w for w, n in self.counts.items() if n >= 3 and is_word(w) and not any(c.isdigit() for c in w)), key=lambda w: (-self.counts[w], w))
-        # a word with a far more frequent one beside it may itself be misread and would teach the wrong thing
-        good = [w for w in good if not any(self.counts.get(e[0], 0) > DOMINANCE * self.counts[w] for e in single_edits(w))]
-        if not good:
-            return self
-        reverse: dict[str, list[tuple[str, str]]] = {}
-        for seen, true in MISREAD:
-            reverse.setdefault(true[0], []).append((seen, true))
-        # words as often as their rank asks: frequent ones more
-        sample = good[: TRAIN_WORDS // 2] + [rng.choice(good) for _ in range(TRAIN_WORDS // 2)]
-        examples: list[tuple[list[str], bool]] = []
-        for v in sample:
-            n = self.counts[v]
-            w, times = v, 2 if rng.random() < 0.25 and len(v) > 5 else 1
-            for _ in range(times):
-                spots = [(i, s, t) for i, c in enumerate(w) for s, t in reverse.get(c, ()) if w.startswith(t, i)]
-                if spots:
-                    i, s, t = rng.choice(spots)
-                    w = w[:i] + s + w[i + len(t):]
-            if w != v:
-                if self.counts.get(w, 0) <= n / 25 and is_word(w):
-                    seen_n = max(1, int(n / rng.choice((25, 40, 60, 200, 400, 1000)))) if rng.random() < 0.7 else 1
-                    hidden = rng.random() < 0.12 and n < 50  # a word the corpus holds in its damaged form only
-                    if hidden:
-                        kept = self.counts.pop(v)
-                    for script in self.scripts(w, seen_n):
-                        examples.append((self.edit_features(w, seen_n, script), script[-1][0] == v))
-                    if hidden:
-                        self.counts[v] = kept
-            # the word itself, at its own count and as if it were rare
-            for m in {n, max(1, n // rng.choice((1, 2, 8)))}:
-                for script in self.scripts(v, m):
-                    if self.counts.get(script[-1][0], 0) < 20 * m:  # else v may itself be a misread word
-                        examples.append((self.edit_features(v, m, script), False))
-        self.words = Perceptron.train(examples, 6, seed)
-        ends: list[tuple[list[str], bool]] = []
-        for w in sample:
-            if len(w) >= 5 and "-" not in w:
-                i = rng.randrange(2, len(w) - 2)
-                kept = self.counts.pop(w) if rng.random() < 0.3 else 0  # now and then a word the corpus doesn't hold whole
-                ends.append((self.end_features(w[:i], w[i:], "-"), True))
-                if kept:
-                    self.counts[w] = kept
-        compounds = [w for w, n in self.counts.items() if "-" in w.strip("-") and n >= 2]
-        for w in (rng.choice(compounds) for _ in range(len(ends) if compounds else 0)):
-            i = rng.choice([k for k, c in enumerate(w) if c == "-"])
-            if w[:i] and w[i + 1:]:
-                ends.append((self.end_features(w[:i], w[i + 1:], "-"), False))
-        frequent = good[:60]
-        for _ in range(len(sample) // 4):
-            ends.append((self.end_features(rng.choice(good), rng.choice(frequent), "-"), False))
-        self.ends = Perceptron.train(ends, 6, seed)
-        # misread words that occur often enough to be in the lexicon must not pass for corrections of others
-        self.misread = {w: n for w, n in self.counts.items() if self.judge(w, n)}
-        self.counts = {w: n for w, n in self.counts.items() if w not in self.misread}
-        return self
-
-    def seen(self, w: str) -> int:
-        """How often the corpus has a word, at least once."""
-        return self.counts.get(w) or self.misread.get(w, 1)
-
-
-# --- one text ---------------------------------------------------------------
 
+def _pair(first: str, mark: str, second: str) -> str:
+    return f"{first}\t{mark}\t{second}"
 
-class Page:
-    """The lines of a text with their furniture and broken words."""
 
-    def __init__(self, text: str, headers: set[str], editor: Editor | None, inside: bool):
-        self.lines = [x.strip(" \t\r") for x in text.split("\n")]
-        self.number = page_numbers(self.lines)
-        self.header = [False] * len(self.lines)
-        if len(self.lines) > 1:
-            for i, x in enumerate(self.lines):
-                if x and not self.number[i] and (x[0].isupper() or x[0].isdigit()) and (k := title_key(x)) is not None and k in headers:
-                    self.header[i] = True
-        #: (line of the first part, line of the second, first, mark, second, place in the line or None at its end)
-        self.broken: list[tuple[int, int, str, str, str]] = []
-        self.inside: list[tuple[int, str, str, str]] = []
-        if editor is None:
-            return
-        body = [i for i in range(len(self.lines)) if not self.number[i] and not self.header[i]]
-        for a, b in zip(body, body[1:]):
-            x = self.lines[a]
-            if x and x[-1] in MARKS and self.lines[b]:
-                m, s = BROKEN_END.search(x[-2 * LONGEST :]), STARTS.match(self.lines[b][: 2 * LONGEST])
-                if m and s and editor.breaks(m[1], s[0], m[2]):
-                    self.broken.append((a, b, m[1], m[2], s[0]))
+class Page:
+    """The lines of a text with what may be furniture and what may be a broken word."""
+
+    def __init__(self, text: str, inside: bool):
+        self.lines = lines = [x.strip(" \t\r") for x in text.split("\n")]
+        self.marks = {i: (k, f"{k}\t{p}") for i, k, p in furniture.candidates(lines)}
+        #: line of the first part -> (line of the second, first, mark, second), for each line that may follow it
+        self.ends: dict[int, list[tuple[int, str, str, str]]] = {}
+        for a, x in enumerate(lines[:-1]):
+            if x and x[-1] in MARKS and (m := BROKEN_END.search(x[-2 * LONGEST :])):
+                for b in range(a + 1, len(lines)):
+                    if not lines[b]:
+                        break
+                    if s := STARTS.match(lines[b][: 2 * LONGEST]):
+                        self.ends.setdefault(a, []).append((b, m[1], m[2], s[0]))
+                    if b not in self.marks:
+                        break
+        #: (line, first, mark, second) of breaks within a line
+        self.within: list[tuple[int, str, str, str]] = []
         if inside:
-            for i in body:
-                x = self.lines[i]
+            for i, x in enumerate(lines):
                 for m in BROKEN_INSIDE.finditer(x):
                     first, s = BROKEN_END.search(x[max(0, m.end(1) - 2 * LONGEST) : m.end(1)]), STARTS.match(x, m.end())
-                    if first and s and len(s[0]) <= LONGEST and editor.breaks(first[1], s[0], m[1]):
-                        self.inside.append((i, first[1], m[1], s[0]))
+                    if first and s and len(s[0]) <= LONGEST:
+                        self.within.append((i, first[1], m[1], s[0]))
+
+    def pairs(self) -> Iterator[tuple[str, str, str]]:
+        for e in self.ends.values():
+            for _, f, m, s in e:
+                yield f, m, s
+        for _, f, m, s in self.within:
+            yield f, m, s
+
+    def settle(self, is_furniture: Callable[[str], bool], joins: Callable[[str], bool]) -> None:
+        """Fill in the verdicts: number, header (by line), broken and inside (joined words)."""
+        self.number = [False] * len(self.lines)
+        self.header = [False] * len(self.lines)
+        for i, (k, ask) in self.marks.items():
+            if is_furniture(ask):
+                (self.number if k[0] == "#" else self.header)[i] = True
+        out = [n or h for n, h in zip(self.number, self.header)]
+        self.broken: list[tuple[int, int, str, str, str]] = []
+        for a, options in self.ends.items():
+            if not out[a]:
+                b = next((b for b in range(a + 1, len(self.lines)) if not out[b]), None)
+                self.broken += [(a, b, f, m, s) for at, f, m, s in options if at == b and joins(_pair(f, m, s))]
+        self.inside = [(i, f, m, s) for i, f, m, s in self.within if not out[i] and joins(_pair(f, m, s))]
 
     def bodies(self, keep: bool = False) -> Iterator[tuple[int, str, list[str]]]:
         """(line, its text, its joined words): lines that aren't furniture, with the parts of broken words taken out
@@ -377,7 +115,7 @@ class Page:
                 continue
             joined = []
             if i in head:
-                x = x[len(head[i]):].lstrip(" ") if keep else x[len(head[i]):]
+                x = x[len(head[i]) :].lstrip(" ") if keep else x[len(head[i]) :]
                 if keep and x[:1] in (".", ",", ";", ":", ")"):  # goes to the joined word above
                     joined.append("")
             if i in tail and x.endswith(tail[i][0]):
@@ -393,28 +131,33 @@ class Page:
             yield i, x, joined
 
 
-# --- the corpus -------------------------------------------------------------
+# --- texts and counts ---------------------------------------------------------
 
 ITEM = "origin string, row_id long, field string, item_no int, text string"
+_TEXTS = ("x_axis_title", "chart_text", "legend_text")
 
 
-def document_items(docs: DataFrame) -> DataFrame:
-    return docs.select(F.lit("document").alias("origin"), F.col("doc_id").alias("row_id"), F.lit("text").alias("field"), F.lit(0).alias("item_no"), "text").where("length(text) > 0")
-
-
-def packet_items(packets: DataFrame) -> DataFrame:
-    """Captions and the texts of x-axis titles, charts and legends, each with its place in its array."""
+def items_of(docs: DataFrame, packets: DataFrame) -> DataFrame:
+    """origin, row_id, field, item_no, text, record: the texts of documents and, each with its place in its array, the
+    captions and the texts of x-axis titles, charts and legends of packets. ``record`` is a hash of all texts of the row."""
+    one = docs.select(F.lit("document").alias("origin"), F.col("doc_id").alias("row_id"), F.lit("text").alias("field"), F.lit(0).alias("item_no"), "text", F.xxhash64("text").alias("record"))
     fields = [F.array(F.struct(F.lit("caption").alias("field"), F.lit(0).alias("item_no"), F.col("meta.caption").alias("text")))]
-    for f in ("x_axis_title", "chart_text", "legend_text"):
+    for f in _TEXTS:
         name = F.lit(f).alias("field")
-        one = F.transform(F.col(f"text_evidence.{f}.text"), lambda x, i: F.struct(name, i.alias("item_no"), x.alias("text")))  # noqa: B023
-        fields.append(F.coalesce(one, F.array().cast("array<struct<field: string, item_no: int, text: string>>")))
-    rows = packets.select(F.lit("packet").alias("origin"), F.col("packet_id").alias("row_id"), F.explode(F.concat(*fields)).alias("i"))
-    return rows.select("origin", "row_id", "i.field", "i.item_no", "i.text").where("length(text) > 0")
+        at = F.transform(F.col(f"text_evidence.{f}.text"), lambda x, i: F.struct(name, i.alias("item_no"), x.alias("text")))  # noqa: B023
+        fields.append(F.coalesce(at, F.array().cast("array<struct<field: string, item_no: int, text: string>>")))
+    record = F.xxhash64("meta.caption", *(F.col(f"text_evidence.{f}.text") for f in _TEXTS))
+    rows = packets.select(F.lit("packet").alias("origin"), F.col("packet_id").alias("row_id"), record.alias("record"), F.explode(F.concat(*fields)).alias("i"))
+    return one.unionByName(rows.select("origin", "row_id", "i.field", "i.item_no", "i.text", "record")).where("length(text) > 0")
 
 
-_BREAK_LINE = re.compile(rf"[{MARKS}][ \t]*\r?\n")
-_BREAK_ITEM = re.compile(rf"(?<=[^\W\d_])[{MARKS}]\s+")
+def weighted(items: DataFrame) -> DataFrame:
+    """origin, text, weight: a text of a record with k copies counts 1/k, so that copies together count once and no text
+    need be shuffled. The records with copies, two numbers each, are joined by broadcast while they are few."""
+    first = items.where("field = 'text' or field = 'caption' or item_no = 0").groupBy("origin", "record", "row_id", "field", "item_no").agg(F.count(F.lit(1)).alias("k"))
+    copies = cut(first.groupBy("origin", "record", "field", "item_no").agg(F.sum("k").alias("k")).groupBy("origin", "record").agg(F.max("k").alias("k")).where("k > 1"))
+    few = copies.limit(SENT_COPIES + 1).count() <= SENT_COPIES
+    return items.join(F.broadcast(copies) if few else copies, ["origin", "record"], "left").select("origin", "text", F.coalesce(F.lit(1.0) / F.col("k"), F.lit(1.0)).alias("weight"))
 
 
 def without_broken(text: str, breaks: re.Pattern) -> str:
@@ -434,67 +177,238 @@ def without_broken(text: str, breaks: re.Pattern) -> str:
 
 
 def corpus_counts(items: DataFrame) -> DataFrame:
-    """kind, key, n, near, inside, numbered: counts of words (kind w) and of title-like lines by outline (kind t).
+    """kind, key, n: counts of words (w), pairs of parts (p) and places of lines that may be furniture (t), from origin, text, weight.
 
-    Each distinct text counts once, however many rows hold it: copies say nothing about how often a form is written.
-    Parts of broken words are left out. Each task sends one row per distinct key."""
+    Parts of broken words count 0 and are listed all the same, as are the words that they may make. Each task sends one
+    row per distinct key."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunks: Counter[str] = Counter()
-        titles: dict[str, list[int]] = {}
+        words: Counter[str] = Counter()
+        other: dict[str, Counter[str]] = {"p": Counter(), "t": Counter()}
 
         def out() -> pd.DataFrame:
-            words: Counter[str] = Counter()
             for c, n in chunks.items():
                 for w in WORD.findall(c):
-                    words[w] += n
-            rows = [("w", w, n, 0, 0, 0) for w, n in words.items() if len(w) <= 64] + [("t", k, *v) for k, v in titles.items()]
-            chunks.clear()
-            titles.clear()
-            return pd.DataFrame(rows, columns=["kind", "key", "n", "near", "inside", "numbered"])
+                    if len(w) <= LONGEST:
+                        words[w] += n
+                        if "-" in w:  # its parts are words, too
+                            for x in w.split("-"):
+                                words[x] += n
+            rows = [("w", k, n) for k, n in words.items()] + [(kind, k, n) for kind, c in other.items() for k, n in c.items()]
+            for c in (chunks, words, *other.values()):
+                c.clear()
+            return pd.DataFrame(rows, columns=["kind", "key", "n"])
 
         for pdf in it:
-            for origin, text in zip(pdf.origin, pdf.text):
+            for origin, text, weight in zip(pdf.origin, pdf.text, pdf.weight):
                 text = UNSEEN.sub("", text)
-                bare = without_broken(text, _BREAK_ITEM if origin == "packet" else _BREAK_LINE)
-                chunks.update(bare.split())
-                if "\n" not in text:
-                    continue
-                lines = [x.strip(" \t\r") for x in text.split("\n")]
-                numbers = None
-                for i, x in enumerate(lines):
-                    if x and len(x) <= 80 and (x[0].isupper() or x[0].isdigit()) and (k := title_key(x)) is not None:
-                        numbers = page_numbers(lines) if numbers is None else numbers
-                        e = titles.setdefault(k, [0, 0, 0, 0])
-                        e[0] += 1
-                        e[1] += any(numbers[max(0, i - 1) : i + 2])
-                        e[2] += i + 1 < len(lines) and lines[i + 1][:1].islower()
-                        e[3] += any(c.isdigit() for c in x)
+                page = Page(text, origin == "packet")
+                pairs = list(page.pairs())
+                bare = text
+                if pairs:
+                    bare = without_broken(text, _BREAK_ITEM if origin == "packet" else _BREAK_LINE)
+                    for f, m, s in pairs:
+                        other["p"][_pair(f, m, s)] += weight
+                        words[f + s] += 0
+                    for c in text.split():
+                        chunks[c] += 0
+                if weight == 1.0:
+                    chunks.update(bare.split())
+                else:
+                    for c in bare.split():
+                        chunks[c] += weight
+                for _, ask in page.marks.values():
+                    other["t"][ask] += weight
             if len(chunks) > 400_000:
                 yield out()
         yield out()
 
-    part = items.select("origin", "text").dropDuplicates().mapInPandas(run, "kind string, key string, n long, near long, inside long, numbered long")
-    return part.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "near", "inside", "numbered")))
+    part = items.mapInPandas(run, "kind string, key string, n double")
+    return part.groupBy("kind", "key").agg(F.round(F.sum("n"), 6).alias("n"))
+
+
+# --- judgement, once for each distinct key -------------------------------------
+
+
+def _mapped(df: DataFrame, f: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Rows of f(*row) for every row, batch by batch."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pd.DataFrame([r for row in pdf.itertuples(index=False) for r in f(*row)], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
+def judged_lines(counts: DataFrame) -> DataFrame:
+    """key, n, say: is a line of this outline at this place furniture?"""
+    rows = counts.where("kind = 't'").select("key", "n", F.substring_index("key", "\t", 1).alias("outline"), F.substring_index("key", "\t", -1).alias("place"))
+    near = F.substring("place", 3, 1).isin("#", "n") | F.substring("place", 5, 1).isin("#", "n")
+    when = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0.0))
+    stats = rows.groupBy("outline").agg(F.sum("n").alias("all_n"), when(near).alias("near"), when(F.substring("place", 6, 1) == "a").alias("inside"), when(F.substring("place", 7, 1) == "d").alias("numbered"))
+    full = cut(rows.join(stats, "outline").select("key", "n", "outline", "place", "all_n", "near", "inside", "numbered"))
+    cols = ["outline", "place", "all_n", "near", "inside", "numbered"]
+    own = []
+    for test in ("outline like '#%'", "outline not like '#%' and near + numbered > 0", "outline not like '#%' and near + numbered = 0"):
+        own += [tuple(r) for r in full.where(test).orderBy(F.xxhash64("key"), "key").limit(furniture.EXAMPLES).select(*cols).collect()]
+    model = full.sparkSession.sparkContext.broadcast(Furniture().train(own))
+    return _mapped(full, lambda key, n, *row: [(key, n, model.value.judge(row))], "key string, n double, say boolean")
+
+
+def _sample(counts: DataFrame) -> list[tuple[str, float]]:
+    """Words to learn from: half the most frequent ones, half by a hash."""
+    words = counts.where("kind = 'w' and n >= 3").where(F.col("key").rlike(r"^[\p{L}'’-]{3,}$")).select("key", "n")
+    got = {r.key: r.n for order in ([F.desc("n"), "key"], [F.xxhash64("key"), "key"]) for r in words.orderBy(*order).limit(TRAIN_WORDS // 2).collect()}
+    return sorted(((w, n) for w, n in got.items() if is_word(w)), key=lambda x: (-x[1], x[0]))
+
+
+def judged_words(counts: DataFrame, sample: list[tuple[str, float]], editor: Editor, seed: int = 11) -> DataFrame:
+    """key, n, say: every word that may be misread, with its correction or null.
+
+    Words meet those that are seen more often on the keys of ``editor.keys``; a pair is scored once. What is itself
+    misread is then no correction of another word."""
+    spark, rng = counts.sparkSession, random.Random(seed)
+    harm: list[tuple[str, str]] = []
+    for v, _ in sample:
+        for _ in range(2):
+            if (w := damaged(v, rng)) != v and is_word(w):
+                harm.append((w, v))
+    asked = sorted({w for w, _ in harm} | {w for w, _ in sample})
+    own = counts.where("kind = 'w'").select("key", "n")
+    real = _mapped(own, lambda w, n: [(w, n, k, False) for k in keys(w)] if is_word(w) else [], "w string, n double, k string, train boolean")
+    extra = spark.createDataFrame([(w, 0.0, k, True) for w in asked for k in keys(w)], "w string, n double, k string, train boolean")
+    meet = cut(real)
+    right = meet.where("n >= 2").select("k", F.col("w").alias("v"), F.col("n").alias("have"))
+    pairs = cut(meet.unionByName(extra).join(right, "k").where("have > n and (train or v <> w)").select("w", "n", "train", "v", "have").distinct())
+
+    # training, on what the sample meets
+    near: dict[str, list[tuple[str, float]]] = {}
+    for r in pairs.where("train").select("w", "v", "have").toLocalIterator():
+        near.setdefault(r.w, []).append((r.v, r.have))
+    count = dict(sample)
+
+    def usual(w: str, v: str) -> bool:
+        s = places(w, v)
+        return bool(s) and all(f"{a}>{b}".lower() in USUAL for _, a, b in s)
+
+    # a word with a far more frequent one beside it may itself be misread and would teach the wrong thing
+    good = {w for w, n in sample if not any(have > DOMINANCE * n and usual(w, v) for v, have in near.get(w, ()) if v != w)}
+    examples: list[tuple[list[str], bool]] = []
+
+    def show(w: str, n: float, v: str, have: float, right: bool) -> None:
+        script = places(w, v)
+        if script and misreading(w, script):
+            examples.append((editor.features(w, n, v, have, script, named=rng.random() < 0.7), right))
+
+    for w, truth in harm:
+        n = count[truth]
+        met = dict(near.get(w, ()))
+        if truth not in good or met.pop(w, 0.0) > n / 25:
+            continue
+        seen = max(1, int(n / rng.choice((25, 40, 60, 200, 400, 1000)))) if rng.random() < 0.7 else 1
+        hidden = rng.random() < 0.12 and n < 50  # a word the corpus holds in its damaged form only
+        for v, have in met.items():
+            if have > seen and not (hidden and v == truth):
+                show(w, seen, v, have, v == truth)
+        for v in editor.proposals(w):
+            if v not in met or hidden and v == truth:
+                show(w, seen, v, 0.0, v == truth)
+    for w, n in sample:
+        if w not in good:
+            continue
+        # the word itself, at its own count and as if it were rare
+        met = {v: have for v, have in near.get(w, ()) if v != w}
+        for m in {n, max(1, n // rng.choice((1, 2, 8))), max(1, n // rng.choice((30, 100, 1000)))}:
+            for v, have in met.items():
+                # else w may itself be a misread word, unless the change is an unusual one
+                if have > m and (have < 20 * m or not usual(w, v)):
+                    show(w, m, v, have, False)
+            for v in editor.proposals(w):
+                if v not in met:
+                    show(w, m, v, 0.0, False)
+    editor.words = Perceptron.train(examples, 6, seed)
+
+    sent = spark.sparkContext.broadcast(editor)
+    whole = lambda w, n, v, have: [(w, v, have, s)] if (s := sent.value.score(w, max(1.0, n), v, have)) > 0 else []
+    met_ = _mapped(pairs.where("not train").select("w", "n", "v", "have"), whole, "w string, v string, have double, score double")
+    free = _mapped(own, lambda w, n: [(w, n, v) for v in sent.value.proposals(w)] if is_word(w) else [], "w string, n double, v string").join(own.select(F.col("key").alias("v")), "v", "left_anti")
+    new = _mapped(free.select("w", "n", "v", F.lit(0.0).alias("have")), whole, "w string, v string, have double, score double")
+    scored = cut(met_.unionByName(new))
+    best = lambda df: df.groupBy("w").agg(F.max_by("v", F.struct("score", "have", "v")).alias("say"))
+    misread = best(scored).select(F.col("w").alias("v"))
+    fixes = best(scored.join(misread, "v", "left_anti"))
+    return own.join(fixes.withColumnRenamed("w", "key"), "key", "left").select("key", "n", "say")
+
+
+def judged_pairs(counts: DataFrame, judged: DataFrame, sample: list[tuple[str, float]], editor: Editor, seed: int = 12) -> DataFrame:
+    """key, n, say: is the mark between two parts a break of one word? A misread form counts as often as its correction (``judged``)."""
+    spark, rng = counts.sparkSession, random.Random(seed)
+    own = counts.where("kind = 'w'").select("key", "n")
+    better = judged.where("say is not null").join(own.select(F.col("key").alias("say"), F.col("n").alias("seen")), "say").select("key", "seen")
+    words = own.join(better, "key", "left").select("key", F.coalesce("seen", "n").alias("n"))
+    good = [w for w, _ in sample]
+    examples: list[tuple[str, str, str, bool, bool]] = []  # first, mark, second, is a break, as if never seen whole
+    for w in good:
+        if len(w) >= 5 and "-" not in w:
+            i = rng.randrange(2, len(w) - 2)
+            examples.append((w[:i], rng.choice("---‐‑¬\u00ad"), w[i:], True, rng.random() < 0.3))
+    compounds = [r.key for r in words.where("n >= 2").where(F.col("key").rlike(r"^[^-]+-.*[^-]$")).orderBy(F.xxhash64("key"), "key").limit(TRAIN_WORDS).collect()]
+    for w in (rng.choice(compounds) for _ in range(len(examples) if compounds else 0)):
+        i = rng.choice([k for k, c in enumerate(w) if c == "-"])
+        if w[:i] and w[i + 1 :]:
+            examples.append((w[:i], rng.choice("-------‐‑"), w[i + 1 :], False, False))
+    for _ in range(len(good) // 4):
+        examples.append((rng.choice(good), rng.choice("----‐"), rng.choice(good[:60]), False, False))
+    rows = [(i, f, m, s) for i, (f, m, s, _, _) in enumerate(examples)]
+    mine = spark.createDataFrame(rows, "no long, first string, mark string, second string").selectExpr("no", "concat_ws('\t', first, mark, second) as key", "0.0D as n")
+    asks = counts.where("kind = 'p'").selectExpr("cast(null as long) as no", "key", "n").unionByName(mine)
+    part = F.split("key", "\t")
+    parts = asks.select("no", "key", "n", part[0].alias("first"), part[1].alias("mark"), part[2].alias("second"))
+    forms = F.array(*(F.struct(F.lit(i).alias("slot"), f.alias("form")) for i, f in enumerate((F.concat("first", "second"), F.concat("first", F.lit("-"), "second"), F.col("first"), F.col("second")))))
+    looked = parts.withColumn("f", F.explode(forms)).select("no", "key", "n", "f.slot", "f.form").join(words.select(F.col("key").alias("form"), F.col("n").alias("seen")), "form", "left")
+    slot = lambda i: F.coalesce(F.max(F.when(F.col("slot") == i, F.col("seen"))), F.lit(0.0)).alias(f"c{i}")
+    full = cut(looked.groupBy("no", "key").agg(F.max("n").alias("n"), *map(slot, range(4))))
+    shown = []
+    for r in full.where("no is not null").orderBy("no").toLocalIterator():
+        first, mark, second, is_break, unseen = examples[r.no]
+        shown.append((editor.end_features(first, second, mark, 0.0 if unseen else r.c0, r.c1, r.c2, r.c3), is_break))
+    editor.ends = Perceptron.train(shown, 6, seed)
+    sent = spark.sparkContext.broadcast(editor)
+
+    def judge(key: str, n: float, *seen: float) -> list[tuple]:
+        first, mark, second = key.split("\t")
+        return [(key, n, sent.value.joins(first, second, mark, *seen))]
+
+    return _mapped(full.where("no is null").select("key", "n", "c0", "c1", "c2", "c3"), judge, "key string, n double, say boolean")
+
+
+# --- verdicts in the texts -------------------------------------------------------
+
+
+class _Open(Exception):
+    """A text holds a key that was not sent."""
 
 
 class Repairer:
-    """The trained editor and the running headers, as they are sent to the tasks."""
+    """The verdicts of the most frequent keys, as they are sent to the tasks. ``whole`` kinds hold all their keys."""
 
-    def __init__(self, editor: Editor, headers: set[str]):
-        self.editor, self.headers = editor, headers
+    def __init__(self, words: dict[str, str | None], pairs: dict[str, bool], lines: dict[str, bool], whole: frozenset[str]):
+        self.words, self.pairs, self.lines, self.whole = words, pairs, lines, whole
         self.known: dict[str, tuple[tuple[str, str], ...]] = {}
 
+    def _say(self, kind: str, table: dict, key: str) -> object:
+        got = table.get(key, _Open)
+        if got is _Open:
+            if kind not in self.whole:
+                raise _Open
+            got = None
+        return got
+
     def fix(self, w: str) -> str | None:
-        """The correction of a word, followed up until it is stable; None to keep it."""
-        out = None
-        for _ in range(3):
-            at = out or w
-            got = self.editor.judge(at, self.editor.seen(at))
-            if got is None or got[0] == w:
-                break
-            out = got[0]
-        return out
+        """The correction of a word; None to keep it."""
+        return self._say("w", self.words, w) if is_word(w) else None
 
     def chunk(self, c: str) -> tuple[tuple[str, str], ...]:
         """(word, correction) of the misread words of a chunk between blanks."""
@@ -505,10 +419,31 @@ class Repairer:
             got = self.known[c] = tuple((w, v) for w in WORD.findall(c) if (v := self.fix(w)) is not None)
         return got
 
+    def page(self, origin: str, text: str) -> Page:
+        page = Page(UNSEEN.sub("", text), origin == "packet")
+        page.settle(lambda k: bool(self._say("t", self.lines, k)), lambda k: bool(self._say("p", self.pairs, k)))
+        return page
+
+    def asks(self, origin: str, text: str) -> set[tuple[str, str]]:
+        """All keys that the verdicts on a text may need and that were not sent."""
+        text = UNSEEN.sub("", text)
+        page = Page(text, origin == "packet")
+        pairs = list(page.pairs())
+        out = {("t", a) for _, a in page.marks.values()} | {("p", _pair(*x)) for x in pairs}
+        out |= {("w", w) for c in set(text.split()) for w in WORD.findall(c) if is_word(w)} | {("w", f + s) for f, _, s in pairs if is_word(f + s)}
+        have = {"w": self.words, "p": self.pairs, "t": self.lines}
+        return {(kind, k) for kind, k in out if kind not in self.whole and k not in have[kind]}
+
+    def with_answers(self, answers: list[tuple[str, str, str | None]]) -> "Repairer":
+        """A repairer that knows a text's other keys, too; what isn't answered has no verdict."""
+        words, pairs, lines = dict(self.words), dict(self.pairs), dict(self.lines)
+        for kind, key, say in answers:
+            {"w": words, "p": pairs, "t": lines}[kind][key] = say if kind == "w" else say == "true"
+        return Repairer(words, pairs, lines, frozenset("wpt"))
+
     def defects(self, origin: str, text: str) -> set[tuple[int, str]]:
         """(line, defect) of a text."""
-        text = UNSEEN.sub("", text)
-        page = Page(text, self.headers, self.editor, origin == "packet")
+        page = self.page(origin, text)
         out = {(i, "page_number") for i, x in enumerate(page.number) if x} | {(i, "header") for i, x in enumerate(page.header) if x}
         out |= {(a, "hyphen") for a, *_ in page.broken} | {(i, "hyphen") for i, *_ in page.inside}
         for i, line, joined in page.bodies():
@@ -521,11 +456,16 @@ class Repairer:
         return out
 
     def repaired(self, origin: str, text: str) -> str:
-        """The text as continuous paragraphs: furniture out, broken words joined, misread words corrected, wrapped lines joined."""
-        page = Page(UNSEEN.sub("", text), self.headers, self.editor, origin == "packet")
+        """The text as continuous paragraphs: furniture out, broken words joined, misread words corrected, wrapped lines joined.
+
+        An item of a packet is one paragraph. Lines of a document are wrapped if many of them end within a sentence; then a line
+        of over half the usual width goes on in the next."""
+        page = self.page(origin, text)
         body = {i: (line, joined) for i, line, joined in page.bodies(keep=True)}
-        wide = sorted(len(x) for x in page.lines if x)
+        lines = [page.lines[i] for i in body]
+        wide = sorted(map(len, lines))
         width = wide[int(len(wide) * 0.8)] if wide else 0
+        wrapped = origin == "packet" or 4 * sum(x[-1] not in ".!?:;" for x in lines) >= len(lines)
         joins = {a for a, *_ in page.broken}
         out: list[str] = []
         open_ = False
@@ -548,45 +488,102 @@ class Repairer:
                 out[-1] = f"{out[-1]} {line}".strip()
             elif line or not out:
                 out.append(line)
-            open_ = i in joins or not free and 0.55 * width <= len(x) <= 110
+            open_ = i in joins or not free and wrapped and (origin == "packet" or len(x) >= 0.55 * width)
         return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
-def train(items: DataFrame) -> Repairer:
-    """The repairer of a corpus, from the counts over all its texts."""
-    counts = cut(corpus_counts(items))
-    words = counts.where("kind = 'w' and n > 1").orderBy(F.desc("n"), "key").limit(LEXICON_WORDS).select("key", "n")
-    titles = counts.where("kind = 't'").orderBy(F.desc("n"), "key").limit(HEADER_KEYS)
-    headers = train_headers([(r.key, r.n, r.near, r.inside, r.numbered, 1) for r in titles.collect()])
-    return Repairer(Editor({r.key: r.n for r in words.toLocalIterator()}).train(), headers)
+def learned(items: DataFrame) -> tuple[Repairer, dict[str, DataFrame]]:
+    """The repairer with the most frequent verdicts and the tables (key, n, say) of all verdicts by kind."""
+    counts = cut(corpus_counts(weighted(items)))
+    word_rows = counts.where("kind = 'w' and n > 1").select("key", "n")
+    tri: Counter[str] = Counter()
 
+    def grams(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part: Counter[str] = Counter()
+        for pdf in it:
+            part.update(Trigrams.count((w, n) for w, n in zip(pdf.key, pdf.n) if is_word(w)))
+        yield pd.DataFrame(list(part.items()), columns=["t", "k"])
+
+    # no more rows than there are trigrams of Latin letters and digits
+    for r in word_rows.mapInPandas(grams, "t string, k double").groupBy("t").agg(F.round(F.sum("k"), 4).alias("k")).toLocalIterator():
+        tri[r.t] = r.k
+    total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0.0
+    sample = _sample(counts)
+    editor = Editor(Trigrams(dict(sorted(tri.items()))), total)
+    words = cut(judged_words(counts, sample, editor))
+    tables = {"t": judged_lines(counts), "w": words, "p": judged_pairs(counts, words, sample, editor)}
+    sent, whole = {}, set()
+    for kind, t in tables.items():
+        rows = t.orderBy(F.desc("n"), "key").limit(COMMON + 1).collect()
+        if len(rows) <= COMMON:
+            whole.add(kind)
+        sent[kind] = {r.key: r.say for r in rows[:COMMON]}
+    return Repairer(sent["w"], sent["p"], sent["t"], frozenset(whole)), tables
+
+
+def _applied(items: DataFrame, step: Callable[[Repairer, str, str], list[tuple]], schema: str) -> DataFrame:
+    """origin, row_id, field, item_no and the columns of the schema: step(repairer, origin, text) of every text."""
+    slim = items.select("origin", "row_id", "field", "item_no", "text")
+    tool, tables = learned(items)
+    sent = items.sparkSession.sparkContext.broadcast(tool)
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    head = ["origin", "row_id", "field", "item_no"]
+    kinds = f"origin string, row_id long, field string, item_no int, {schema}"
+
+    def done(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = sent.value
+        for pdf in it:
+            yield pd.DataFrame([(o, i, f, k, *x) for o, i, f, k, t in pdf.itertuples(index=False) for x in step(r, o, t)], columns=head + names)
 
-def found(docs: DataFrame, packets: DataFrame) -> DataFrame:
-    """The columns of p2_found: the damaged places of all documents and packets."""
-    items = document_items(docs).unionByName(packet_items(packets))
-    tool = docs.sparkSession.sparkContext.broadcast(train(items))
+    if len(tool.whole) == 3:  # all verdicts were sent: no text can be open
+        return slim.mapInPandas(done, kinds)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = tool.value
+    def tried(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = sent.value
+        for pdf in it:
+            rows = []
+            for o, i, f, k, t in pdf.itertuples(index=False):
+                try:
+                    rows += [(o, i, f, k, *x, None, None) for x in step(r, o, t)]
+                except _Open:
+                    rows.append((o, i, f, k, *[None] * len(names), t, [f"{a}{b}" for a, b in sorted(r.asks(o, t))]))
+            yield pd.DataFrame(rows, columns=[*head, *names, "whole_", "asks_"])
+
+    # a text's number is stored with it, so a lost task finds the same one
+    first = cut(slim.mapInPandas(tried, f"{kinds}, whole_ string, asks_ array<string>").withColumn("uid_", F.monotonically_increasing_id()))
+    open_ = first.where("asks_ is not null")
+    verdicts = None
+    for kind, t in tables.items():
+        one = t.where("say is not null").select(F.concat(F.lit(kind), "key").alias("ask"), F.col("say").cast("string").alias("say"))
+        verdicts = one if verdicts is None else verdicts.unionByName(one)
+    answers = open_.select("uid_", F.explode("asks_").alias("ask")).join(verdicts, "ask").groupBy("uid_").agg(F.collect_list(F.struct("ask", "say")).alias("answers"))
+
+    def again(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for origin, row, field, item, text in pdf.itertuples(index=False):
-                got = r.defects(origin, text)
-                if got:
-                    rows += sorted({(origin, row, field, item if origin == "packet" else line, d) for line, d in got})
-            yield pd.DataFrame(rows, columns=["origin", "row_id", "field", "item_no", "defect"])
+            for o, i, f, k, t, known in pdf.itertuples(index=False):
+                r = sent.value.with_answers([] if known is None else [(a["ask"][0], a["ask"][1:], a["say"]) for a in known])
+                rows += [(o, i, f, k, *x) for x in step(r, o, t)]
+            yield pd.DataFrame(rows, columns=head + names)
 
-    return items.mapInPandas(run, "origin string, row_id long, field string, item_no int, defect string")
+    rest = open_.join(answers, "uid_", "left").select(*head, F.col("whole_").alias("text"), "answers").mapInPandas(again, kinds)
+    return first.where("asks_ is null").select(*head, *names).unionByName(rest)
 
 
-def repaired(docs: DataFrame, packets: DataFrame) -> DataFrame:
-    """origin, row_id, field, item_no, text: every text, repaired."""
-    items = document_items(docs).unionByName(packet_items(packets))
-    tool = docs.sparkSession.sparkContext.broadcast(train(items))
+def found(docs: DataFrame, packets: DataFrame) -> DataFrame:
+    """The columns of p2_found: the damaged places of all documents and packets."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = tool.value
-        for pdf in it:
-            yield pdf.assign(text=[r.repaired(o, t) for o, t in zip(pdf.origin, pdf.text)])
 
-    return items.mapInPandas(run, ITEM)
+    def places_of(r: Repairer, origin: str, text: str) -> list[tuple]:
+        got = r.defects(origin, text)
+        # an item of a packet has one row for each defect, wherever in it that is
+        return sorted(got) if origin == "document" else sorted({(0, d) for _, d in got})
+
+    rows = _applied(items_of(docs, packets), places_of, "line int, defect string")
+    at = F.when(F.col("origin") == "packet", F.col("item_no")).otherwise(F.col("line"))
+    return rows.select("origin", "row_id", "field", at.cast("int").alias("item_no"), "defect")
+
+
+def repaired(docs: DataFrame, packets: DataFrame) -> DataFrame:
+    """origin, row_id, field, item_no, text: every text, repaired."""
+    return _applied(items_of(docs, packets), lambda r, o, t: [(r.repaired(o, t),)], "text string")
