@@ -22,6 +22,8 @@ from __future__ import annotations
 import difflib
 import json
 import math
+import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from figmill.operators.shred import _words, load, packets_of
-from figmill.session import cut
+from figmill.session import cut, looked_up
 
 #: Numbers: bins of a signed logarithm. Texts: hashed shapes and words, then lengths.
 NUMBER_BINS, SHAPE_BINS, LENGTH_BINS = 48, 64, 12
@@ -50,33 +52,35 @@ def json_type(v: object) -> str:
 
 
 def _hash(s: str) -> int:
-    h = 2166136261
-    for b in s.encode("utf-8", "surrogatepass")[:64]:
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return h
+    return zlib.crc32(s.encode("utf-8", "surrogatepass"))
+
+
+_LETTERS, _DIGITS, _BLANKS, _RUNS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"\s+"), re.compile(r"(.)\1+", re.S)
 
 
 def _shape(s: str) -> str:
-    out = ""
-    for ch in s[:48]:
-        c = "9" if ch.isdigit() else "a" if ch.isalpha() else " " if ch.isspace() else ch
-        if not out.endswith(c):
-            out += c
-    return out
+    """A text with each run of letters, digits, blanks or of one sign as a single character."""
+    return _RUNS.sub(r"\1", _BLANKS.sub(" ", _DIGITS.sub("9", _LETTERS.sub("a", s))))
+
+
+def _bins_of(v: str) -> tuple[int, ...]:
+    words = {w for w in _words(v) if not w.isdigit()}
+    return (*{NUMBER_BINS + _hash(key) % SHAPE_BINS for key in {_shape(v)} | words | {w[:4] for w in words}}, NUMBER_BINS + SHAPE_BINS + min(LENGTH_BINS - 1, int(2 * math.log2(1 + len(v)))))
+
+
+_cached_bins = lru_cache(50_000)(_bins_of)
 
 
-@lru_cache(50_000)
-def _text_bins(v: str, length: int) -> tuple[int, ...]:
-    """Bins of a text by its start (shape and first words, which are all that is used of it) and its length."""
-    words = [w for w in _words(v) if not w.isdigit()][:8]
-    return (*{NUMBER_BINS + _hash(key) % SHAPE_BINS for key in {_shape(v), *words, *(w[:4] for w in words)}}, NUMBER_BINS + SHAPE_BINS + min(LENGTH_BINS - 1, int(2 * math.log2(1 + length))))
+def _text_bins(v: str) -> tuple[int, ...]:
+    """Bins of a whole text: its shape, its words and their stems, and its length. Short texts, which repeat, are kept."""
+    return _cached_bins(v) if len(v) <= 256 else _bins_of(v)
 
 
 def add_to_sketch(sketch: dict[int, int], v: object) -> None:
     """Count one plain value: numbers by magnitude, texts by shape, words and length."""
     if isinstance(v, str):
         if v:
-            for b in _text_bins(v[:256], len(v)):
+            for b in _text_bins(v):
                 sketch[b] = sketch.get(b, 0) + 1
     elif not isinstance(v, bool) and isinstance(v, (int, float)) and math.isfinite(v):
         b = max(0, min(NUMBER_BINS - 1, int(NUMBER_BINS / 2 + math.copysign(4 * math.log2(1 + abs(v) / 1.5), v) / 2)))
@@ -369,7 +373,7 @@ def resolved(raw: DataFrame, schema: DataFrame) -> DataFrame:
     maps = found_.groupBy("version").agg(F.map_from_entries(F.collect_list(F.struct("base_path", "new_path"))).alias("renamed"))
     # files without a version have nothing to look up and stay out of the join
     rest = changes.where("version is null").withColumn("renamed", F.lit(None).cast("map<string,string>"))
-    return changes.where("version is not null").join(maps, "version", "left").select(*rest.columns).unionByName(rest)
+    return looked_up(changes.where("version is not null"), maps, "version").select(*rest.columns).unionByName(rest)
 
 
 def found(raw: DataFrame, schema: DataFrame) -> DataFrame:
@@ -496,18 +500,14 @@ _ITEMS = f"array<struct<text: string, source_file: string, note: string, {_REST}
 UNIFIED = f"file_id long, packet_no int, figure_id string, source_intermediate_dir string, caption string, x_axis_title {_ITEMS}, y_axis_title {_ITEMS}, chart_text {_ITEMS}, legend_text {_ITEMS}, raw_data array<struct<Series: string, X: double, Y_Left: double, Y_Right: double, {_REST}>>, rest map<string, string>"
 
 
-#: Versions up to which the renames of a corpus are sent to the tasks; beyond, they are joined to the files.
-SENT_VERSIONS = 100_000
-
-
 def unified(raw: DataFrame, schema: DataFrame) -> DataFrame:
     """All packets of all files in one table; a file of mapped points is one packet with points only.
 
-    Renames are per version, of which there are few: they are counted and sent to the tasks, which find each payload's
-    version again, so payloads aren't shuffled. Beyond SENT_VERSIONS they are joined by file."""
-    base, spark = _baseline(schema), raw.sparkSession
+    Every payload's version is found again from the payload itself, so rows of one file_id stay apart; the renames, one row
+    per version, are looked up (by broadcast while they are few, so payloads aren't shuffled)."""
+    base = _baseline(schema)
     part = _one_pass(raw, schema)
-    found_ = cut(renames(_changes(part), _sketches(part), schema))
+    found_ = renames(_changes(part), _sketches(part), schema)
     names = ["file_id", "packet_no", "figure_id", "source_intermediate_dir", "caption", "x_axis_title", "y_axis_title", "chart_text", "legend_text", "raw_data", "rest"]
 
     def packets(fid: int, payload: str | None, renamed: dict[str, str]) -> list[tuple]:
@@ -520,32 +520,18 @@ def unified(raw: DataFrame, schema: DataFrame) -> DataFrame:
         around = {k: left for k, v in root.items() if (left := _without(v, ids)) is not None} if isinstance(root, dict) and own and own[0] is not root else {}
         return [(fid, no, *(u[k] for k in names[2:])) for no, u in enumerate(unify_packet(p, renamed, around) for p in own)]
 
-    if found_.select("version").distinct().count() <= SENT_VERSIONS:
-        per: dict[str, dict[str, str]] = {}
-        for r in found_.select("version", "base_path", "new_path").toLocalIterator():
-            per.setdefault(r.version, {})[r.base_path] = r.new_path
-        sent = spark.sparkContext.broadcast(per)
-
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                out = []
-                for fid, payload in zip(pdf.file_id, pdf.payload):
-                    got = profile_file(base, payload, sketches=False)
-                    version = _version(got[1], got[2]) if got else None
-                    out += packets(fid, payload, sent.value.get(version, {}))
-                yield pd.DataFrame(out, columns=names)
-
-        return raw.select("file_id", "payload").mapInPandas(run, UNIFIED)
+    @F.pandas_udf("string")
+    def version_of(payloads: pd.Series) -> pd.Series:
+        return payloads.map(lambda p: _version(got[1], got[2]) if (got := profile_file(base, p, sketches=False)) else None)
 
     maps = found_.groupBy("version").agg(F.collect_list(F.struct("base_path", "new_path")).alias("renamed"))
-    files = _changes(part).where("version is not null").join(maps, "version").select("file_id", "renamed").dropDuplicates(["file_id"])
-    rows = raw.select("file_id", "payload").join(files, "file_id", "left")
+    rows = looked_up(raw.select("file_id", "payload", version_of("payload").alias("version")), maps, "version").select("file_id", "payload", "renamed")
 
-    def run_joined(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for fid, payload, ren in zip(pdf.file_id, pdf.payload, pdf.renamed):
                 out += packets(fid, payload, {} if ren is None else {e["base_path"]: e["new_path"] for e in ren})
             yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run_joined, UNIFIED)
+    return rows.mapInPandas(run, UNIFIED)

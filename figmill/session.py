@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -46,3 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     pass reads rows back instead of computing them again."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: str | list[str], how: str = "left", limit: int = 200_000) -> DataFrame:
+    """Rows joined with a table that has one row per key. Up to ``limit`` rows the table is broadcast, so a key that many
+    rows share is not gathered; beyond, both sides are shuffled. The result is the same either way. The table is cut, for
+    its rows are counted first."""
+    table = cut(table)
+    return rows.join(F.broadcast(table) if table.limit(limit + 1).count() <= limit else table, on, how)

@@ -1,9 +1,11 @@
+import functools
 import itertools
 import json
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
+from figmill import session
 from figmill.operators import drift
 
 PATHS = {"meta": "object", "meta.figure_id": "string", "meta.caption": "string", "text_evidence": "object", "raw_data": "array", "raw_data[]": "object", "raw_data[].Series": "string", "raw_data[].X": "number", "raw_data[].Y_Right": "number"}
@@ -58,7 +60,7 @@ def test_changes(spark, monkeypatch):
     ]
     assert got == sorted(want)
     by_join = sorted(map(str, drift.unified(raw.dropDuplicates(["file_id"]), schema(spark)).collect()))
-    monkeypatch.setattr(drift, "SENT_VERSIONS", -1)
+    monkeypatch.setattr(drift, "looked_up", functools.partial(session.looked_up, limit=0))
     assert by_join == sorted(map(str, drift.unified(raw.dropDuplicates(["file_id"]), schema(spark)).collect()))
     u = {(r.file_id, r.packet_no): r for r in drift.unified(raw, schema(spark)).collect()}
     assert u[(100, 0)].caption == "Fig. 100 of it" and u[(101, 0)].caption == "Fig. 101 of it" and u[(103, 0)].raw_data[0].Y_Right == 23.0
@@ -111,3 +113,12 @@ def test_one_file_of_another_type_leaves_the_rename(spark):
         rows.append((i, json.dumps(p)))
     raw = spark.createDataFrame(rows, "file_id long, payload string")
     assert sorted(tuple(r) for r in drift.found(raw, schema(spark)).collect()) == [(i, "raw_data[].Y_Right", "renamed") for i in range(20, 41)]
+
+
+def test_whole_values_are_sketched():
+    """Texts that differ only after a long common start have other bins."""
+    start = "the same words again and again " * 40
+    a, b = ({} for _ in "ab")
+    drift.add_to_sketch(a, start + "then electrolyte; 12 bar")
+    drift.add_to_sketch(b, start + "then nothing")
+    assert set(a) != set(b) and drift.NUMBER_BINS + drift._hash("electrolyte") % drift.SHAPE_BINS in drift._text_bins("x " * 500 + "electrolyte")
