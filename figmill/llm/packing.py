@@ -5,8 +5,8 @@ fits; if a gap stays, its smallest piece is put back and replaced by two unpacke
 ones that fill the widened gap more tightly. A document is split only if it alone
 exceeds the capacity: into full pieces and a rest that is packed like any other.
 
-Size: pieces are packed in blocks of a bounded number of documents, chosen by a
-hash of their ids, each block in one task. A block loses at most the gap of its
+Size: pieces are packed in blocks of about BLOCK documents, chosen by a hash of
+their ids and places in the table (so copies of an id are spread), each block in one task. A block loses at most the gap of its
 last container, so the loss does not grow with the corpus.
 
 Edge cases: null and empty texts have no tokens and lie in the first container of
@@ -92,16 +92,14 @@ PACKED = "spec_id int, doc_id long, piece_no int, container string, tokens int,
 
 def pack(docs: DataFrame, specs: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
     """spec_id, doc_id, piece_no, container, tokens, capacity: every piece of every document in one container of each kind."""
-    rows = [(r.spec_id, r.tokenizer, r.capacity) for r in specs.select("spec_id", "tokenizer", "capacity").collect()]
-    out = None
-    for name in sorted({t for _, t, _ in rows}):
-        sized = cut(sizes(docs, name, folder))
-        blocks = max(1, -(-sized.count() // BLOCK))
-        kinds = F.array(*(F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("int").alias("capacity")) for s, t, c in rows if t == name))
-        work = sized.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(kinds).alias("k")).select("doc_id", "tokens", "block", "k.spec_id", "k.capacity")
-        part = work.groupBy("spec_id", "block").applyInPandas(_pack_block, PACKED)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], PACKED)
+    rows = [(r.spec_id, r.tokenizer, r.capacity) for r in specs.select("spec_id", "tokenizer", "capacity").collect() if r.tokenizer and r.capacity]
+    if not rows:
+        return docs.sparkSession.createDataFrame([], PACKED)
+    sized = cut(sizes(docs, sorted({t for _, t, _ in rows}), folder))
+    blocks = max(1, -(-sized.count() // BLOCK))
+    kinds = F.array(*(F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("int").alias("capacity"), F.col(t).alias("tokens")) for s, t, c in rows))
+    work = sized.select("doc_id", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id() % BLOCK), F.lit(blocks)).cast("int").alias("block"), F.explode(kinds).alias("k")).select("doc_id", "block", "k.*")
+    return work.groupBy("spec_id", "block").applyInPandas(_pack_block, PACKED)
 
 
 def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,7 @@
 A table of distinct words is the core: Spark splits the texts into words, every
 distinct word is encoded once, and the ids are joined back by position. The most
 frequent words (a bounded table) are joined on the map side; only the rare
-rest is shuffled, by word, where no key is hot. Decoding joins ids with the
+rest is shuffled, by word, where no key is hot (long words, which may be, are spread). Decoding joins ids with the
 tokenizer's pieces.
 
 Edge cases: null and empty texts have an empty list of ids; special tokens in a
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from figmill.session import cut
 
 VOCABULARIES = os.environ.get("FIGMILL_TOKENIZERS", "/opt/tokenizers")
-#: Words of the table that is joined on the map side, and the length up to which a word may be in it.
-COMMON_WORDS, COMMON_LENGTH = 50_000, 64
+#: Words of the table that is joined on the map side, of up to COMMON_LENGTH characters; besides, so many longer ones of up
+#: to LONG_LENGTH (rulers, say). What is rarer or longer is joined by a shuffle, words over COMMON_LENGTH spread over SALTS.
+COMMON_WORDS, COMMON_LENGTH, LONG_WORDS, LONG_LENGTH, SALTS = 200_000, 64, 1000, 4096, 16
 #: The public split patterns of the tokenizers, in Java's notation for Unicode classes.
-BYTE_SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+BYTE_SPLIT = r" ?\p{L}++|'(?:s|t|re|ve|m|ll|d)| ?\p{N}++| ?[^\p{IsWhite_Space}\p{L}\p{N}]++|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
+WORD_SPLIT = r"\p{L}++|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{IsWhite_Space}\p{L}\p{N}]++"
 SPLITS = {"byte_bpe_50k": BYTE_SPLIT, "word_bpe_49k": WORD_SPLIT}
+#: Unicode's white space, and the parts of a text between which no token reaches, by tokenizer.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PARTS = {"byte_bpe_50k": re.compile(rf" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]"), "word_bpe_49k": re.compile(rf"[^{_BLANK}]+")}
 
 
 @lru_cache(8)
@@ -108,9 +113,12 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARI
     """doc_id, ids: the token ids of each text, one row per row of the input."""
     spark: SparkSession = docs.sparkSession
     lex = cut(lexicon(docs, name, folder))
-    common = lex.where(F.length("word") <= COMMON_LENGTH).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-    # at most COMMON_WORDS rows of short words
-    table = spark.sparkContext.broadcast({r.word: r.ids for r in common.select("word", "ids").toLocalIterator()})
+    size = F.length("word")
+    common = lex.where(size <= COMMON_LENGTH).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).unionByName(lex.where((size > COMMON_LENGTH) & (size <= LONG_LENGTH)).orderBy(F.desc("n"), "word").limit(LONG_WORDS))
+    # a bounded number of words of bounded length
+    known = {r.word: r.ids for r in common.select("word", "ids").toLocalIterator()}
+    whole_lexicon = lex.count() == len(known)
+    table = spark.sparkContext.broadcast(known)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
@@ -118,13 +126,17 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARI
             for at in range(0, batch.num_rows, 2048):
                 yield _mapped(batch.slice(at, 2048), known)
 
-    # read three times below, so it is written once
-    mapped = cut(word_arrays(docs, name, folder).mapInArrow(run, "doc_id long, ids array<int>, gap_at array<int>, gap_word array<string>"))
+    mapped = word_arrays(docs, name, folder).mapInArrow(run, "doc_id long, ids array<int>, gap_at array<int>, gap_word array<string>")
+    if whole_lexicon:  # no word is left to be joined
+        return mapped.select("doc_id", "ids")
+    # read three times below, so it is written once; a row's number is stored with it
+    mapped = cut(mapped.withColumn("uid", F.monotonically_increasing_id()))
     whole = mapped.where("size(gap_at) = 0").select("doc_id", "ids")
-    # a row is told from another of the same doc_id by its words, so that repeated rows are filled alike
-    open_ = mapped.where("size(gap_at) > 0").withColumn("row", F.xxhash64("doc_id", "ids", "gap_at", "gap_word"))
-    asked = open_.select("row", F.posexplode(F.arrays_zip("gap_at", "gap_word")).alias("k", "g")).select("row", "k", F.col("g.gap_at").alias("at"), F.col("g.gap_word").alias("word"))
-    filled = asked.join(lex.select("word", F.col("ids").alias("piece")), "word").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("k", "at", "piece"))).alias("fill"))
+    open_ = mapped.where("size(gap_at) > 0")
+    long_ = F.length("word") > COMMON_LENGTH
+    asked = open_.select("uid", F.posexplode(F.arrays_zip("gap_at", "gap_word")).alias("k", "g")).select("uid", "k", F.col("g.gap_at").alias("at"), F.col("g.gap_word").alias("word")).withColumn("salt", F.when(long_, F.pmod("uid", F.lit(SALTS)).cast("int")).otherwise(0))
+    spread = lex.select("word", F.col("ids").alias("piece"), F.explode(F.when(long_, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    filled = asked.join(spread, ["word", "salt"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("k", "at", "piece"))).alias("fill"))
 
     def splice(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -137,12 +149,34 @@ def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARI
                 rows.append(out + ids[last:].tolist())
             yield pd.DataFrame({"doc_id": pdf.doc_id, "ids": rows})
 
-    return whole.unionByName(open_.select("doc_id", "ids", "row").join(filled, "row").select("doc_id", "ids", "fill").mapInPandas(splice, "doc_id long, ids array<int>"))
+    return whole.unionByName(open_.select("doc_id", "ids", "uid").join(filled, "uid").select("doc_id", "ids", "fill").mapInPandas(splice, "doc_id long, ids array<int>"))
 
 
-def sizes(docs: DataFrame, name: str, folder: str = VOCABULARIES) -> DataFrame:
-    """doc_id, tokens: the length of each text in tokens."""
-    return encode(docs, name, folder).select("doc_id", F.size("ids").alias("tokens"))
+def sizes(docs: DataFrame, names: list[str], folder: str = VOCABULARIES) -> DataFrame:
+    """doc_id and, for each tokenizer, a column of its name: the length of each text in tokens.
+
+    Ids aren't needed for that: the length is the sum over the parts of a text that no token crosses (words with their
+    marks, blanks), and each distinct part is encoded once in a task. One pass over the texts, nothing is shuffled."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, dict[str, int]] = {n: {} for n in names}
+        for pdf in it:
+            out = {"doc_id": pdf.doc_id}
+            for n in names:
+                known, t, find = seen[n], tokenizer(n, folder), PARTS[n].findall
+                lengths = []
+                for text in pdf.text:
+                    parts = find(text) if text else []
+                    if new := set(parts).difference(known):
+                        new_ = list(new)
+                        known.update(zip(new_, (len(e) for e in t.encode_batch(new_, add_special_tokens=False))))
+                    lengths.append(sum(map(known.__getitem__, parts)))
+                    if new and (len(known) > 300_000 or max(map(len, new)) > 4096):  # keep it small; long parts seldom return
+                        known.clear()
+                out[n] = lengths
+            yield pd.DataFrame(out)
+
+    return docs.select("doc_id", "text").mapInPandas(run, ", ".join(["doc_id long", *(f"{n} int" for n in names)]))
 
 
 def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:

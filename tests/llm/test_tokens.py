@@ -25,6 +25,28 @@ def test_round_trip_and_repeats(spark):
     assert sorted((str(r.doc_id), r.text) for r in many) == [("7", ""), ("None", "a b"), ("None", "a b"), ("None", "é c")]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "word_bpe_49k"])
+def test_sizes_equal_the_tokenizer(spark, data, name):
+    t = tokens.tokenizer(name)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    odd = ["a\x1cb \x1c", "a b  c\u3000\u3000d \n\n\n e ", "é e\u0301 \u0301x", "ΑΣ ΑΣ.", "'s it's  's", " ", "\n", "x" * 9000 + " y", "don't\r\n\tstop"]
+    both = docs.unionByName(spark.createDataFrame([(-1 - i, x) for i, x in enumerate([*TEXTS, *odd])], "doc_id long, text string"))
+    want = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) for r in both.collect()}
+    assert {r.doc_id: r[name] for r in tokens.sizes(both, [name]).collect()} == want
+
+
+def test_rows_of_one_id_and_hot_long_words(spark, monkeypatch):
+    """Rows with the same doc_id, or none, keep their own ids; a ruler in a third of the rows is spread, whatever its length."""
+    ruler, t = "=-" * 60, tokens.tokenizer("byte_bpe_50k")
+    texts = [f"{ruler} zq{i} x" if i % 3 == 0 else f"zq{i} zq{i + 1} {'-' * (70 + i)}" for i in range(60)]
+    df = spark.createDataFrame([(None if i % 2 else 7, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    want = sorted(t.encode(x, add_special_tokens=False).ids for x in texts)
+    for common, long_ in ((3, 0), (3, 2), (200_000, 1000)):
+        monkeypatch.setattr(tokens, "COMMON_WORDS", common)
+        monkeypatch.setattr(tokens, "LONG_WORDS", long_)
+        assert sorted(list(r.ids) for r in tokens.encode(df).collect()) == want
+
+
 def test_best_two_fit():
     assert packing.best_two_fit([(6, "a"), (3, "b"), (2, "c"), (2, "d")], 10)[0] in ([(6, "a"), (2, "d"), (2, "c")], [(6, "a"), (2, "c"), (2, "d")])
     for cap, sizes in ((10, [7, 5, 5, 3, 3, 3, 2, 1]), (50, [s % 37 + 1 for s in range(500)])):
@@ -39,7 +61,7 @@ def test_pack(spark):
     specs = spark.createDataFrame([(1, "byte_bpe_50k", 16), (2, "word_bpe_49k", 64)], "spec_id int, tokenizer string, capacity int")
     got = packing.pack(docs, specs).collect()
     for spec, name, cap in ((1, "byte_bpe_50k", 16), (2, "word_bpe_49k", 64)):
-        size = {r.doc_id: r.tokens for r in tokens.sizes(docs, name).collect()}
+        size = {r.doc_id: r[name] for r in tokens.sizes(docs, [name]).collect()}
         mine = [r for r in got if r.spec_id == spec]
         assert {d: sum(r.tokens for r in mine if r.doc_id == d) for d in size} == size
         fill = {}
