@@ -4,8 +4,9 @@ Text is normalised by compatibility, characters nobody sees are deleted and all
 kinds of blanks become one. Every remaining character is then a column of a
 lattice: itself and the characters it looks like. A Viterbi search picks the
 path with the best score under character n-grams of the reference names, with a
-price for changing the script inside a word. Two labels are equal to the eye if
-their paths are equal.
+price for changing the script inside a word. A run of letters whose script is
+certain keeps it: a word of another script isn't rewritten because its letters look
+Latin. Two labels are equal to the eye if their paths are equal.
 
 Edge cases: null labels have no rows, empty ones stay empty; a line break is not
 a blank (a word broken in two is a visible difference); letter case, marks and
@@ -38,6 +39,7 @@ LOOKALIKES = {
 #: Deleted besides format characters: fillers and joiners that show nothing.
 INVISIBLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)}
 SWITCH_COST, SWAP_COST = 2.5, 0.4
+_RUN = re.compile(r"[^\W\d_]+")
 
 
 def ignorable(ch: str) -> bool:
@@ -82,7 +84,11 @@ class Ngrams:
 
     def __init__(self, texts: list[str]):
         self.counts: dict[str, int] = {}
+        #: runs of letters of the texts, by their length
+        self.runs: dict[int, set[str]] = {}
         for t in texts:
+            for r in _RUN.findall(t):
+                self.runs.setdefault(len(r), set()).add(r)
             s = "  " + t.replace("\n", " ") + " "
             for i in range(2, len(s)):
                 for k in (0, 1, 2):
@@ -104,6 +110,39 @@ class Ngrams:
         return self.cache[key]
 
 
+@lru_cache(1)
+def _back() -> dict[tuple[str, str], str]:
+    """(character, script) -> its look-alike in that script."""
+    out: dict[tuple[str, str], str] = {}
+    for to, chars in LOOKALIKES.items():
+        for c in chars:
+            out.setdefault((to, script_of(c)), c)
+    return out
+
+
+def settled(word: str, model: Ngrams) -> str | None:
+    """A run of letters whose script is certain, in that script; None where the search has to decide.
+
+    A letter without a look-alike in Latin settles the script of its run: look-alikes from others come over to it. A run of
+    one other script that could be read as Latin stays as it is, unless that reading is a word of the names."""
+    scripts = {script_of(c) for c in word}
+    if scripts == {"LATIN"}:
+        return None
+    looks = _looks()
+    sure = {script_of(c) for c in word if c not in looks and script_of(c) != "LATIN"} - {""}
+    if len(sure) == 1 and not any(_reads(word, k) for k in model.runs.get(len(word), ())):
+        script = sure.pop()
+        return "".join(c if script_of(c) == script else _back().get((c, script), c) for c in word)
+    if len(scripts) == 1 and not any(_reads(word, k) for k in model.runs.get(len(word), ())):
+        return word
+    return None
+
+
+def _reads(word: str, known: str) -> bool:
+    looks = _looks()
+    return all(c == k or k in looks.get(c, "") for c, k in zip(word, known))
+
+
 def decode(chars: str, model: Ngrams) -> str:
     """The best path through the lattice of look-alikes, word by word; as long as its input."""
     looks = _looks()
@@ -115,14 +154,22 @@ def decode(chars: str, model: Ngrams) -> str:
 def _decode_word(word: str, model: Ngrams, looks: dict[str, str]) -> str:
     if all(c not in looks for c in word):
         return word
+    fixed = {}
+    for m in _RUN.finditer(word):
+        if (got := settled(m[0], model)) is not None:
+            fixed.update(zip(range(*m.span()), got))
+    if fixed:
+        word = "".join(fixed.get(i, c) for i, c in enumerate(word))
+        if len(fixed) == len(word):
+            return word
     states: dict[tuple[str, str], float] = {("  ", ""): 0.0}
     back: list[dict[tuple[str, str], tuple[str, str]]] = []
-    for c in word:
+    for i, c in enumerate(word):
         step: dict[tuple[str, str], float] = {}
         came: dict[tuple[str, str], tuple[str, str]] = {}
         for state, cost in states.items():
             ctx, script = state
-            for o in c + looks.get(c, ""):
+            for o in c if i in fixed else c + looks.get(c, ""):
                 sc = script_of(o)
                 total = cost + model.score(ctx, o) - (SWITCH_COST if sc and script and sc != script else 0) - (SWAP_COST if o != c else 0)
                 key = (ctx[-1] + o, sc or script)

@@ -48,3 +48,13 @@ def test_tables(spark):
 def test_long_labels(names):
     text = "а" * 200_000 + " bеnzyl alcohol " + "\u200b" * 100_000
     assert names.disguised(text, True) == [1] and names.disguised(text, False) == []
+
+
+@pytest.mark.parametrize("text, want", [("раствор", "раствор"), ("вода", "вода"), ("скорость", "скорость"), ("пар", "пар"), ("ΝΕΡΟ", "ΝΕΡΟ"), ("ρυθμός", "ρυθμός"), ("скoрость", "скорость"), ("вoда и пар", "вода и пар")])
+def test_words_of_other_scripts_stay(names, text, want):
+    assert look.canonical(text, names.model)[0] == want
+
+
+def test_a_disguised_name_in_one_other_script_is_found():
+    names = look.Names([(1, "control run"), (2, "coop"), (3, "γ-butyrolactone")])
+    assert names.disguised("соор", False) == [2] and names.disguised("ү-butyrolactone", False) == [3]
