@@ -8,7 +8,8 @@ import re
 BREAK_MARKS = "-‐‑¬­"
 _JOIN = re.compile(rf"(?<=[^\W\d_])[{BREAK_MARKS}][ \t]*\r?\n[ \t]*(?!(?:and|or|und|oder|y|o)\b)(?=[^\W\d_])")
 _NUMBER_LINE = re.compile(r"^\W*(?:p\.|page|s)?\s*\d+\s*(?:(?:/|of)\s*\d+)?\W*$", re.I)
-_BLOCK_LINE = re.compile(r"^(?:[|{}<>#=]|R-H|-{3,}|\W*$)|\t|[{}]|^[^ ]+\([^)]*\)|^\w+ = |->|^(?:ok )?[^\w\s\"'“(\[-]")
+#: Lines that are no prose: tables, code, headings by a sign, formulas (an arrow or an equation), lines with pictures or that start with a symbol.
+_BLOCK_LINE = re.compile(r"^(?:[|{}<>#=]|-{3,}|\W*$)|\t|[{}]|^[^ ]+\([^)]*\)|^\w+ = |->|[←-⇿✀-➿\U0001F300-\U0001FAFF]|^[^\w\s\"'“(\[\-°%‰±]")
 _END = re.compile(r"(?<=[.!?])[\"')\]]?\s+(?=[^\sa-zäöüß])|(?<=[。！？])")
 
 

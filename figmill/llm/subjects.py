@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,23 +31,18 @@ from pyspark.sql import DataFrame, functions as F
 from figmill.llm.sentences import sentences
 
 #: Labelled documents of the fit, and the length up to which a document is taken for it (every document is scored, whole).
-FIT_DOCUMENTS, FIT_LENGTH = 6000, 50_000
+FIT_DOCUMENTS, FIT_LENGTH = 6000, 20_000
 ROUNDS, LEAK, SHARE = 12, 0.03, 0.25
 #: A term speaks for a subject that explains at least this share of it; a sentence needs this much of such terms.
 SPECIFIC, LEAST_LOAD = 0.6, 0.9
-#: A sentence that the background explains as a whole needs this much.
-WHOLE_LOAD = 3.0
-#: Occurrences of terms that an update handles at once.
-CHUNK = 200_000
+#: Occurrences of terms that an update handles at once; documents that are scored at once.
+CHUNK, SLICE = 200_000, 500
 _WORD = re.compile(r"[一-鿿]+|[^\W\d_][^\W_]*(?:[-'][^\W_]+)*")
 
 
-_DIGITS = re.compile(r"\d+(?:[.,]\d+)?")
-
-
 def terms(sentence: str) -> list[str]:
-    """Words, pairs of neighbouring words and, where no blanks part words, pairs of characters; first the sentence as a whole."""
-    out: list[str] = ["= " + _DIGITS.sub("", sentence).strip()]
+    """Words, pairs of neighbouring words and, where no blanks part words, pairs of characters."""
+    out: list[str] = []
     last = None
     for w in _WORD.findall(sentence.lower()):
         if "一" <= w[0] <= "鿿":
@@ -66,51 +60,74 @@ class Model:
     """Term factors of the subjects and the background (its last row)."""
 
     def __init__(self, subjects: list[int], vocabulary: dict[str, int], factors: np.ndarray, shared: np.ndarray):
-        self.subjects, self.vocabulary, self.factors = subjects, vocabulary, factors
+        self.subjects = subjects
         # how much of a term each subject explains; terms that the background or no one subject explains carry nothing
         share = factors / np.maximum(factors.sum(axis=0), 1e-12)
-        self.loads = np.where(share[:-1].max(axis=0) >= SPECIFIC, share[:-1], 0.0)
-        self.shared, self.general = shared, share[-1] > 0.5
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def _loads(self, sentence: str) -> np.ndarray | None:
-        """How much of a sentence's terms speaks for each subject, None for a general sentence."""
-        key = _DIGITS.sub("", sentence).strip()
-        if key not in self.cache:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            whole = self.vocabulary.get("= " + key)
-            load = None
-            if whole is None or not self.shared[whole]:
-                ids = [i for t in terms(key) if (i := self.vocabulary.get(t)) is not None]
-                load = self.loads[:, ids].sum(axis=1)
-                least = WHOLE_LOAD if whole is not None and self.general[whole] else LEAST_LOAD
-                load = load if load.max(initial=0.0) >= least else None
-            self.cache[key] = load
-        return self.cache[key]
-
-    def document(self, text: str | None) -> tuple[np.ndarray, list[int]]:
-        """Subject mixture of a text and the component of each of its sentences (the last one: general)."""
-        found_ = [self._loads(s) for s in sentences(text)]
-        k = len(self.loads)
-        known = [x for x in found_ if x is not None]
-        if not known:
-            return np.zeros(k), [k] * len(found_)
-        every = np.stack(known, axis=1)
-        mix = np.full(k, 1.0 / k)
-        total = every.sum(axis=0)
-        for _ in range(6):
-            part = mix[:, None] * every
-            mix = (part * (total / part.sum(axis=0))).sum(axis=1)
-            mix = (mix + 0.05) / (mix.sum() + 0.05 * k)
-        # between the subjects that a sentence names, those of the document have the say
-        best = iter((every * np.sqrt(mix)[:, None]).argmax(axis=0).tolist())
-        return mix, [k if x is None else next(best) for x in found_]
+        specific = (share[:-1].max(axis=0, initial=0.0) >= SPECIFIC) & ~shared if share.size else np.zeros(0, bool)
+        kept = [t for t, i in vocabulary.items() if specific[i]]
+        self.loads = np.ascontiguousarray(share[:-1, [vocabulary[t] for t in kept]].T) if kept else np.zeros((0, len(subjects)))
+        #: a word, or the second word of a pair below its first one, to its row of loads
+        self.single: dict[str, int] = {}
+        self.pair: dict[str, dict[str, int]] = {}
+        for i, t in enumerate(kept):
+            first, _, second = t.partition(" ")
+            if second:
+                self.pair.setdefault(first, {})[second] = i
+            else:
+                self.single[t] = i
+
+    def _rows(self, sentence: str) -> list[int]:
+        """The rows of loads of a sentence's terms."""
+        out, single, pair, last = [], self.single, self.pair, None
+        for w in _WORD.findall(sentence.lower()):
+            if "一" <= w[0] <= "鿿":
+                out += [single[x] for i in range(len(w) - 1) if (x := w[i : i + 2]) in single]
+                last = None
+                continue
+            if w in single:
+                out.append(single[w])
+            if last is not None and w in last:
+                out.append(last[w])
+            last = pair.get(w)
+        return out
+
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(documents by subjects: mixture; documents by subjects: sentences; documents: all sentences).
+
+        The sentences of all texts are one matrix of sentences and subjects, the loads of their terms; a document's mixture
+        is the fixed point of its sentences' shares, and between the subjects that a sentence names its document's mixture decides."""
+        k, d = len(self.subjects), len(texts)
+        of: list[int] = []  # the document of each sentence
+        rows: list[int] = []
+        size: list[int] = []
+        for i, t in enumerate(texts):
+            for s in sentences(t):
+                r = self._rows(s)
+                of.append(i)
+                rows += r
+                size.append(len(r))
+        doc, n = np.asarray(of, dtype=np.int64), np.zeros(d, dtype=np.int64)
+        np.add.at(n, doc, 1)
+        at = np.repeat(np.arange(len(size)), size)
+        loads = self.loads[np.asarray(rows, dtype=np.int64)] if rows else np.zeros((0, k))
+        every = np.stack([np.bincount(at, weights=loads[:, c], minlength=len(size)) for c in range(k)], axis=1) if k else np.zeros((len(size), 0))
+        known = every.max(axis=1, initial=0.0) >= LEAST_LOAD
+        every, doc = every[known], doc[known]
+        per = lambda x: np.stack([np.bincount(doc, weights=x[:, c], minlength=d) for c in range(k)], axis=1)
+        mix, total = np.full((d, k), 1.0 / max(k, 1)), every.sum(axis=1, keepdims=True)
+        for _ in range(6 if len(doc) else 0):
+            part = mix[doc] * every
+            mix = per(part * (total / part.sum(axis=1, keepdims=True)))
+            mix = (mix + 0.05) / (mix.sum(axis=1, keepdims=True) + 0.05 * k)
+        picks = np.zeros((d, k), dtype=np.int64)
+        if len(doc):
+            np.add.at(picks, (doc, (every * np.sqrt(mix[doc])).argmax(axis=1)), 1)
+        mix[picks.sum(axis=1) == 0] = 0.0
+        return mix, picks, n
 
     def treated(self, text: str | None, share: float = SHARE) -> list[int]:
-        picks = self.document(text)[1]
-        n = Counter(p for p in picks if p < len(self.subjects))
-        return [self.subjects[k] for k in sorted(n) if n[k] >= share * len(picks)]
+        _, picks, n = self.documents([text])
+        return [self.subjects[c] for c in np.flatnonzero((picks[0] > 0) & (picks[0] >= share * n[0]))]
 
 
 def fit(texts: list[tuple[str, dict[int, int]]], descriptions: dict[int, str], rounds: int = ROUNDS) -> Model:
@@ -136,22 +153,27 @@ def fit(texts: list[tuple[str, dict[int, int]]], descriptions: dict[int, str], r
                 weight[place[s]] = n / total
         weight[-1] = 1.0
         weights.append(weight)
-    seen: Counter[str] = Counter()
-    for _, s in lines():
-        seen.update(set(terms(s)))
-    vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in seen.items() if n > 1 or len(texts) < 500))}
-    del seen
-    v = len(vocabulary)
     # two numbers for each occurrence of a term; texts and terms themselves aren't kept
-    at_l, term_l = array("i"), array("i")
-    for doc, s in lines():
-        for t in terms(s):
-            j = vocabulary.get(t)
-            if j is not None:
-                at_l.append(len(owner))
-                term_l.append(j)
+    number: dict[str, int] = {}
+    at_l, term_l, held = array("i"), array("i"), array("i")  # held: sentences that hold a term
+    for doc, line in lines():
+        own = [number.setdefault(t, len(number)) for t in terms(line)]
+        held.extend([0] * (len(number) - len(held)))
+        for j in set(own):
+            held[j] += 1
+        at_l.extend([len(owner)] * len(own))
+        term_l.extend(own)
         owner.append(doc)
-    at_, term_ = np.frombuffer(at_l, dtype=np.int32), np.frombuffer(term_l, dtype=np.int32)
+    anchors = {t for d in descriptions.values() for t in terms(d)}
+    vocabulary = {t: i for i, t in enumerate(sorted(t for t, j in number.items() if held[j] > 1 or t in anchors))}
+    v = len(vocabulary)
+    place_of = np.full(len(number) + 1, -1, dtype=np.int32)
+    for t, i in vocabulary.items():
+        place_of[number[t]] = i
+    term_ = place_of[np.frombuffer(term_l, dtype=np.int32)] if term_l else np.zeros(0, np.int32)
+    at_ = np.frombuffer(at_l, dtype=np.int32)[term_ >= 0] if at_l else np.zeros(0, np.int32)
+    term_ = term_[term_ >= 0]
+    del number, held
     s = np.stack(weights)[owner]
     allowed = np.where(s > LEAK, np.float32(1.0), np.float32(LEAK))
     # anchors: terms by how much more a subject's documents use them than others do; the background by evenness
@@ -160,8 +182,8 @@ def fit(texts: list[tuple[str, dict[int, int]]], descriptions: dict[int, str], r
     lift = p / np.maximum(p.mean(axis=0), 1e-12)
     q = p / np.maximum(p.sum(axis=0), 1e-12)
     spread = np.exp(-(q * np.log(np.maximum(q, 1e-12))).sum(axis=0))  # number of subjects that share a term
-    # a term that three and more subjects use alike is general, whatever the updates make of it
-    shared = (spread >= 3.0) & (np.bincount(term_, minlength=v) >= 6)
+    # a term that four and more subjects use alike is general, whatever the updates make of it
+    shared = (spread >= 4.0) & (np.bincount(term_, minlength=v) >= 6)
     general = np.clip((spread - 2.5) / 1.5, 0.03, 1.0)
     h = np.concatenate([p * np.clip(lift - 1.2, 0.02, None), (p.mean(axis=0) * 4 * general)[None, :]]) + 1e-12
     h = (h / h.sum(axis=1, keepdims=True)).astype(np.float32) if v else h
@@ -196,8 +218,13 @@ def found(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
+        ids = np.asarray(m.subjects, dtype=np.int64)
         for pdf in it:
-            yield pd.DataFrame([(d, s) for d, t in zip(pdf.doc_id, pdf.text) for s in m.treated(t)], columns=["doc_id", "subject_id"])
+            for at in range(0, len(pdf), SLICE):
+                part = pdf.iloc[at : at + SLICE]
+                _, picks, n = m.documents(part.text.tolist())
+                doc, subject = np.nonzero((picks > 0) & (picks >= SHARE * n[:, None]))
+                yield pd.DataFrame({"doc_id": part.doc_id.iloc[doc].array, "subject_id": ids[subject]})
 
     return docs.select("doc_id", "text").where("length(trim(text)) > 0").mapInPandas(run, "doc_id long, subject_id int")
 
@@ -208,13 +235,13 @@ def mixtures(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
+        ids = np.asarray(m.subjects, dtype=np.int64)
         for pdf in it:
-            rows = []
-            for d, t in zip(pdf.doc_id, pdf.text):
-                mix, picks = m.document(t)
-                n = Counter(picks)
-                rows += [(d, s, float(mix[i]), n[i], n[i] / max(1, len(picks))) for i, s in enumerate(m.subjects) if n[i]]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject_id", "weight", "sentences", "share"])
+            for at in range(0, len(pdf), SLICE):
+                part = pdf.iloc[at : at + SLICE]
+                mix, picks, n = m.documents(part.text.tolist())
+                doc, subject = np.nonzero(picks)
+                yield pd.DataFrame({"doc_id": part.doc_id.iloc[doc].array, "subject_id": ids[subject], "weight": mix[doc, subject], "sentences": picks[doc, subject], "share": picks[doc, subject] / n[doc]})
 
     return docs.select("doc_id", "text").where("length(trim(text)) > 0").mapInPandas(run, "doc_id long, subject_id int, weight double, sentences int, share double")
 
