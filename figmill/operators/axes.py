@@ -79,9 +79,16 @@ def candidates(dets: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(aligned(axis_candidates(dets, texts, plot_bounds(dets))))
 
 
-def log_votes(cands: DataFrame) -> DataFrame:
-    """is_log of each axis: at least two labels, over half of them written as powers."""
-    return cands.groupBy(*FIGURE, "axis").agg(((F.count(F.lit(1)) >= 2) & (F.avg(v.is_log_text(F.col("text")).cast("double")) > 0.5)).alias("is_log"))
+def log_votes(cands: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """is_log of each axis: at least two labels, over half of them written as powers.
+
+    ``modes`` (figure, heatmap, log_x; at most one row for a figure) forces the y axes of a heatmap to be linear and a
+    figure's x axis to be logarithmic."""
+    votes = cands.groupBy(*FIGURE, "axis").agg(((F.count(F.lit(1)) >= 2) & (F.avg(v.is_log_text(F.col("text")).cast("double")) > 0.5)).alias("is_log"))
+    if modes is None:
+        return votes
+    forced = F.when((F.col("axis") != "x") & F.coalesce("heatmap", F.lit(False)), F.lit(False)).when((F.col("axis") == "x") & F.coalesce("log_x", F.lit(False)), F.lit(True))
+    return votes.join(modes, FIGURE, "left").select(*FIGURE, "axis", F.coalesce(forced, "is_log").alias("is_log"))
 
 
 #: Pairs of labels tried as a line for each axis, and the residual in value units up to which a label agrees.
@@ -93,7 +100,8 @@ def fit(cands: DataFrame, votes: DataFrame) -> DataFrame:
 
     At most TRIALS pairs of neighbouring labels (one to three places apart along the axis) are tried, like the random
     trials they stand for but the same in every run; the line most labels agree with wins, of equal ones that of the
-    first pair, and is fitted again to these labels. Work is in proportion to the labels."""
+    first pair, and is fitted again to these labels. An axis on which no pair makes a line is fitted to all its labels by
+    least squares (a level line where they share one pixel). Work is in proportion to the labels."""
     keys = [*FIGURE, "axis"]
     pixel = F.when(F.col("axis") == "x", F.col("cx")).otherwise(F.col("cy"))
     pts = cands.join(votes, keys).withColumn("px", pixel).withColumn("t", F.when(F.col("is_log"), v.log_target(F.col("value"))).otherwise(F.col("value"))).where("t is not null")
@@ -106,8 +114,9 @@ def fit(cands: DataFrame, votes: DataFrame) -> DataFrame:
     agree = tried.join(ranked.select(*keys, "px", "t"), keys).where(F.abs(F.col("a") * F.col("px") + F.col("b") - F.col("t")) <= RESIDUAL)
     scores = agree.groupBy(*keys, "i", "j", "a", "b").agg(F.count(F.lit(1)).alias("hits"))
     best = scores.groupBy(*keys).agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("i"), -F.col("j"))).alias("m"))
-    inl = ranked.join(best, keys).where(F.abs(F.col("m.a") * F.col("px") + F.col("m.b") - F.col("t")) <= RESIDUAL)
-    return inl.groupBy(*keys).agg(F.first("is_log").alias("is_log"), F.regr_slope("t", "px").alias("slope"), F.regr_intercept("t", "px").alias("intercept"), F.count(F.lit(1)).alias("inliers")).where("slope is not null")
+    near = F.col("m").isNull() | (F.abs(F.col("m.a") * F.col("px") + F.col("m.b") - F.col("t")) <= RESIDUAL)
+    inl = ranked.join(best, keys, "left").where(near)
+    return inl.groupBy(*keys).agg(F.first("is_log").alias("is_log"), F.coalesce(F.regr_slope("t", "px"), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept("t", "px"), F.avg("t")).alias("intercept"), F.count(F.lit(1)).alias("inliers"))
 
 
 def axis_lines(cands: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from figmill.functions import geometry as g
 from figmill.session import cut
@@ -69,11 +70,43 @@ def tile_to_image(dets: DataFrame, tiles: DataFrame) -> DataFrame:
     return dets.join(F.broadcast(t), "tile_no").withColumns(moved).drop("tx", "ty")
 
 
-def suppressed(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
+#: Boxes of a figure and label up to which they are folded in one row; larger groups are spread over a grid.
+FOLD = 2000
+
+
+def suppressed(dets: DataFrame, threshold: float = 0.5, fold: int = FOLD) -> DataFrame:
     """Greedy suppression of overlaps within a label: the most confident box stays, boxes that overlap a kept one by
-    an IoU over the threshold go.
+    an IoU over the threshold (or equal it) go.
+
+    The boxes of a figure and label meet in one shuffle and are folded in the order of their confidence. Groups of over
+    ``fold`` boxes are first looked for and take another way with the same result (``_suppressed_on_grid``)."""
+    keys = [*FIGURE, "label"]
+    large = dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).select(*(F.col(k).alias(f"{k}_") for k in keys))
+    if large.isEmpty():
+        return _folded(dets, keys, threshold)
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return _folded(dets.join(large, same, "left_anti"), keys, threshold).unionByName(_suppressed_on_grid(dets.join(large, same, "left_semi"), threshold))
+
 
-    Equal boxes are reduced to their best first. Overlapping pairs are found on a grid and resolved in rounds: a box
+def _folded(dets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    rest = [c for c in dets.columns if c not in (*keys, "conf", "det_id")]
+    one = F.struct((-F.col("conf")).alias("order_"), "det_id", "conf", *rest)
+    least, most = (lambda a, b, c: F.least(a[c], b[c])), (lambda a, b, c: F.greatest(a[c], b[c]))
+    area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
+
+    def covers(k: Column, x: Column) -> Column:
+        common = F.greatest(F.lit(0.0), least(k, x, "x2") - most(k, x, "x1")) * F.greatest(F.lit(0.0), least(k, x, "y2") - most(k, x, "y1"))
+        equal = (k["x1"] == x["x1"]) & (k["y1"] == x["y1"]) & (k["x2"] == x["x2"]) & (k["y2"] == x["y2"])
+        return F.coalesce(F.try_divide(common, area(k) + area(x) - common) > threshold, F.lit(False)) | F.coalesce(equal, F.lit(False))
+
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: covers(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
+    groups = dets.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("all_"))
+    kept = groups.select(*keys, F.explode(F.reduce("all_", F.slice("all_", 1, 0), step)).alias("k_"))
+    return kept.select(*(F.col(c) if c in keys else F.col(f"k_.{c}").alias(c) for c in dets.columns))
+
+
+def _suppressed_on_grid(dets: DataFrame, threshold: float) -> DataFrame:
+    """Equal boxes are reduced to their best first. Overlapping pairs are found on a grid and resolved in rounds: a box
     stays once no undecided better box overlaps it. Rounds are as many as the longest chain of overlaps; no figure is
     gathered in one task. Each round is cut through the checkpoint folder."""
     keys = [*FIGURE, "label"]
@@ -118,9 +151,10 @@ def unnested(dets: DataFrame, at_least: float = 0.8) -> DataFrame:
     earlier kept box of its size or larger covers it. Only boxes with a covered pair are gathered, per figure."""
     p = covered_pairs(dets, at_least).select(F.col("a_paper_id").alias("paper_id"), F.col("a_figure_id").alias("figure_id"), F.col("a_det_id").alias("a"), F.col("b_det_id").alias("b"), F.signum(g.area("b_") - g.area("a_")).cast("int").alias("sign"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def gone_of(pairs: np.ndarray) -> list[int]:
         near: dict[int, list[tuple[int, int]]] = {}
-        for a, b, s in zip(pdf.a, pdf.b, pdf["sign"]):
+        for x in pairs:
+            a, b, s = x["a"], x["b"], x["sign"]
             near.setdefault(a, []).append((b, s))
             near.setdefault(b, []).append((a, -s))
         gone: set[int] = set()
@@ -135,7 +169,12 @@ def unnested(dets: DataFrame, at_least: float = 0.8) -> DataFrame:
                 else:
                     gone.add(i)
                     break
-        return pd.DataFrame({"det_id": sorted(gone)})
+        return sorted(gone)
+
+    @F.pandas_udf("array<long>")
+    def dropped(pairs: pd.Series) -> pd.Series:
+        return pairs.map(gone_of)
 
-    goes = p.groupBy(*FIGURE).applyInPandas(run, "det_id long")
+    per = p.groupBy(*FIGURE).agg(F.collect_list(F.struct("a", "b", "sign")).alias("pairs"))
+    goes = per.select(F.explode(dropped("pairs")).alias("det_id"))
     return dets.join(goes, "det_id", "left_anti").select(*dets.columns)

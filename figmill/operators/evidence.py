@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from figmill.functions import values as v
+from figmill.session import looked_up
 
 FIELDS = ["x_axis_title", "y_axis_title", "chart_text", "legend_text"]
 NOTE = "Shared Caption Fallback"
@@ -73,6 +74,17 @@ def points(packets: DataFrame) -> DataFrame:
     return packets.select("packet_id", F.posexplode("raw_data").alias("point_no", "p")).select("packet_id", "point_no", F.col("p.Series").alias("series"), num("X").alias("x"), num("Y_Left").alias("y_left"), num("Y_Right").alias("y_right"))
 
 
+def nested(packets: DataFrame, items: DataFrame, points_: DataFrame) -> DataFrame:
+    """packet_id, the four arrays of items and raw_data: flat items and points gathered into one row per packet, in order.
+
+    A packet without items or points has empty arrays. ``packets`` has one row per packet_id."""
+    per = items.groupBy("packet_id").agg(*(F.sort_array(F.collect_list(F.when(F.col("field") == f, F.struct("item_no", "text", "source_file", "note")))).alias(f) for f in FIELDS))
+    pts = points_.groupBy("packet_id").agg(F.sort_array(F.collect_list(F.struct("point_no", "series", "x", "y_left", "y_right"))).alias("raw_data"))
+    j = packets.join(per, "packet_id", "left").join(pts, "packet_id", "left")
+    kinds = dict(j.dtypes)
+    return j.select(*packets.columns, *(F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in (*FIELDS, "raw_data")))
+
+
 def terms(items: DataFrame) -> DataFrame:
     """term: the distinct candidate abbreviations of all texts (column text)."""
     words = items.select(F.explode(F.split(F.btrim("text"), r"\s+")).alias("w")).select(F.btrim("w", F.lit(v.TERM_EDGES)).alias("term")).where("term <> ''").distinct()
@@ -86,21 +98,33 @@ def resolved(text: Column, full: Column) -> Column:
     return F.when(full.isNotNull(), F.concat(text, F.lit(" ("), full, F.lit(")"))).otherwise(text)
 
 
-def axis_titles(packets: DataFrame) -> DataFrame:
-    """x_title, y_title: the first title of each axis in the order of the source files."""
+def title_columns() -> list[Column]:
+    """x_title, y_title: the first title of each axis in the order of the source files, from the packet's own arrays."""
 
     def first(f: str) -> Column:
         return F.element_at(F.sort_array(F.transform(F.filter(f"text_evidence.{f}", lambda x: x["text"].isNotNull()), lambda x: F.struct(F.coalesce(x["source_file"], F.lit("")).alias("s"), x["text"].alias("t")))), 1)["t"]
 
     has = lambda f: F.size(F.filter(f"text_evidence.{f}", lambda x: x["text"].isNotNull())) > 0
     title = lambda f, default: F.when(has(f), first(f)).otherwise(default)
-    return packets.select("packet_id", title("x_axis_title", "X-Axis").alias("x_title"), title("y_axis_title", "Y-Axis").alias("y_title"))
+    return [title("x_axis_title", "X-Axis").alias("x_title"), title("y_axis_title", "Y-Axis").alias("y_title")]
+
+
+def axis_titles(packets: DataFrame) -> DataFrame:
+    """x_title, y_title: the first title of each axis in the order of the source files."""
+    return packets.select("packet_id", *title_columns())
+
+
+def titled_points(packets: DataFrame) -> DataFrame:
+    """packet_id, point_no, series, x, y_left, y_right, x_title, y_title: points with the titles of their own row; nothing is joined."""
+    num = lambda k: F.nanvl(F.col(f"p.{k}"), F.lit(None).cast("double"))
+    rows = packets.select("packet_id", *title_columns(), "raw_data").select("packet_id", "x_title", "y_title", F.posexplode("raw_data").alias("point_no", "p"))
+    return rows.select("packet_id", "point_no", F.col("p.Series").alias("series"), num("X").alias("x"), num("Y_Left").alias("y_left"), num("Y_Right").alias("y_right"), "x_title", "y_title")
 
 
 def fused(packets: DataFrame, names: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """packet_id, point_no, attr, value, number: points in long form (texts in value, numbers in number), columns named by the axis titles, names resolved, the
-    global conditions on every point. ``names`` (term, full) is a lookup of fixed size."""
-    pts = points(packets).join(axis_titles(packets), "packet_id").join(F.broadcast(names), F.col("series") == F.col("term"), "left")
+    global conditions on every point. ``names`` (term, full; one row per term) is looked up, by broadcast while it is small."""
+    pts = looked_up(titled_points(packets), names.select(F.col("term").alias("series"), "full"), "series")
     none = F.lit(None).cast("string")
     text = lambda a, t: F.struct(a.alias("attr"), t.alias("value"), F.lit(None).cast("double").alias("number"))
     num = lambda a, c: F.struct(a.alias("attr"), none.alias("value"), c.alias("number"))
@@ -112,6 +136,48 @@ def fused(packets: DataFrame, names: DataFrame, conditions: dict[str, str]) -> D
     return pts.select("packet_id", "point_no", F.explode(F.concat(F.array(*attrs), data)).alias("a")).select("packet_id", "point_no", "a.attr", "a.value", "a.number")
 
 
+def fused_wide(packets: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """paper_id, figure_id, packet_id, point_no, row: one map of column to text for each point, as a line of the figure's own
+    wide table: Series, the x title, the y title, Data_Value where there is one, and a column for each condition of the paper.
+
+    Columns differ from figure to figure, so a row is a map (insertion order; of equal titles the later value holds).
+    ``knowledge`` (paper_id, term_mapping, global_conditions) has one row per paper, as ``knowledge.replies`` gives."""
+    base = packets.select("packet_id", "paper_id", F.col("meta.figure_id").alias("figure_id"), *title_columns(), "raw_data").select("packet_id", "paper_id", "figure_id", "x_title", "y_title", F.posexplode("raw_data").alias("point_no", "p"))
+    j = looked_up(base, knowledge.select("paper_id", "term_mapping", "global_conditions"), "paper_id")
+    num = lambda k: F.nanvl(F.col(f"p.{k}"), F.lit(None).cast("double")).cast("string")
+    name = resolved(F.coalesce("p.Series", F.lit("Unknown")), F.try_element_at("term_mapping", F.coalesce("p.Series", F.lit("Unknown"))))
+    cell = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    own = F.array(cell(F.lit("Series"), name), cell(F.col("x_title"), num("X")), cell(F.col("y_title"), num("Y_Left")))
+    none = F.array().cast("array<struct<key: string, value: string>>")
+    value = F.when(num("Y_Right").isNotNull(), F.array(cell(F.lit("Data_Value"), num("Y_Right")))).otherwise(none)
+    given = F.coalesce(F.transform(F.map_entries("global_conditions"), lambda e: cell(F.concat(F.lit("Condition: "), e["key"]), e["value"])), none)
+    cells = F.concat(own, value, given)
+    # of cells with one name the last holds, at the place of the first
+    names = F.array_distinct(F.transform(cells, lambda c: c["key"]))
+    last = F.transform(names, lambda n: F.element_at(F.filter(cells, lambda c: c["key"] == n), -1))
+    return j.select("paper_id", "figure_id", "packet_id", "point_no", F.map_from_entries(last).alias("row"))
+
+
+def linked(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """name, file_id, fallback: which files (file_id, file_name, source_dir) belong to which document (name).
+
+    A file is linked if one of the folders of its source_dir is the document's name, or contains it between marks, or if its
+    base name starts with it; where nothing is linked, by all files named page_* of the folder of that name, as fallback.
+    Names meet files by equality of pieces (folders and their parts between _, - and blanks; starts of the base name), so
+    there is no comparison of each document with each file."""
+    base = F.element_at(F.split("file_name", "/"), -1)
+    ends = F.filter(F.sequence(F.lit(1), F.length(base)), lambda i: (i == F.length(base)) | F.substring(base, i + 1, F.lit(1)).isin("_", "-", " ", "."))
+    starts = F.transform(ends, lambda i: F.substring(base, F.lit(1), i))
+    folders = F.split(F.coalesce("source_dir", F.lit("")), "/")
+    parts = F.flatten(F.transform(folders, lambda x: F.split(x, "[_ -]")))
+    names = docs.select("name").where("name <> ''").distinct()
+    pieces = files.select("file_id", F.explode(F.array_distinct(F.concat(folders, parts, starts))).alias("name"))
+    direct = pieces.join(names, "name")
+    lone = names.join(direct.select("name").distinct(), "name", "left_anti")
+    pages = files.where(base.startswith("page_")).select("file_id", F.element_at(F.split("file_name", "/"), 1).alias("name"))
+    return direct.select("name", "file_id", F.lit(False).alias("fallback")).unionByName(pages.join(lone, "name").select("name", "file_id", F.lit(True).alias("fallback")))
+
+
 def forced_caption(packets: DataFrame, forced: DataFrame) -> DataFrame:
     """Packets whose caption is replaced where ``forced`` (packet_id, caption) has one."""
     f = forced.where("caption is not null").select("packet_id", F.col("caption").alias("forced_"))

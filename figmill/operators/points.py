@@ -9,17 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from figmill.functions import values as v
-from figmill.operators import axes
+from figmill.operators import axes, detect
 from figmill.operators.detect import FIGURE, HEIGHT
 from figmill.operators.series import nearest_value
+from figmill.session import cut
 
 VALUE_LABELS = ["data_value", "value_label", "point_value", "floating_value"]
 
 
-def promoted(dets: DataFrame, bounds: DataFrame, dual: DataFrame, wanted: bool = True) -> DataFrame:
-    """Labels inside the plot become data values where values are wanted and there is one vertical axis."""
+def promoted(dets: DataFrame, bounds: DataFrame, dual: DataFrame, wanted: bool | DataFrame = True) -> DataFrame:
+    """Labels inside the plot become data values where values are wanted and there is one vertical axis. ``wanted`` holds for
+    all figures, or is a table (figure, heatmap) of those that want them."""
     j = dets.join(bounds.select(*FIGURE, "x_min", "y_max"), FIGURE, "left").join(dual, FIGURE, "left")
-    inside = F.lit(wanted) & ~F.coalesce("dual", F.lit(False)) & (F.col("x_min") > 0) & (F.col("y_max") < HEIGHT) & F.col("label").isin("tick_label", "text", "value") & (F.col("cx") > F.col("x_min") + 15) & (F.col("cy") < F.col("y_max") - 15)
+    if isinstance(wanted, DataFrame):
+        j, asked = j.join(wanted.select(*FIGURE, "heatmap"), FIGURE, "left"), F.coalesce("heatmap", F.lit(False))
+    else:
+        asked = F.lit(wanted)
+    inside = asked & ~F.coalesce("dual", F.lit(False)) & (F.col("x_min") > 0) & (F.col("y_max") < HEIGHT) & F.col("label").isin("tick_label", "text", "value") & (F.col("cx") > F.col("x_min") + 15) & (F.col("cy") < F.col("y_max") - 15)
     return j.withColumn("label", F.when(inside, "data_value").otherwise(F.col("label"))).select(*dets.columns)
 
 
@@ -29,17 +35,27 @@ def predicted(model: str, pixel: Column) -> Column:
     return F.when(F.col(f"{model}.is_log"), F.pow(F.lit(10.0), y)).otherwise(y)
 
 
-def mapped(dets: DataFrame, texts: DataFrame, series: DataFrame) -> DataFrame:
-    """series, x, y_left, y_right_or_value of every data point: the whole chain from detections to values.
+def cleaned(dets: DataFrame) -> DataFrame:
+    """What is mapped of raw detections: overlaps suppressed, doubtful boxes of crowded figures and nested boxes dropped.
 
-    The three models of a figure become one row, so points are joined once."""
-    cands = axes.candidates(dets, texts)
-    models = axes.fit(cands, axes.log_votes(cands))
+    The rows are written once, for the steps of the mapping read them several times."""
+    return cut(detect.unnested(detect.dynamic_confidence(detect.suppressed(dets))))
+
+
+def mapped(dets: DataFrame, texts: DataFrame, series: DataFrame, modes: DataFrame | None = None) -> DataFrame:
+    """series, x, y_left, y_right_or_value of every data point: the whole chain from (cleaned) detections to values.
+
+    ``modes`` (figure, heatmap, log_x) says which figures are heatmaps: their y axes are linear and their labels inside the
+    plot are values of points. The three models of a figure become one row, so points are joined once."""
+    bounds, dual = axes.plot_bounds(dets), axes.dual_axis(dets)
+    cands = cut(axes.aligned(axes.axis_candidates(dets, texts, bounds)))
+    models = axes.fit(cands, axes.log_votes(cands, modes))
     per = models.groupBy(*FIGURE).agg(*(F.first(F.when(F.col("axis") == a, F.struct("is_log", "slope", "intercept")), ignorenulls=True).alias(a) for a in ("x", "yl", "yr")))
     points = axes.without_ghosts(dets.where("label = 'data_point'"), axes.axis_lines(cands))
-    values = dets.where(F.col("label").isin(VALUE_LABELS)).join(texts.select("det_id", "text"), "det_id")
+    boxes = promoted(dets, bounds, dual, modes) if modes is not None else dets
+    values = boxes.where(F.col("label").isin(VALUE_LABELS)).join(texts.select("det_id", "text"), "det_id")
     labels = nearest_value(points, values).join(values.select(F.col("det_id").alias("value_id"), v.parse_val(F.col("text")).alias("label_value")), "value_id").select("det_id", "label_value")
-    j = points.join(per, FIGURE).where("x is not null").join(axes.dual_axis(dets), FIGURE, "left").join(labels, "det_id", "left").join(series.select("det_id", "series"), "det_id", "left")
+    j = points.join(per, FIGURE).where("x is not null").join(dual, FIGURE, "left").join(labels, "det_id", "left").join(series.select("det_id", "series"), "det_id", "left")
     right = F.when(F.col("dual") & F.col("yr").isNotNull(), predicted("yr", F.col("cy"))).otherwise(F.col("label_value"))
     return j.select(*FIGURE, "det_id", F.coalesce("series", F.lit("Default")).alias("series"), predicted("x", F.col("cx")).alias("x"), F.when(F.col("yl").isNotNull(), predicted("yl", F.col("cy"))).alias("y_left"), right.alias("y_right_or_value"))
 

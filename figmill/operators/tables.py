@@ -9,7 +9,7 @@ distances take the lower index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from figmill.functions import geometry as g
 from figmill.operators.detect import BOX
@@ -54,23 +54,38 @@ def merged(cells: DataFrame, spans: DataFrame, at_least: float = 0.6) -> DataFra
     return spanning.unionByName(rest)
 
 
-def gap_clusters(cells: DataFrame, coordinate: str, gap: float = 10.0) -> DataFrame:
-    """ord, centre, n: clusters of a coordinate, a new one after each gap. Equal coordinates are counted before the window."""
+def _gaps(cells: DataFrame, coordinate: str, gap: float) -> DataFrame:
+    """at, k, ord: the distinct values of a coordinate, how many cells have them, and their cluster."""
     at = cells.where(F.col(coordinate).isNotNull()).groupBy(*TABLE, F.col(coordinate).alias("at")).agg(F.count(F.lit(1)).alias("k"))
     w = W.partitionBy(*TABLE).orderBy("at")
     opens = F.when(F.col("at") - F.lag("at").over(w) > gap, 1).otherwise(0)
-    part = at.withColumn("opens", opens).withColumn("ord", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    return part.groupBy(*TABLE, "ord").agg(F.try_divide(F.sum(F.col("at") * F.col("k")), F.sum("k")).alias("centre"), F.sum("k").alias("n"))
+    return at.withColumn("opens", opens).withColumn("ord", F.sum("opens").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("opens")
 
 
-def assigned(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
-    """cell_id, row_index, col_index: the nearest row and column centre of each cell."""
+def gap_clusters(cells: DataFrame, coordinate: str, gap: float = 10.0) -> DataFrame:
+    """ord, centre, n: clusters of a coordinate, a new one after each gap. Equal coordinates are counted before the window."""
+    return _gaps(cells, coordinate, gap).groupBy(*TABLE, "ord").agg(F.try_divide(F.sum(F.col("at") * F.col("k")), F.sum("k")).alias("centre"), F.sum("k").alias("n"))
+
 
-    def nearest(coordinate: str, centres: DataFrame, name: str) -> DataFrame:
-        j = cells.select(*TABLE, "cell_id", coordinate).join(centres.select(*TABLE, "ord", "centre"), TABLE)
-        return j.groupBy("cell_id").agg(F.min_by("ord", F.struct(F.abs(F.col("centre") - F.col(coordinate)).alias("d"), "ord")).alias(name))
+def nearest_centre(cells: DataFrame, coordinate: str, gap: float = 10.0) -> DataFrame:
+    """at, index: the nearest cluster centre of each distinct value of a coordinate, of equally near ones the lower.
 
-    return nearest("cy", rows, "row_index").join(nearest("cx", cols, "col_index"), "cell_id")
+    Clusters and their centres stand in the same order, so of all centres only those of a value's own cluster and of its
+    two neighbours can be nearest: no value meets every centre."""
+    part = _gaps(cells, coordinate, gap)
+    # over the values of a table that are already sorted: the centre of the own cluster, then of those before and after
+    centres = part.groupBy(*TABLE, "ord").agg(F.try_divide(F.sum(F.col("at") * F.col("k")), F.sum("k")).alias("centre"))
+    w = W.partitionBy(*TABLE).orderBy("ord")
+    beside = centres.select(*TABLE, "ord", F.lag("centre").over(w).alias("before"), "centre", F.lead("centre").over(w).alias("after"))
+    far = lambda c, i: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c) - F.col("at")).alias("d"), (F.col("ord") + i).alias("ord")))
+    return part.join(beside, [*TABLE, "ord"]).select(*TABLE, "at", F.least(far("before", -1), far("centre", 0), far("after", 1))["ord"].cast("int").alias("index"))
+
+
+def assigned(cells: DataFrame, gap: float = 10.0) -> DataFrame:
+    """cell_id, row_index, col_index: the nearest row and column centre of each cell."""
+    rows = nearest_centre(cells, "cy", gap).select(*TABLE, F.col("at").alias("cy"), F.col("index").alias("row_index"))
+    cols = nearest_centre(cells, "cx", gap).select(*TABLE, F.col("at").alias("cx"), F.col("index").alias("col_index"))
+    return cells.select(*TABLE, "cell_id", "cx", "cy").join(rows, [*TABLE, "cy"]).join(cols, [*TABLE, "cx"]).select("cell_id", "row_index", "col_index")
 
 
 def pivoted(cells: DataFrame, width: int = 6) -> DataFrame:
@@ -89,10 +104,82 @@ def pivoted(cells: DataFrame, width: int = 6) -> DataFrame:
 def placed(cells: DataFrame) -> DataFrame:
     """Cells with a position: their own, else that of the nearest row and column centre of their table."""
     at = cells.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2})
-    near = assigned(at, gap_clusters(at, "cy"), gap_clusters(at, "cx")).select("cell_id", F.col("row_index").alias("row_"), F.col("col_index").alias("col_"))
+    near = assigned(at).select("cell_id", F.col("row_index").alias("row_"), F.col("col_index").alias("col_"))
     return cells.join(near, "cell_id", "left").withColumns({"row_index": F.coalesce("row_index", "row_"), "col_index": F.coalesce("col_index", "col_")}).drop("row_", "col_")
 
 
+def best_bodies(cells: DataFrame) -> DataFrame:
+    """cell_id, score: the most certain body of each table, of equals the lower cell_id."""
+    return cells.groupBy(*TABLE).agg(F.max_by("cell_id", F.struct("score", -F.col("cell_id"))).alias("cell_id"), F.max("score").alias("score"))
+
+
+def body_box(width: float, height: float, below: float = 10.0) -> list[Column]:
+    """x1, y1, x2, y2 of what is cut out for a body: the whole width, from its top to a little below it."""
+    return [F.lit(0.0).alias("x1"), F.col("y1"), F.lit(float(width)).alias("x2"), F.least(F.lit(float(height)), F.col("y2") + below).alias("y2")]
+
+
+def accepted(cells: DataFrame, least: float = 0.9, model: bool = True) -> DataFrame:
+    """is_table, conf, reason: whether an image is a table. Without a model every image counts as one, with no confidence."""
+    if not model:
+        return cells.groupBy(*TABLE).agg(F.lit(True).alias("is_table"), F.lit(0.0).alias("conf"), F.lit("Model not loaded").alias("reason"))
+    top = F.coalesce(F.max("score"), F.lit(0.0))
+    return cells.groupBy(*TABLE).agg((top >= least).alias("is_table"), top.alias("conf"), F.when(top >= least, "").otherwise("Filtered by YOLO").alias("reason"))
+
+
+def dispatched(cells: DataFrame, kind: str = "kind", readers: frozenset[str] = frozenset({"Text"})) -> DataFrame:
+    """content by the class of a cell (Structure, Text, Error): structures without their reader say so."""
+    missing = (F.col(kind) == "Structure") & F.lit("Structure" not in readers)
+    return cells.withColumn("content", F.when(missing, "[MolScribe Missing]").otherwise(F.col("content")))
+
+
+def reading_scale(w: Column, h: Column) -> list[Column]:
+    """axis_scale, value_scale, legend_scale: how much small crops are enlarged before they are read."""
+    return [F.when((w < 50) | (h < 50), 3).otherwise(1).alias("axis_scale"), F.when((w < 60) | (h < 60), 4).otherwise(1).alias("value_scale"), F.when((h < 100) | (w < 200), 3).otherwise(1).alias("legend_scale")]
+
+
+def quad_box(quad: Column) -> list[Column]:
+    """qx1, qy1, qx2, qy2: the upright box around a quadrilateral (an array of points)."""
+    side = lambda f, i: f(F.transform(quad, lambda p: p[i]))
+    return [side(F.array_min, 0).alias("qx1"), side(F.array_min, 1).alias("qy1"), side(F.array_max, 0).alias("qx2"), side(F.array_max, 1).alias("qy2")]
+
+
+def stacked(rows: DataFrame, keys: list[str], order: str, height: str, space: int = 10) -> DataFrame:
+    """y_offset: where each crop starts when crops are stacked with a space between."""
+    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("y_offset", F.coalesce(F.sum(F.col(height) + space).over(w), F.lit(0)).cast("long"))
+
+
+def annotations(dets: DataFrame, width: float, height: float) -> DataFrame:
+    """det_id, x, y, w, h, score: boxes cut to the image, in the form of annotations; what lies outside is left out."""
+    x, y = F.greatest(F.lit(0.0), F.col("x1")), F.greatest(F.lit(0.0), F.col("y1"))
+    return dets.select("det_id", x.alias("x"), y.alias("y"), (F.least(F.lit(float(width)), F.col("x2")) - x).alias("w"), (F.least(F.lit(float(height)), F.col("y2")) - y).alias("h"), F.col("conf").alias("score")).where("w > 0 and h > 0")
+
+
+def target_elements(targets: DataFrame, elements: DataFrame, keys: list[str], size: float = 100.0) -> DataFrame:
+    """target_id, element_id, label, masked, mask, elem_idx: the elements of each target (det_id and box on either side).
+
+    An element belongs to a target if they meet, or if it is a text above or below it that shares over half of the lesser
+    width. Texts from the target's lower edge on are captions. ``mask`` is the part of the target, in its own pixels, that an
+    element other than a caption covers and that is whitened. Both sides meet on columns ``size`` wide."""
+    cols = [*keys, "det_id", "label", *BOX]
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        named = df.select(*(F.col(c).alias(f"{p}{c}") for c in cols))
+        return named.withColumn(f"{p}bin", F.explode(F.sequence(F.floor(F.col(f"{p}x1") / size), F.greatest(F.floor(F.col(f"{p}x1") / size), F.floor(F.col(f"{p}x2") / size)))))
+
+    on = [F.col(f"t_{k}") == F.col(f"e_{k}") for k in keys] + [F.col("t_bin") == F.col("e_bin")]
+    j = side(targets, "t_").join(side(elements, "e_"), on).where(F.col("t_bin") == F.greatest(F.floor(F.col("t_x1") / size), F.floor(F.col("e_x1") / size)))
+    over = F.least("t_x2", "e_x2") - F.greatest("t_x1", "e_x1")
+    meets = g.intersection("t_", "e_") > 0
+    above = (F.col("e_label") == "text") & (over > 0.5 * F.least(F.col("t_x2") - F.col("t_x1"), F.col("e_x2") - F.col("e_x1")))
+    label = F.when((F.col("e_label") == "text") & (F.col("e_y1") >= F.col("t_y2") - 20), "caption").otherwise(F.col("e_label"))
+    masked = meets & (label != "caption")
+    rel = lambda f, c: (f(f"t_{c}", f"e_{c}") - F.col(f"t_{c[0]}1")).alias(c)
+    mask = F.when(masked, F.struct(rel(F.greatest, "x1"), rel(F.greatest, "y1"), rel(F.least, "x2"), rel(F.least, "y2")))
+    p = j.where(meets | above).select(F.col("t_det_id").alias("target_id"), F.col("e_det_id").alias("element_id"), label.alias("label"), masked.alias("masked"), mask.alias("mask"))
+    return p.withColumn("elem_idx", (F.row_number().over(W.partitionBy("target_id", "label").orderBy("element_id")) - 1).cast("int"))
+
+
 def outcome(tables_: DataFrame, cells: DataFrame) -> DataFrame:
     """is_valid and reason of each table (columns accepted, readable): why it has no grid, or an empty reason."""
     have = cells.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("cells_"), F.count_if(F.coalesce(F.col("content"), F.lit("")) != "").alias("texts_"))

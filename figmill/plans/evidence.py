@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from figmill.functions import values as v
 from figmill.operators import evidence
-from figmill.session import table
-from figmill.sources import recorded
+from figmill.operators.tables import stacked
+from figmill.operators.knowledge import prompt, replies
+from figmill.session import looked_up, table
+from figmill.sources import files, recorded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,16 +94,16 @@ def harvest_terms(spark, d):
     return evidence.terms(items(spark, d))
 
 
-_NAMES = "names AS (SELECT series_name AS term, 'series ' || CAST(name_id AS VARCHAR) AS \"full\" FROM series_names WHERE name_id % 3 = 0)"
+_NAMES = "names AS (SELECT series_name AS term, 'series ' || CAST(name_id AS VARCHAR) AS \"full\" FROM series_names)"
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "series_names").where("name_id % 3 = 0").select(F.col("series_name").alias("term"), F.concat(F.lit("series "), F.col("name_id").cast("string")).alias("full"))
+    return table(spark, d, "series_names").select(F.col("series_name").alias("term"), F.concat(F.lit("series "), F.col("name_id").cast("string")).alias("full"))
 
 
 @query(f"WITH {ITEMS}, {_NAMES} SELECT packet_id, item_no, CASE WHEN \"full\" IS NOT NULL THEN text || ' (' || \"full\" || ')' ELSE text END AS text FROM items LEFT JOIN names ON text = term WHERE field = 'legend_text'")
 def term_resolve(spark, d):
-    j = items(spark, d).where("field = 'legend_text'").join(F.broadcast(_names(spark, d)), F.col("text") == F.col("term"), "left")
+    j = looked_up(items(spark, d).where("field = 'legend_text'"), _names(spark, d).withColumnRenamed("term", "text"), "text")
     return j.select("packet_id", "item_no", evidence.resolved(F.col("text"), F.col("full")).alias("text"))
 
 
@@ -124,17 +126,17 @@ def packet_points(spark, d):
     return evidence.points(packets(spark, d))
 
 
-@query(
-    """SELECT packet_id, CAST(coalesce(len(text_evidence.x_axis_title), 0) AS INTEGER) AS x_axis_title, CAST(coalesce(len(text_evidence.y_axis_title), 0) AS INTEGER) AS y_axis_title, CAST(coalesce(len(text_evidence.chart_text), 0) AS INTEGER) AS chart_text, CAST(coalesce(len(text_evidence.legend_text), 0) AS INTEGER) AS legend_text, CAST(coalesce(len(raw_data), 0) AS INTEGER) AS points FROM evidence_packets"""
-)
+_FLAT = ", ".join("'{f}: ' || coalesce(array_to_string(list_transform(text_evidence.{f}, lambda x: '<' || coalesce(x.text, '') || '|' || coalesce(x.source_file, '') || '|' || coalesce(x.note, '') || '>'), ''), '') AS {f}".format(f=f) for f in evidence.FIELDS)
+
+
+@query(f"SELECT packet_id, {_FLAT}, CAST(coalesce(len(raw_data), 0) AS INTEGER) AS points, coalesce(array_to_string(list_transform(raw_data, lambda p: coalesce(p.Series, '') || '/' || CASE WHEN p.X IS NULL OR isnan(p.X) THEN '' ELSE CAST(CAST(round(p.X * 1000) AS BIGINT) AS VARCHAR) END), ' '), '') AS values FROM evidence_packets")
 def packet_nested(spark, d):
-    """Items and points flattened and gathered into nested packets again; their sizes must be those of the source."""
-    per = items(spark, d).groupBy("packet_id", "field").agg(F.sort_array(F.collect_list(F.struct("item_no", "text", "source_file", "note"))).alias("list"))
-    nested = per.groupBy("packet_id").pivot("field", evidence.FIELDS).agg(F.first("list"))
-    pts = evidence.points(packets(spark, d)).groupBy("packet_id").agg(F.sort_array(F.collect_list(F.struct("point_no", "series", "x", "y_left", "y_right"))).alias("raw_data"))
-    full = packets(spark, d).select("packet_id").join(nested, "packet_id", "left").join(pts, "packet_id", "left")
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return full.select("packet_id", *(F.when(F.col(c).isNull(), 0).otherwise(n(c)).alias(c) for c in evidence.FIELDS), F.when(F.col("raw_data").isNull(), 0).otherwise(n("raw_data")).alias("points"))
+    """Items and points flattened and gathered into nested packets again; every text, file and note, and every point, must stand where it stood."""
+    nested = evidence.nested(packets(spark, d).select("packet_id"), items(spark, d), evidence.points(packets(spark, d)))
+    one = lambda x: F.concat(F.lit("<"), F.coalesce(x["text"], F.lit("")), F.lit("|"), F.coalesce(x["source_file"], F.lit("")), F.lit("|"), F.coalesce(x["note"], F.lit("")), F.lit(">"))
+    flat = lambda f: F.concat(F.lit(f"{f}: "), F.array_join(F.transform(f, one), "")).alias(f)
+    point = lambda p: F.concat(F.coalesce(p["series"], F.lit("")), F.lit("/"), F.coalesce(F.round(p["x"] * 1000).cast("long").cast("string"), F.lit("")))
+    return nested.select("packet_id", *map(flat, evidence.FIELDS), F.size("raw_data").alias("points"), F.array_join(F.transform("raw_data", point), " ").alias("values"))
 
 
 _CONDITIONS = {"Solvent": "toluene", "Scale": "lab"}
@@ -151,6 +153,23 @@ def fuse_long(spark, d):
     return evidence.fused(packets(spark, d), _names(spark, d), _CONDITIONS)
 
 
+@query(
+    f"""WITH {_PTS}, know AS (SELECT paper_id, count(*) AS n FROM documents WHERE paper_id IS NOT NULL GROUP BY ALL), ti AS (SELECT packet_id, paper_id, meta.figure_id AS figure_id, {_TX} AS x_title, {_TY} AS y_title FROM evidence_packets),
+    j AS (SELECT ti.*, pts.* EXCLUDE (packet_id), know.n FROM pts JOIN ti USING (packet_id) LEFT JOIN know ON ti.paper_id = know.paper_id),
+    c AS (SELECT packet_id, point_no, figure_id, unnest([{{'k': 'Series', 'v': CASE WHEN coalesce(series, 'Unknown') = 'Unknown' AND n IS NOT NULL THEN 'Unknown (not read)' ELSE coalesce(series, 'Unknown') END, 'o': 0}}, {{'k': x_title, 'v': CAST(x AS VARCHAR), 'o': 1}}, {{'k': y_title, 'v': CAST(y_left AS VARCHAR), 'o': 2}},
+      {{'k': 'Data_Value', 'v': CAST(y_right AS VARCHAR), 'o': 3}}, {{'k': 'Condition: Documents', 'v': CAST(n AS VARCHAR), 'o': 4}}]) AS e FROM j),
+    f AS (SELECT packet_id, point_no, figure_id, e.k AS col, arg_max(coalesce(e.v, ''), e.o) AS cell FROM c WHERE NOT (e.o IN (3, 4) AND e.v IS NULL) GROUP BY ALL)
+    SELECT packet_id, point_no, figure_id, col, CASE WHEN col = 'Series' OR starts_with(col, 'Condition') THEN cell END AS cell, CASE WHEN NOT (col = 'Series' OR starts_with(col, 'Condition')) THEN try_cast(cell AS DOUBLE) END AS number FROM f"""
+)
+def fuse_wide(spark, d):
+    """The cells of each figure's wide table; the knowledge of a paper is a recorded reply."""
+    reply = F.concat(F.lit('{"term_mapping": {"Unknown": "not read"}, "global_conditions": {"Documents": "'), F.col("n").cast("string"), F.lit('"}}'))
+    known = replies(table(spark, d, "documents").where("paper_id is not null").groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")).select("paper_id", reply.alias("reply")), "paper_id")
+    cells = evidence.fused_wide(packets(spark, d), known).select("packet_id", "point_no", "figure_id", F.explode("row").alias("col", "cell"))
+    plain = (F.col("col") == "Series") | F.col("col").startswith("Condition")
+    return cells.select("packet_id", "point_no", "figure_id", "col", F.when(plain, F.col("cell")).alias("cell"), F.when(~plain, F.col("cell").try_cast("double")).alias("number"))
+
+
 # --- raw packets ------------------------------------------------------------------
 
 
@@ -160,14 +179,34 @@ def id_parse(spark, d):
     return table(spark, d, "raw_packets").select("file_id", "paper_id", F.regexp_extract(f, "(page_[0-9]+)_", 1).alias("page"), F.regexp_replace(f, "^.*/", "").alias("base"), F.regexp_replace(F.replace(f, F.lit("_evidence.json"), F.lit("")), "^.*/", "").alias("figure"))
 
 
-@query("SELECT file_id, json_extract_string(j, '$.meta.figure_id') AS figure_id, CAST(json_array_length(j, '$.raw_data') AS INTEGER) AS points FROM (SELECT file_id, try_cast(regexp_replace(payload, '\\bNaN\\b', 'null', 'g') AS JSON) AS j FROM raw_packets WHERE starts_with(payload, '{')) WHERE json_extract_string(j, '$.meta.figure_id') IS NOT NULL AND json_type(j, '$.raw_data') = 'ARRAY' AND json_type(j, '$.text_evidence') = 'OBJECT'")
+_JSON = "try_cast(regexp_replace(payload, '\\bNaN\\b', 'null', 'g') AS JSON)"
+#: A packet is an object with a meta, a text_evidence or a raw_data; it is the payload, in its list, or in a list of its wrapper.
+_IS = "(json_type({x}, '$.meta') IS NOT NULL OR json_type({x}, '$.text_evidence') IS NOT NULL OR json_type({x}, '$.raw_data') IS NOT NULL)"
+_LISTS = "list_transform(json_keys(j), lambda k: json_extract(j, '$.\"' || k || '\"'))"
+_ROOT = f"""raw0 AS (SELECT file_id, {_JSON} AS j FROM raw_packets), lists AS (SELECT file_id, j, CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) WHEN json_type(j) = 'OBJECT' AND {_IS.format(x='j')} THEN [j]
+      WHEN json_type(j) = 'OBJECT' THEN flatten(list_transform(list_filter({_LISTS}, lambda v: json_type(v) = 'ARRAY'), lambda v: CAST(v AS JSON[]))) END AS rows_ FROM raw0 WHERE j IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {_ROOT}, p AS (SELECT file_id, unnest(list_filter(rows_, lambda x: json_type(x) = 'OBJECT' AND {_IS.format(x='x')})) AS x FROM lists)
+    SELECT file_id, CASE WHEN json_type(x, '$.meta') = 'OBJECT' THEN json_extract_string(x, '$.meta.figure_id') END AS figure_id, CASE WHEN json_type(x, '$.raw_data') = 'ARRAY' THEN CAST(json_array_length(x, '$.raw_data') AS INTEGER) END AS points FROM p"""
+)
 def evidence_scan(spark, d):
-    return recorded.evidence_packets(table(spark, d, "raw_packets")).where("parsed.meta.figure_id is not null and parsed.raw_data is not null and parsed.text_evidence is not null").select("file_id", F.col("parsed.meta.figure_id").alias("figure_id"), F.size("parsed.raw_data").alias("points"))
+    """The packets of every file, in whatever wrapper."""
+    one = F.col("packet")
+    return recorded.packets(table(spark, d, "raw_packets")).select("file_id", one["meta"]["figure_id"].alias("figure_id"), F.when(one["raw_data"].isNotNull(), F.size(one["raw_data"])).alias("points"))
+
+
+_NUM = "CASE WHEN json_type(x, '$.\"{k}\"') IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'HUGEINT') THEN CAST(json_extract(x, '$.\"{k}\"') AS DOUBLE) END"
 
 
-@query("SELECT file_id, CAST(count(*) AS INTEGER) AS points, round(sum(CAST(json_extract(p, '$.X') AS DOUBLE)), 5) AS x FROM (SELECT file_id, unnest(CAST(j AS JSON[])) AS p FROM (SELECT file_id, try_cast(regexp_replace(payload, '\\bNaN\\b', 'null', 'g') AS JSON) AS j FROM raw_packets WHERE starts_with(payload, '[')) WHERE json_type(j, '$[0].X') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND coalesce(json_type(j, '$[0].Series'), 'NULL') <> 'NULL') GROUP BY file_id")
+@query(
+    f"""WITH {_ROOT}, p AS (SELECT file_id, unnest(list_filter(CAST(j AS JSON[]), lambda x: json_type(x) = 'OBJECT')) AS x FROM raw0 WHERE json_type(j) = 'ARRAY' AND len(list_filter(CAST(j AS JSON[]), lambda x: json_type(x) = 'OBJECT' AND {_IS.format(x='x')})) = 0)
+    SELECT file_id, CAST(count(*) AS INTEGER) AS points, count({_NUM.format(k='X')}) AS with_x, round(sum({_NUM.format(k='X')}), 5) AS x FROM p GROUP BY file_id"""
+)
 def points_scan(spark, d):
-    return recorded.mapped_points(table(spark, d, "raw_packets")).groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("points"), F.round(F.sum("x"), 5).alias("x"))
+    """The points of every file that holds mapped points alone, whatever their fields."""
+    return recorded.mapped_points(table(spark, d, "raw_packets")).groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("points"), F.count("x").alias("with_x"), F.round(F.sum("x"), 5).alias("x"))
 
 
 _LOG = "'start' || chr(10) || '---JSON_START---' || chr(10) || payload || chr(10) || '---JSON_END---' || chr(10) || 'end'"
@@ -179,19 +218,27 @@ def sentinel_json(spark, d):
     return table(spark, d, "raw_packets").where("payload is not null").select("file_id", F.length(v.sentinel(log)).cast("long").alias("n"))
 
 
-@query("SELECT file_id, json_valid(regexp_replace(payload, '\\bNaN\\b', 'null', 'g')) AS valid FROM raw_packets WHERE starts_with(payload, '{')")
+@query("SELECT file_id, coalesce(json_valid(regexp_replace(payload, '\\bNaN\\b', 'null', 'g')), false) AS valid FROM raw_packets")
 def clean_json(spark, d):
     """Replies in a Markdown fence, parsed; what doesn't parse falls back to an empty result."""
     fenced = F.concat(F.lit("```json\n"), F.col("payload"), F.lit("\n```"))
     parsed = F.try_parse_json(F.regexp_replace(v.clean_json(fenced), r"\bNaN\b", "null"))
-    return table(spark, d, "raw_packets").where(F.col("payload").startswith("{")).select("file_id", parsed.isNotNull().alias("valid"))
+    return table(spark, d, "raw_packets").select("file_id", F.coalesce(parsed.isNotNull(), F.lit(False)).alias("valid"))
+
 
+_DIR, _BASE = "regexp_replace(file_name, '/[^/]*$', '')", "regexp_replace(file_name, '^.*/', '')"
 
-@query("WITH f AS (SELECT split_part(file_name, '/', 1) AS paper_id, count(*) AS files FROM raw_packets GROUP BY ALL) SELECT d.paper_id, d.docs, coalesce(f.files, 0) AS files, f.files IS NULL AS fallback FROM (SELECT paper_id, count(*) AS docs FROM documents GROUP BY ALL) d LEFT JOIN f ON d.paper_id = f.paper_id")
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT paper_id AS name FROM documents WHERE paper_id <> '' UNION SELECT 'page_' || CAST(i AS VARCHAR) FROM range(1, 9) r(i)), d AS (SELECT name, file_id FROM n JOIN raw_packets ON contains('/' || {_DIR} || '/', '/' || name || '/') OR starts_with({_BASE} || '_', name || '_')),
+    f AS (SELECT name, file_id FROM n JOIN raw_packets ON starts_with({_BASE}, 'page_') AND split_part(file_name, '/', 1) = name WHERE name NOT IN (SELECT name FROM d))
+    SELECT name, count(*) AS files, count(DISTINCT file_id) AS distinct_files, false AS fallback FROM d GROUP BY name UNION ALL SELECT name, count(*), count(DISTINCT file_id), true FROM f GROUP BY name"""
+)
 def doc_link(spark, d):
-    files = table(spark, d, "raw_packets").groupBy(F.substring_index("file_name", "/", 1).alias("paper_id")).agg(F.count(F.lit(1)).alias("files"))
-    docs = table(spark, d, "documents").groupBy("paper_id").agg(F.count(F.lit(1)).alias("docs"))
-    return docs.join(files, "paper_id", "left").select("paper_id", "docs", F.coalesce("files", F.lit(0)).alias("files"), F.col("files").isNull().alias("fallback"))
+    """Files of each document, and of names that are the start of file names."""
+    names = table(spark, d, "documents").select(F.col("paper_id").alias("name")).unionByName(spark.range(1, 9).select(F.concat(F.lit("page_"), F.col("id").cast("string")).alias("name")))
+    files = table(spark, d, "raw_packets").select("file_id", "file_name", F.regexp_replace("file_name", "/[^/]*$", "").alias("source_dir"))
+    return evidence.linked(names, files).groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.countDistinct("file_id").alias("distinct_files"), F.max("fallback").alias("fallback"))
 
 
 @query("SELECT paper_id, count(*) AS files, count(*) FILTER (payload IS NULL OR payload = '') AS empty, strftime(max(arrived_at), '%Y-%m-%d %H:%M:%S') AS last FROM raw_packets GROUP BY ALL")
@@ -207,10 +254,10 @@ def truncate_text(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(F.substring("text", 1, 500)).cast("long").alias("head"), F.length(F.substring("text", 1, 100000)).cast("long").alias("body"))
 
 
-@query("SELECT doc_id, 'Terms: ' || coalesce(section, 'none') || ', ' || coalesce(lang, 'none') || chr(10) || 'Text: ' || substr(coalesce(text, ''), 1, 100000) AS prompt FROM documents")
+@query("SELECT doc_id, 'Terms: ' || array_to_string(list_sort([coalesce(section, 'none'), coalesce(lang, 'none')]), ', ') || chr(10) || 'Text: ' || substr(coalesce(text, ''), 1, 100000) AS prompt FROM documents")
 def prompt_build(spark, d):
-    terms = F.array_join(F.array(F.coalesce("section", F.lit("none")), F.coalesce("lang", F.lit("none"))), ", ")
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("Terms: "), terms, F.lit("\nText: "), F.substring(F.coalesce("text", F.lit("")), 1, 100000)).alias("prompt"))
+    terms = F.array(F.coalesce("section", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    return table(spark, d, "documents").select("doc_id", prompt(terms, F.col("text")).alias("prompt"))
 
 
 @query(f"WITH {ITEMS} SELECT packet_id, string_agg(text, chr(10) ORDER BY field, item_no) AS text FROM items WHERE text IS NOT NULL GROUP BY packet_id")
@@ -236,6 +283,13 @@ def mime_type(spark, d):
     return items(spark, d).where("source_file is not null").select("packet_id", "field", "item_no", v.mime_type(F.col("source_file")).alias("mime"))
 
 
+@query(f"WITH {ITEMS} SELECT packet_id, field, item_no, 'data:' || CASE WHEN ends_with(lower(source_file), '.png') THEN 'image/png' WHEN ends_with(lower(source_file), '.webp') THEN 'image/webp' ELSE 'image/jpeg' END || ';base64,' || to_base64(encode(coalesce(text, ''))) AS uri FROM items WHERE source_file IS NOT NULL")
+def data_uri(spark, d):
+    """Images as data URIs; an item's text stands for the bytes of its image."""
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return items(spark, d).where("source_file is not null").select("packet_id", "field", "item_no", files.data_uri(F.col("source_file"), content).alias("uri"))
+
+
 @query(f"WITH {ITEMS} SELECT DISTINCT source_file FROM items WHERE regexp_matches(lower(source_file), '\\.(png|jpe?g)$')")
 def ext_filter(spark, d):
     return items(spark, d).where(F.col("source_file").rlike(r"(?i)\.(png|jpe?g)$")).select("source_file").distinct()
@@ -269,5 +323,4 @@ def reply_join(spark, d):
 @query(f"WITH {ITEMS}, l AS (SELECT packet_id, item_no, 20 + length(coalesce(text, '')) % 13 AS h FROM items WHERE field = 'legend_text') SELECT packet_id, item_no, CAST(coalesce(sum(h + 10) OVER (PARTITION BY packet_id ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y_offset FROM l")
 def stack_offsets(spark, d):
     h = items(spark, d).where("field = 'legend_text'").select("packet_id", "item_no", (F.length(F.coalesce("text", F.lit(""))) % 13 + 20).alias("h"))
-    w = W.partitionBy("packet_id").orderBy("item_no").rowsBetween(W.unboundedPreceding, -1)
-    return h.select("packet_id", "item_no", F.coalesce(F.sum(F.col("h") + 10).over(w), F.lit(0)).cast("long").alias("y_offset"))
+    return stacked(h, ["packet_id"], "item_no", "h").select("packet_id", "item_no", "y_offset")

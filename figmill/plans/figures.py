@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from figmill.functions import geometry as g, values as v
-from figmill.operators import axes, detect, points, series
+from figmill.operators import axes, detect, pixels, points, series
 from figmill.operators.detect import BOX, FIGURE
 from figmill.session import table
 
@@ -60,6 +60,12 @@ def coloured(x: DataFrame) -> DataFrame:
     return x.withColumns({"h": (i * 37 % 180).cast("double"), "s": (i * 53 % 256).cast("double"), "v": (i * 71 % 256).cast("double")})
 
 
+def recorded_pixels(x: DataFrame) -> DataFrame:
+    """The recorded pixels: one at the centre of each detection."""
+    i, whole = F.col("det_id"), lambda c: F.floor(c).cast("double")
+    return x.select(*FIGURE, whole("cx").alias("x"), whole("cy").alias("y"), F.lit(1000.0).alias("w"), F.lit(800.0).alias("h"), F.least(F.lit(255.0), (i * 53 % 256) * 2.5).alias("grey"), *((i * k % 256).cast("double").alias(c) for k, c in ((37, "r"), (53, "g"), (71, "b"))))
+
+
 # --- projections -------------------------------------------------------------
 
 
@@ -149,10 +155,11 @@ def limit_n(spark, d):
     return table(spark, d, "micro_detections").orderBy(F.col("det_id") * 7919 % 10007, "det_id").limit(50).select("det_id")
 
 
-@query(f"WITH {DET} SELECT det_id, label FROM det WHERE det_id % 2 = 0 UNION ALL SELECT det_id, label FROM det WHERE conf > 0.5")
+@query(f"WITH {DET} SELECT 'points' AS source, det_id, label FROM det WHERE label = 'data_point' UNION ALL SELECT 'rest', det_id, label FROM det WHERE label <> 'data_point'")
 def det_union(spark, d):
-    x = dets(spark, d).select("det_id", "label", "conf")
-    return x.where("det_id % 2 = 0").unionByName(x.where("conf > 0.5")).select("det_id", "label")
+    """The outputs of two passes, which together cover all detections."""
+    x, source = dets(spark, d), lambda s: F.lit(s).alias("source")
+    return x.where("label = 'data_point'").select(source("points"), "det_id", "label").unionByName(x.where("label <> 'data_point'").select(source("rest"), "det_id", "label"))
 
 
 @query(f"WITH {DET} SELECT det_id, (x2 - x1) AS w, (y2 - y1) AS h FROM det WHERE x2 - x1 >= 10 AND y2 - y1 >= 10")
@@ -170,29 +177,41 @@ _IOU = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, leas
 
 
 @query(
-    f"""WITH RECURSIVE {DET}, r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, figure_id, label ORDER BY conf DESC, det_id) AS k FROM det),
-    s AS (SELECT paper_id, figure_id, label, k, [{{'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM r WHERE k = 1
+    f"""WITH {DET} SELECT a.det_id FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE a.paper_id = b.paper_id AND a.figure_id = b.figure_id AND a.det_id <> b.det_id
+    AND {_IOU} > 0 AND {_IOU} / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) > 0.8
+    AND ((a.x2 - a.x1) * (a.y2 - a.y1) < (b.x2 - b.x1) * (b.y2 - b.y1) OR ((a.x2 - a.x1) * (a.y2 - a.y1) = (b.x2 - b.x1) * (b.y2 - b.y1) AND a.det_id < b.det_id)))"""
+)
+def nested_filter_set(spark, d):
+    return detect.unnested_set(dets(spark, d)).select("det_id")
+
+
+_NMS = """r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, figure_id, label ORDER BY conf DESC, det_id) AS k FROM det),
+    s AS (SELECT paper_id, figure_id, label, k, [{'det_id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept FROM r WHERE k = 1
       UNION ALL SELECT s.paper_id, s.figure_id, s.label, r.k, CASE WHEN len(list_filter(s.kept, lambda b: greatest(0, least(r.x2, b.x2) - greatest(r.x1, b.x1)) * greatest(0, least(r.y2, b.y2) - greatest(r.y1, b.y1))
         / ((r.x2 - r.x1) * (r.y2 - r.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(r.x2, b.x2) - greatest(r.x1, b.x1)) * greatest(0, least(r.y2, b.y2) - greatest(r.y1, b.y1))) > 0.5)) > 0 THEN s.kept
-        ELSE list_append(s.kept, {{'det_id': r.det_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) END
+        ELSE list_append(s.kept, {'det_id': r.det_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}) END
       FROM s JOIN r ON r.paper_id = s.paper_id AND r.figure_id = s.figure_id AND r.label = s.label AND r.k = s.k + 1),
-    last AS (SELECT kept FROM s QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id, label ORDER BY k DESC) = 1)
-    SELECT unnest(kept).det_id AS det_id FROM last"""
-)
+    nm AS (SELECT unnest(kept).det_id AS det_id FROM (SELECT kept FROM s QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id, label ORDER BY k DESC) = 1))"""
+
+
+@query(f"WITH RECURSIVE {DET}, {_NMS} SELECT det_id FROM nm")
 def nms(spark, d):
     return detect.suppressed(dets(spark, d)).select("det_id")
 
 
-@query(
-    f"""WITH {DET} SELECT a.det_id FROM det a WHERE NOT EXISTS (SELECT 1 FROM det b WHERE a.paper_id = b.paper_id AND a.figure_id = b.figure_id AND a.det_id <> b.det_id
-    AND {_IOU} > 0 AND {_IOU} / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) > 0.8
-    AND ((a.x2 - a.x1) * (a.y2 - a.y1) < (b.x2 - b.x1) * (b.y2 - b.y1) OR ((a.x2 - a.x1) * (a.y2 - a.y1) = (b.x2 - b.x1) * (b.y2 - b.y1) AND a.det_id < b.det_id)))"""
-)
-def nested_filter_set(spark, d):
-    return detect.unnested_set(dets(spark, d)).select("det_id")
+#: The sequential rule: what each box covers or is covered by, then one step per box; gone_ holds what is dropped so far.
+_NEST = """nb AS (SELECT a.paper_id, a.figure_id, a.det_id AS i, list({{'j': b.det_id, 's': (b.x2 - b.x1) * (b.y2 - b.y1) < (a.x2 - a.x1) * (a.y2 - a.y1)}}) AS near FROM {src} a JOIN {src} b ON a.paper_id = b.paper_id AND a.figure_id = b.figure_id AND a.det_id <> b.det_id
+      WHERE {iou} > 0 AND {iou} / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) > 0.8 GROUP BY ALL),
+    nk AS (SELECT *, row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY i) AS k FROM nb),
+    n0 AS (SELECT paper_id, figure_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone_ FROM nk WHERE k = 1
+      UNION ALL SELECT n0.paper_id, n0.figure_id, nk.k, CASE WHEN list_contains(gone_, nk.i) THEN gone_ ELSE
+        gone_ || list_transform(list_filter(nk.near, lambda x: x.s AND x.j < coalesce(list_min(list_transform(list_filter(nk.near, lambda y: NOT y.s AND NOT list_contains(gone_, y.j)), lambda y: y.j)), 9223372036854775807)), lambda x: x.j)
+        || CASE WHEN len(list_filter(nk.near, lambda y: NOT y.s AND NOT list_contains(gone_, y.j))) > 0 THEN [nk.i] ELSE CAST([] AS BIGINT[]) END END
+      FROM n0 JOIN nk ON nk.paper_id = n0.paper_id AND nk.figure_id = n0.figure_id AND nk.k = n0.k + 1),
+    gone AS (SELECT unnest(gone_) AS det_id FROM (SELECT gone_ FROM n0 QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id ORDER BY k DESC) = 1))"""
 
 
-@query()
+@query(f"WITH RECURSIVE {DET}, {_NEST.format(src='det', iou=_IOU)} SELECT det_id FROM det WHERE det_id NOT IN (SELECT det_id FROM gone)")
 def nested_filter(spark, d):
     return detect.unnested(dets(spark, d)).select("det_id")
 
@@ -225,7 +244,7 @@ _FIT = f"""pt0 AS (SELECT al.paper_id, al.figure_id, al.axis, det_id, is_log, CA
     tr AS (SELECT paper_id, figure_id, axis, i, j, sl, it - sl * ipx AS ic FROM ln QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id, axis ORDER BY (i * 31 + j * 17) % 1009, i, j) <= 100),
     sc AS (SELECT tr.paper_id, tr.figure_id, tr.axis, i, j, sl, ic, count(*) AS hits FROM tr JOIN pt ON tr.paper_id = pt.paper_id AND tr.figure_id = pt.figure_id AND tr.axis = pt.axis WHERE abs(sl * px + ic - t) <= 10.0 GROUP BY ALL),
     be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id, axis ORDER BY hits DESC, i, j) = 1),
-    model AS (SELECT pt.paper_id, pt.figure_id, pt.axis, bool_or(is_log) AS is_log, regr_slope(t, px) AS slope, regr_intercept(t, px) AS intercept, count(*) AS inliers FROM pt JOIN be ON pt.paper_id = be.paper_id AND pt.figure_id = be.figure_id AND pt.axis = be.axis WHERE abs(sl * px + ic - t) <= 10.0 GROUP BY ALL)"""
+    model AS (SELECT pt.paper_id, pt.figure_id, pt.axis, bool_or(is_log) AS is_log, coalesce(regr_slope(t, px), 0.0) AS slope, coalesce(regr_intercept(t, px), avg(t)) AS intercept, count(*) AS inliers FROM pt LEFT JOIN be ON pt.paper_id = be.paper_id AND pt.figure_id = be.figure_id AND pt.axis = be.axis WHERE pt.n >= 3 AND (sl IS NULL OR abs(sl * px + ic - t) <= 10.0) GROUP BY ALL)"""
 _LINES = "lines AS (SELECT paper_id, figure_id, median(cx) FILTER (axis = 'yl') AS line_yl, median(cx) FILTER (axis = 'yr') AS line_yr FROM al GROUP BY ALL)"
 
 
@@ -347,9 +366,18 @@ def value_nn(spark, d):
 
 
 _PRED = "CASE WHEN {m}.is_log THEN pow(10, {m}.slope * {p} + {m}.intercept) ELSE {m}.slope * {p} + {m}.intercept END"
-_MAP = f"""WITH {DET}, {TXT}, {_B2}, {_CAND}, {_ALIGN}, {_VOTE}, {_FIT}, {_LINES}, {_MT}, {_PR}, {_NS},
-    gp AS (SELECT det.* FROM det LEFT JOIN lines USING (paper_id, figure_id) WHERE label = 'data_point' AND {_GHOST}), {_NV.format(name="nv", points="gp")},
+#: Raw detections become det through suppression, the density rule and the nested filter; figures of mostly dark or coloured pixels are heatmaps.
+_CHAIN = f"""{DET.replace("det AS", "raw AS", 1)}, {_NMS.replace("FROM det)", "FROM raw)")},
+    md AS (SELECT raw.*, count(*) OVER (PARTITION BY paper_id, figure_id) AS n_ FROM raw JOIN nm USING (det_id)), dn AS (SELECT * EXCLUDE (n_) FROM md WHERE n_ <= 150 OR conf >= 0.4),
+    {_NEST.format(src="dn", iou=_IOU)}, det AS (SELECT * FROM dn WHERE det_id NOT IN (SELECT det_id FROM gone)),
+    modes AS (SELECT paper_id, figure_id, avg(CASE WHEN least(255.0, det_id * 53 % 256 * 2.5) > 240 THEN 1.0 ELSE 0.0 END) < 0.6 AS heatmap FROM raw GROUP BY ALL)"""
+_HEAT = "LEFT JOIN modes USING (paper_id, figure_id)"
+_VOTE_H = _VOTE.replace("vote AS (", "vote0 AS (") + f", vote AS (SELECT paper_id, figure_id, axis, CASE WHEN axis <> 'x' AND coalesce(heatmap, false) THEN false ELSE is_log END AS is_log FROM vote0 {_HEAT})"
+_MAP = f"""WITH RECURSIVE {_CHAIN}, {TXT}, {_B2}, {_CAND}, {_ALIGN}, {_VOTE_H}, {_FIT}, {_LINES}, {_MT}, {_PR}, {_NS},
+    gp AS (SELECT det.* FROM det LEFT JOIN lines USING (paper_id, figure_id) WHERE label = 'data_point' AND {_GHOST}),
     d3 AS (SELECT paper_id, figure_id, c >= 2 AND r - l > 400 AS dual3 FROM (SELECT paper_id, figure_id, arg_min(mid, bin) AS l, arg_max(mid, bin) AS r, count(*) AS c FROM xb WHERE n >= 3 GROUP BY ALL)),
+    vb AS (SELECT det.* REPLACE (CASE WHEN coalesce(heatmap, false) AND NOT coalesce(dual3, false) AND x_min > 0 AND y_max < 800 AND label IN ('tick_label', 'text', 'value') AND cx > x_min + 15 AND cy < y_max - 15 THEN 'value_label' ELSE label END AS label)
+      FROM det JOIN bounds USING (paper_id, figure_id) LEFT JOIN d3 USING (paper_id, figure_id) {_HEAT}), {_NV.format(name="nv", points="gp").replace("JOIN det q", "JOIN vb q")},
     mapped AS (SELECT gp.paper_id, gp.figure_id, gp.det_id, coalesce(ns.series, 'Default') AS series, {_PRED.format(m="mx", p="cx")} AS x, {_PRED.format(m="ml", p="cy")} AS y_left,
       CASE WHEN coalesce(dual3, false) AND mr.slope IS NOT NULL THEN {_PRED.format(m="mr", p="cy")} ELSE {_parse("vt.text")} END AS y_right_or_value
     FROM gp JOIN model mx ON gp.paper_id = mx.paper_id AND gp.figure_id = mx.figure_id AND mx.axis = 'x' AND mx.slope IS NOT NULL
@@ -357,9 +385,15 @@ _MAP = f"""WITH {DET}, {TXT}, {_B2}, {_CAND}, {_ALIGN}, {_VOTE}, {_FIT}, {_LINES
     LEFT JOIN d3 ON gp.paper_id = d3.paper_id AND gp.figure_id = d3.figure_id LEFT JOIN nv ON nv.det_id = gp.det_id LEFT JOIN txt vt ON vt.det_id = nv.value_id LEFT JOIN ns ON ns.det_id = gp.det_id)"""
 
 
+def _modes(x: DataFrame) -> DataFrame:
+    """Which figures are heatmaps, by the share of their recorded pixels that are white."""
+    return pixels.heatmaps(recorded_pixels(x), FIGURE).select(*FIGURE, "heatmap", F.lit(False).alias("log_x"))
+
+
 def _mapped(spark, d):
-    x = dets(spark, d)
-    return x, points.mapped(x, texts(x), series.nearest_series(coloured(x.where("label = 'data_point'")), _protos(x)))
+    raw = dets(spark, d)
+    x = points.cleaned(raw)
+    return x, points.mapped(x, texts(x), series.nearest_series(coloured(x.where("label = 'data_point'")), _protos(x)), _modes(raw))
 
 
 @query(f"{_MAP} SELECT det_id, series, round(x, 2) AS x, round(y_left, 2) AS y_left, round(y_right_or_value, 2) AS y_right_or_value FROM mapped")

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from figmill.operators import detect, tables
+from figmill.operators import detect, pixels, tables
 from figmill.operators.tables import SPAN, TABLE
-from figmill.plans.figures import DET, dets
+from figmill.plans.figures import DET, dets, recorded_pixels
 from figmill.session import table
+from figmill.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,18 +35,18 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CELLS} SELECT paper_id, table_id, arg_max(cell_id, {{'s': score, 'i': -cell_id}}) AS cell_id, max(score) AS score FROM cells GROUP BY ALL")
 def best_body(spark, d):
-    return cells(spark, d).groupBy(*TABLE).agg(F.max_by("cell_id", F.struct("score", -F.col("cell_id"))).alias("cell_id"), F.max("score").alias("score"))
+    return tables.best_bodies(cells(spark, d))
 
 
 @query(f"WITH {CELLS} SELECT cell_id, CAST(0 AS DOUBLE) AS x1, y1, CAST(1000 AS DOUBLE) AS x2, least(CAST(800 AS DOUBLE), y2 + 10) AS y2 FROM cells")
 def body_cut(spark, d):
-    return cells(spark, d).select("cell_id", F.lit(0.0).alias("x1"), "y1", F.lit(1000.0).alias("x2"), F.least(F.lit(800.0), F.col("y2") + 10).alias("y2"))
+    return cells(spark, d).select("cell_id", *tables.body_box(1000, 800))
 
 
-@query(f"WITH {CELLS} SELECT paper_id, table_id, max(score) >= 0.9 AS is_table, CASE WHEN max(score) >= 0.9 THEN '' ELSE 'Filtered by YOLO' END AS reason FROM cells GROUP BY ALL")
+@query(f"WITH {CELLS}, m AS (SELECT paper_id, table_id, coalesce(max(score), 0.0) AS top FROM cells GROUP BY ALL) SELECT paper_id, table_id, top >= 0.9 AS is_table, top AS conf, CASE WHEN top >= 0.9 THEN '' ELSE 'Filtered by YOLO' END AS reason FROM m UNION ALL SELECT paper_id || ' (no model)', table_id, true, 0.0, 'Model not loaded' FROM m")
 def table_accept(spark, d):
-    ok = F.max("score") >= 0.9
-    return cells(spark, d).groupBy(*TABLE).agg(ok.alias("is_table"), F.when(ok, "").otherwise("Filtered by YOLO").alias("reason"))
+    c = cells(spark, d)
+    return tables.accepted(c).unionByName(tables.accepted(c, model=False).withColumn("paper_id", F.concat("paper_id", F.lit(" (no model)"))))
 
 
 @query(f"WITH {CELLS} SELECT cell_id, score FROM cells WHERE score >= 0.7 ORDER BY score DESC, cell_id")
@@ -109,8 +110,7 @@ def grid_centers(spark, d):
     JOIN (SELECT cell_id, arg_min(ord, {{'d': round(abs(centre - cx), 9), 'o': ord}}) AS i FROM cells JOIN gc USING (paper_id, table_id) GROUP BY cell_id) k USING (cell_id)"""
 )
 def grid_assign(spark, d):
-    c = cells(spark, d)
-    return tables.assigned(c, tables.gap_clusters(c, "cy"), tables.gap_clusters(c, "cx"))
+    return tables.assigned(cells(spark, d))
 
 
 _P = ", ".join(f"coalesce(arg_max(coalesce(content, ''), cell_id) FILTER (col_index = {i}), '') AS c{i}" for i in range(6))
@@ -124,7 +124,7 @@ def grid_pivot(spark, d):
 @query(f"WITH {CELLS} SELECT cell_id, CASE WHEN cell_id % 5 = 0 THEN 'Structure' WHEN cell_id % 7 = 0 THEN 'Error' ELSE 'Text' END AS kind, CASE WHEN cell_id % 5 = 0 THEN '[MolScribe Missing]' ELSE content END AS content FROM cells")
 def content_dispatch(spark, d):
     kind = F.when(F.col("cell_id") % 5 == 0, "Structure").when(F.col("cell_id") % 7 == 0, "Error").otherwise("Text")
-    return cells(spark, d).select("cell_id", kind.alias("kind"), F.when(kind == "Structure", "[MolScribe Missing]").otherwise(F.col("content")).alias("content"))
+    return tables.dispatched(cells(spark, d).withColumn("kind", kind)).select("cell_id", "kind", "content")
 
 
 # --- annotations ---------------------------------------------------------------
@@ -146,8 +146,7 @@ _CO = "SELECT det_id, greatest(0.0, x1) AS x, greatest(0.0, y1) AS y, least(1000
 
 @query(f"WITH {DET} SELECT CAST(row_number() OVER (ORDER BY det_id) AS BIGINT) AS id, det_id, x, y, w, h, round(w * h, 4) AS area, 0 AS iscrowd, conf AS score FROM ({_CO}) WHERE w > 0 AND h > 0")
 def coco_annotations(spark, d):
-    x, y = F.greatest(F.lit(0.0), F.col("x1")), F.greatest(F.lit(0.0), F.col("y1"))
-    a = detect.confident(dets(spark, d), 0.5).select("det_id", x.alias("x"), y.alias("y"), (F.least(F.lit(1000.0), F.col("x2")) - x).alias("w"), (F.least(F.lit(800.0), F.col("y2")) - y).alias("h"), F.col("conf").alias("score")).where("w > 0 and h > 0")
+    a = tables.annotations(detect.confident(dets(spark, d), 0.5), 1000, 800)
     return tables.sequential(a, "det_id", "id", 1).select("id", "det_id", "x", "y", "w", "h", F.round(F.col("w") * F.col("h"), 4).alias("area"), F.lit(0).alias("iscrowd"), "score")
 
 
@@ -156,30 +155,32 @@ def coco_annotations(spark, d):
 
 @query(f"WITH {DET} SELECT det_id, CASE WHEN x2 - x1 < 50 OR y2 - y1 < 50 THEN 3 ELSE 1 END AS axis_scale, CASE WHEN x2 - x1 < 60 OR y2 - y1 < 60 THEN 4 ELSE 1 END AS value_scale, CASE WHEN y2 - y1 < 100 OR x2 - x1 < 200 THEN 3 ELSE 1 END AS legend_scale FROM det")
 def ocr_scale(spark, d):
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return dets(spark, d).select("det_id", F.when((w < 50) | (h < 50), 3).otherwise(1).alias("axis_scale"), F.when((w < 60) | (h < 60), 4).otherwise(1).alias("value_scale"), F.when((h < 100) | (w < 200), 3).otherwise(1).alias("legend_scale"))
+    return dets(spark, d).select("det_id", *tables.reading_scale(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
 
 
-@query(f"WITH {DET} SELECT paper_id, figure_id, avg(CASE WHEN det_id * 53 % 256 > 240 THEN 1.0 ELSE 0.0 END) < 0.6 AS heatmap FROM det GROUP BY ALL")
+@query(f"WITH {DET} SELECT paper_id, figure_id, round(avg(CASE WHEN least(255.0, det_id * 53 % 256 * 2.5) > 240 THEN 1.0 ELSE 0.0 END), 6) AS white, avg(CASE WHEN least(255.0, det_id * 53 % 256 * 2.5) > 240 THEN 1.0 ELSE 0.0 END) < 0.6 AS heatmap FROM det GROUP BY ALL")
 def white_ratio(spark, d):
-    return dets(spark, d).groupBy("paper_id", "figure_id").agg((F.avg((F.col("det_id") * 53 % 256 > 240).cast("double")) < 0.6).alias("heatmap"))
+    return pixels.heatmaps(recorded_pixels(dets(spark, d)), ["paper_id", "figure_id"]).withColumn("white", F.round("white", 6))
 
 
-_WT = "exp(-((cx - 500) * (cx - 500) + (cy - 400) * (cy - 400)) / (2 * 400.0 * 400.0))"
+#: Pixels from -500 to 500 and from -400 to 400, with the widths 1000 / 2.5 and 800 / 2.5.
+_WT = "exp(-(pow(floor(cx) * 1000 / 999 - 500, 2) / (2 * 400.0 * 400.0) + pow(floor(cy) * 800 / 799 - 400, 2) / (2 * 320.0 * 320.0)))"
+_RGB = ", ".join(f"floor(sum((det_id * {k} % 256) * {_WT}) / sum({_WT}) + 1e-9) AS {c}" for k, c in ((37, "r"), (53, "g"), (71, "b")))
 
 
-@query(f"WITH {DET} SELECT paper_id, figure_id, round(sum((det_id * 37 % 180) * {_WT}) / sum({_WT}), 4) AS hue FROM det GROUP BY ALL")
+@query(
+    f"""WITH {DET}, m AS (SELECT paper_id, figure_id, {_RGB} FROM det GROUP BY ALL), t AS (SELECT *, greatest(r, g, b) AS top, greatest(r, g, b) - least(r, g, b) AS span FROM m),
+    a AS (SELECT *, CASE WHEN span = 0 THEN 0.0 WHEN top = r THEN 60.0 * (g - b) / span WHEN top = g THEN 120.0 + 60.0 * (b - r) / span ELSE 240.0 + 60.0 * (r - g) / span END AS turn FROM t)
+    SELECT paper_id, figure_id, round((turn + CASE WHEN turn < 0 THEN 360.0 ELSE 0.0 END) / 2.0) % 180 AS h, CASE WHEN top = 0 THEN 0.0 ELSE round(255.0 * span / top) END AS s, top AS v FROM a"""
+)
 def weighted_mean(spark, d):
-    wt = F.exp(-((F.col("cx") - 500) * (F.col("cx") - 500) + (F.col("cy") - 400) * (F.col("cy") - 400)) / (2 * 400.0 * 400.0))
-    return dets(spark, d).groupBy("paper_id", "figure_id").agg(F.round(F.try_divide(F.sum((F.col("det_id") * 37 % 180) * wt), F.sum(wt)), 4).alias("hue"))
+    return pixels.weighted_colour(recorded_pixels(dets(spark, d)), ["paper_id", "figure_id"])
 
 
 @query(f"WITH {DET} SELECT det_id, least(x1, x2, (x1 + x2) / 2) AS qx1, least(y1, y2) AS qy1, greatest(x1, x2) AS qx2, greatest(y1, y2) AS qy2 FROM det")
 def quad_bbox(spark, d):
     quad = F.array(*(F.array(F.col(x), F.col(y)) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
-    q = dets(spark, d).select("det_id", quad.alias("q"))
-    side = lambda f, i: f(F.transform("q", lambda p: p[i]))
-    return q.select("det_id", side(F.array_min, 0).alias("qx1"), side(F.array_min, 1).alias("qy1"), side(F.array_max, 0).alias("qx2"), side(F.array_max, 1).alias("qy2"))
+    return dets(spark, d).select("det_id", *tables.quad_box(quad))
 
 
 _TE = f"""t AS (SELECT * FROM det WHERE label = 'data_point'), e AS (SELECT * FROM det WHERE label IN ('text', 'tick_label'))"""
@@ -187,24 +188,23 @@ _TE = f"""t AS (SELECT * FROM det WHERE label = 'data_point'), e AS (SELECT * FR
 
 @query(
     f"""WITH {DET}, {_TE}, p AS (SELECT t.det_id AS target_id, e.det_id AS element_id, CASE WHEN e.label = 'text' AND e.y1 >= t.y2 - 20 THEN 'caption' ELSE e.label END AS label,
-      least(t.x2, e.x2) > greatest(t.x1, e.x1) AND least(t.y2, e.y2) > greatest(t.y1, e.y1) AS meets, e.label = 'text' AND least(t.x2, e.x2) - greatest(t.x1, e.x1) > 0.5 * least(t.x2 - t.x1, e.x2 - e.x1) AS above
+      greatest(t.x1, e.x1) - t.x1 AS mx1, greatest(t.y1, e.y1) - t.y1 AS my1, least(t.x2, e.x2) - t.x1 AS mx2, least(t.y2, e.y2) - t.y1 AS my2, least(t.x2, e.x2) > greatest(t.x1, e.x1) AND least(t.y2, e.y2) > greatest(t.y1, e.y1) AS meets, e.label = 'text' AND least(t.x2, e.x2) - greatest(t.x1, e.x1) > 0.5 * least(t.x2 - t.x1, e.x2 - e.x1) AS above
       FROM t JOIN e ON t.paper_id = e.paper_id AND t.figure_id = e.figure_id)
-    SELECT target_id, element_id, label, meets AND label <> 'caption' AS masked, CAST(row_number() OVER (PARTITION BY target_id, label ORDER BY element_id) - 1 AS INTEGER) AS elem_idx FROM p WHERE meets OR above"""
+    SELECT target_id, element_id, label, meets AND label <> 'caption' AS masked, CASE WHEN meets AND label <> 'caption' THEN mx1 END AS mx1, CASE WHEN meets AND label <> 'caption' THEN my1 END AS my1, CASE WHEN meets AND label <> 'caption' THEN mx2 END AS mx2, CASE WHEN meets AND label <> 'caption' THEN my2 END AS my2,
+      CAST(row_number() OVER (PARTITION BY target_id, label ORDER BY element_id) - 1 AS INTEGER) AS elem_idx FROM p WHERE meets OR above"""
 )
 def target_elements(spark, d):
-    from pyspark.sql import Window as W
-
     x = dets(spark, d)
-    cols = ["paper_id", "figure_id", "det_id", "label", "x1", "y1", "x2", "y2"]
-    # a column of cells as wide as a bin: both kinds of meeting share one
-    t = x.where("label = 'data_point'").select(*(F.col(c).alias(f"t_{c}") for c in cols)).withColumn("bin", F.explode(F.sequence(F.floor(F.col("t_x1") / 100), F.floor(F.col("t_x2") / 100))))
-    e = x.where("label in ('text', 'tick_label')").select(*(F.col(c).alias(f"e_{c}") for c in cols)).withColumn("bin", F.explode(F.sequence(F.floor(F.col("e_x1") / 100), F.floor(F.col("e_x2") / 100))))
-    j = t.join(e, (F.col("t_paper_id") == F.col("e_paper_id")) & (F.col("t_figure_id") == F.col("e_figure_id")) & (t.bin == e.bin)).where(t.bin == F.greatest(F.floor(F.col("t_x1") / 100), F.floor(F.col("e_x1") / 100)))
-    from figmill.functions import geometry as g
-
-    over = F.least("t_x2", "e_x2") - F.greatest("t_x1", "e_x1")
-    meets = g.intersection("t_", "e_") > 0
-    above = (F.col("e_label") == "text") & (over > 0.5 * F.least(F.col("t_x2") - F.col("t_x1"), F.col("e_x2") - F.col("e_x1")))
-    label = F.when((F.col("e_label") == "text") & (F.col("e_y1") >= F.col("t_y2") - 20), "caption").otherwise(F.col("e_label"))
-    p = j.where(meets | above).select(F.col("t_det_id").alias("target_id"), F.col("e_det_id").alias("element_id"), label.alias("label"), (meets & (label != "caption")).alias("masked"))
-    return p.withColumn("elem_idx", (F.row_number().over(W.partitionBy("target_id", "label").orderBy("element_id")) - 1).cast("int"))
+    e = tables.target_elements(x.where("label = 'data_point'"), x.where("label in ('text', 'tick_label')"), ["paper_id", "figure_id"])
+    return e.select("target_id", "element_id", "label", "masked", *(F.col(f"mask.{c}").alias(f"m{c}") for c in ("x1", "y1", "x2", "y2")), "elem_idx")
+
+
+@query(
+    f"""WITH {DET}, im AS (SELECT count(DISTINCT paper_id || '/' || figure_id) AS n FROM det), an AS (SELECT count(*) AS n FROM (SELECT least(1000.0, x2) - greatest(0.0, x1) AS w, least(800.0, y2) - greatest(0.0, y1) AS h FROM det WHERE conf >= 0.5) WHERE w > 0 AND h > 0), ca AS (SELECT count(DISTINCT label) AS n FROM det)
+    SELECT 'images' AS part, n AS lines, CAST(n AS BIGINT) AS total FROM im UNION ALL SELECT 'annotations', n, n FROM an UNION ALL SELECT 'categories', n, n FROM ca"""
+)
+def coco_document(spark, d):
+    """The annotation document's lines by part, beside the totals it states itself."""
+    doc = files.coco_document(coco_images(spark, d), coco_annotations(spark, d), coco_categories(spark, d))
+    said = doc.where("part = 'info'").select(F.get_json_object("value", "$.of").alias("part"), F.get_json_object("value", "$.total").cast("long").alias("total"))
+    return doc.where("part <> 'info'").groupBy("part").agg(F.count(F.lit(1)).alias("lines")).join(said, "part")

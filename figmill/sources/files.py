@@ -6,8 +6,9 @@ or null, by the reader's permissive mode.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from figmill.functions.values import mime_type
 from figmill.sources.recorded import PACKET, POINTS
 
 
@@ -49,3 +50,35 @@ def write_packets(packets: DataFrame, path: str, by: list[str] | None = None) ->
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def write_fused(rows: DataFrame, path: str) -> None:
+    """Wide points, one JSON object a line in the folder of their figure, whose columns are its own (rows of ``evidence.fused_wide``)."""
+    lines = rows.select("paper_id", "figure_id", F.to_json("row", {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.mode("overwrite").partitionBy("paper_id", "figure_id").text(path)
+
+
+def data_uri(path: Column, content: Column) -> Column:
+    """An image as a base64 data URI, its type by its name, without the line breaks of mail."""
+    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.regexp_replace(F.base64(content), "[\r\n]", ""))
+
+
+def coco_document(images_: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """part, value: the rows of an annotation document, one JSON object a line, by part (images, annotations, categories), and
+    its totals (part info: images, annotations and categories counted). Lines are written in order of part and id, so a
+    document of any size is a text file put together by its writer, not on the driver."""
+    one = lambda df, part: df.select(F.lit(part).alias("part"), F.col("id").cast("long").alias("id"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    parts = [one(images_, "images"), one(annotations, "annotations"), one(categories, "categories")]
+    total = None
+    for df, part in ((images_, "images"), (annotations, "annotations"), (categories, "categories")):
+        n = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("info").alias("part"), F.lit(0).cast("long").alias("id"), F.to_json(F.struct(F.lit(part).alias("of"), F.col("n").alias("total"))).alias("value"))
+        total = n if total is None else total.unionByName(n)
+    out = total
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def write_coco(document: DataFrame, path: str) -> None:
+    """One folder per part, lines sorted by id within their files."""
+    document.repartitionByRange("part", "id").sortWithinPartitions("part", "id").select("part", "value").write.mode("overwrite").partitionBy("part").text(path)
