@@ -212,11 +212,22 @@ def _pick(keys: list[str], exact: str, wanted: tuple[str, ...], avoid: tuple[str
     return None
 
 
+def _legend_part(packet: dict) -> dict:
+    """The fields of a packet at whose first or second step a legend is named; the rest, points above all, isn't shredded."""
+    named = lambda k: "legend" in [w[:6] for w in _words(k)]
+    out = {}
+    for k, v in packet.items():
+        if named(k):
+            out[k] = v
+        elif isinstance(v, dict) and (part := {x: y for x, y in v.items() if named(x)}):
+            out[k] = part
+    return out
+
+
 def legend_items(packet: dict) -> list[tuple[str | None, str]]:
     """(text, source file) of each legend item of a packet in reading order, from
     the level sequences of the leaf columns below its legend field."""
-    packet = open_text_evidence(packet)
-    cols = shred([packet])
+    cols = shred([_legend_part(open_text_evidence(packet))])
     homes: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
     for path in cols:
         for k, step in enumerate(path[:2]):
@@ -278,6 +289,58 @@ def _figure(packet: dict) -> str | None:
     return got if got is None or isinstance(got, str) else str(got)
 
 
+def tables_of(record: object) -> list[tuple[str, int, str | None, int | None, dict[str, str]]]:
+    """(table, row, parent table, parent row, fields) of a record: one table per repeated ancestor, the record's own first.
+
+    A table's rows are the elements of its array, numbered by the level sequences of its columns; a row's parent is the row
+    of the next repeated ancestor above it that was open when it began. Fields are leaf paths below the ancestor with their
+    values as JSON; a path that is absent or null in a row has no entry."""
+    cols = shred([record])
+    rows: dict[tuple[str, ...], dict[int, tuple[int | None, dict[str, str]]]] = {(): {0: (None, {})}}
+    for path, col in cols.items():
+        at = [()] + [path[: i + 1] for i, s in enumerate(path) if s == ELEM]
+        numbers = {a: [r for _, r, _, _ in rows_of(col, a)] if a else [0] * len(col.reps) for a in at}
+        for k, a in enumerate(at[1:], 1):
+            table, up = rows.setdefault(a, {}), numbers[at[k - 1]]
+            for i, r in enumerate(numbers[a]):
+                if r >= 0 and r not in table:
+                    table[r] = (up[i], {})
+        home = at[-1]
+        for _, _, i, v in rows_of(col, home):
+            if v is not None and numbers[home][i] >= 0:
+                rows[home][numbers[home][i]][1]["".join(path[len(home) :]).lstrip(".") or "value"] = json.dumps(v, ensure_ascii=False)
+    out = []
+    for a in sorted(rows, key=lambda a: (len(a), a)):
+        ups = [a[: i + 1] for i, s in enumerate(a[:-1]) if s == ELEM]
+        parent = "".join(ups[-1]).lstrip(".") if ups else ""
+        for r, (up, fields) in sorted(rows[a].items()):
+            out.append(("".join(a).lstrip("."), r, parent if a else None, up, fields))
+    return out
+
+
+def flat_tables(raw: DataFrame) -> DataFrame:
+    """file_id, packet_no, table_path, row_no, parent_path, parent_row, fields: every packet as related flat tables.
+
+    ``table_path`` names the repeated ancestor ("" for the packet itself, ``raw_data[]`` for points, ``text_evidence.chart_text[]``
+    and so on, whatever the file holds), ``fields`` maps the leaf paths below it to JSON values. (file_id, packet_no,
+    parent_path, parent_row) is the key of the parent's row. Files of mapped points alone are one packet of points."""
+    names = ["file_id", "packet_no", "table_path", "row_no", "parent_path", "parent_row", "fields"]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for at in range(0, len(pdf), 200):
+                part, rows = pdf.iloc[at : at + 200], []
+                for fid, payload in zip(part.file_id, part.payload):
+                    root = load(payload)
+                    own = packets_of(root)
+                    if not own and isinstance(root, list) and any(isinstance(x, dict) for x in root):
+                        own = [{"raw_data": root}]
+                    rows += [(fid, no, *r) for no, packet in enumerate(own) for r in tables_of(open_text_evidence(packet))]
+                yield pd.DataFrame(rows, columns=names)
+
+    return raw.select("file_id", "payload").mapInPandas(run, "file_id long, packet_no int, table_path string, row_no int, parent_path string, parent_row int, fields map<string, string>")
+
+
 def flat_packets(raw: DataFrame) -> DataFrame:
     """file_id, packet_no, figure_id, n_items: one row per packet of each file."""
 

@@ -218,23 +218,43 @@ def caption_unit(caption: str, name: str, quantity: str | None) -> tuple[str, in
     return None
 
 
-#: How a caption names what is plotted against what, as (pattern, place of the ordinate, place of the abscissa).
-_PLOTS = [
-    (re.compile(r"dependence of (.+?) on (.+?) for "), 1, 2),
-    (re.compile(r"effect of (.+?) on (.+?) of "), 2, 1),
-    (re.compile(r"influence of (.+?) on (.+?) in the "), 2, 1),
-    (re.compile(r"comparison of (.+?) at varied (.+?), "), 1, 2),
-    (re.compile(r"evolution of (.+?) with (.+?) at the "), 1, 2),
-]
+#: Nouns after which a caption names the abscissa first (the effect of x on y), and words between two quantities of which the
+#: first is the ordinate (y on, with, at, against, versus x, as a function of x).
+_CAUSES = "|".join(outline(w) for w in ("effects? of", "influences? of", "impacts? of", "role of", "action of"))
+_CAUSE = re.compile(rf"\b(?:{_CAUSES})\s+(?:\S+\s+){{0,3}}$")
+_ON = re.compile(rf"\b{outline('on')}\b")
+_RELATION = re.compile(r"\b(?:" + "|".join(outline(w) for w in ("on", "upon", "with", "at", "over", "by", "against", "versus", "vs", "as a function of", "for different", "under")) + r")\b")
 
 
 def plotted(caption: str, axis: str) -> str:
-    """The quantity that the caption says an axis shows, for axes without a title."""
-    low = smooth(caption).lower()
-    for p, y, x in _PLOTS:
-        m = p.search(low)
-        if m:
-            return m[x if axis == "X" else y]
+    """The quantity that the caption says an axis shows, for axes without a title.
+
+    The first two quantities that a sentence relates are its ordinate and abscissa, in this order, or the other way round
+    where the sentence speaks of an effect."""
+    text = smooth(caption)
+    low, place = "", []
+    for i, ch in enumerate(text):
+        part = outline(ch)
+        low += part
+        place += [i] * len(part)
+    hits: list[tuple[int, int, str]] = []
+    for end, (n, q) in _automata()[2].iter(low):
+        hits.append((end - n + 1, end + 1, q))
+    hits.sort(key=lambda h: (h[0] - h[1], h[0]))
+    free: list[tuple[int, int, str]] = []
+    for h in hits:  # longest first
+        if all(h[1] <= o[0] or h[0] >= o[1] for o in free):
+            free.append(h)
+    free.sort()
+    for (a, b, _), (c, d, _) in zip(free, free[1:]):
+        between = low[b:c]
+        if re.search(r"\.\s", between):
+            continue
+        first, second = text[place[a] : place[b - 1] + 1], text[place[c] : place[d - 1] + 1]
+        if _CAUSE.search(low[:a]) and _ON.search(between):
+            return first if axis == "X" else second
+        if _RELATION.search(between):
+            return second if axis == "X" else first
     return ""
 
 

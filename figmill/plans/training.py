@@ -42,5 +42,9 @@ def p5_packets(spark: SparkSession, d: str) -> DataFrame:
     return shred.flat_packets(table(spark, d, "raw_packets"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unified, p1_profiles, p4_found, p4_converted, p5_found, p5_legend_items, p5_packets)}
+def p5_tables(spark: SparkSession, d: str) -> DataFrame:
+    return shred.flat_tables(table(spark, d, "raw_packets"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unified, p1_profiles, p4_found, p4_converted, p5_found, p5_legend_items, p5_packets, p5_tables)}
 ORACLE_SQL: dict[str, str] = {}

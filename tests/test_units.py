@@ -57,3 +57,11 @@ def test_tables(spark):
 def test_every_unit_of_the_codes_is_known(spark, data):
     known = set(units.FACTOR)
     assert {r.unit_code for r in spark.read.parquet(f"{data}/unit_codes.parquet").collect()} == known
+
+
+@pytest.mark.parametrize("caption, x, y", [
+    ("Conversion as a function of temperature for A", "temperature", "ratio"), ("Conversion versus residence time.", "time", "ratio"), ("Impact of total flow on the isolated yield.", "flow_rate", "ratio"),
+    ("Fig. 3. Dependence of space output on pressure for x.", "pressure", "productivity"), ("Selectivity is high. Temperature was low.", None, None), ("", None, None),
+])
+def test_what_a_caption_says_is_plotted(caption, x, y):
+    assert (units.quantity_of(units.plotted(caption, "X")), units.quantity_of(units.plotted(caption, "Y_Left"))) == (x, y)
