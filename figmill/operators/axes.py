@@ -10,6 +10,8 @@ bin whose first detection comes first.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from figmill.functions import values as v
@@ -119,6 +121,91 @@ def fit(cands: DataFrame, votes: DataFrame) -> DataFrame:
     return inl.groupBy(*keys).agg(F.first("is_log").alias("is_log"), F.coalesce(F.regr_slope("t", "px"), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept("t", "px"), F.avg("t")).alias("intercept"), F.count(F.lit(1)).alias("inliers"))
 
 
+#: Labels of an axis up to which its model is worked out in one row; larger axes take the way of ``aligned``, ``log_votes`` and ``fit``.
+FOLD = 1000
+_MODEL = "struct<is_log: boolean, slope: double, intercept: double, inliers: long, line: double>"
+
+
+def _near_line(cross: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which labels of an axis ``aligned`` keeps."""
+    if len(cross) < 3:
+        return np.ones(len(cross), bool)
+    bins = np.floor(cross / BIN)
+    names, index, n = np.unique(bins, return_inverse=True, return_counts=True)
+    full = np.flatnonzero(n >= max(3.0, n.max() * 0.5))
+    pick = full[0] if len(full) else min(np.flatnonzero(n == n.max()), key=lambda b: ids[index == b].min())
+    return np.abs(cross - np.median(cross[index == pick])) < 30.0
+
+
+def _line_of(px: np.ndarray, t: np.ndarray, ids: np.ndarray) -> tuple[float, float, int]:
+    """slope, intercept, inliers as ``fit`` has them."""
+    order = np.lexsort((ids, px))
+    px, t, ids = px[order], t[order], ids[order]
+    pairs = [(int(ids[i]), int(ids[j]), px[i], t[i], (t[j] - t[i]) / (px[j] - px[i])) for k in (1, 2, 3) for i, j in zip(range(len(px)), range(k, len(px))) if px[j] != px[i]]
+    pairs.sort(key=lambda p: ((p[0] * 31 + p[1] * 17) % 1009, p[0], p[1]))
+    near = np.ones(len(px), bool)
+    if pairs := pairs[:TRIALS]:
+        a = np.array([p[4] for p in pairs])
+        b = np.array([p[3] - p[4] * p[2] for p in pairs])
+        agree = np.abs(a[:, None] * px + b[:, None] - t) <= RESIDUAL
+        hits = agree.sum(axis=1)
+        near = agree[min(range(len(pairs)), key=lambda q: (-hits[q], pairs[q][0], pairs[q][1]))]
+    x, y = px[near], t[near]
+    spread = ((x - x.mean()) ** 2).sum()
+    slope = float(((x - x.mean()) * (y - y.mean())).sum() / spread) if spread else 0.0
+    return slope, float(y.mean() - slope * x.mean()), int(near.sum())
+
+
+def _model_of(axis: str, force: bool | None, ids: np.ndarray, cx: np.ndarray, cy: np.ndarray, value: np.ndarray, power: np.ndarray) -> dict:
+    kept = _near_line(cy if axis == "x" else cx, ids)
+    ids, cx, cy, value, power = ids[kept], cx[kept], cy[kept], value[kept], power[kept]
+    is_log = bool(force) if force is not None else len(ids) >= 2 and bool(power.mean() > 0.5)
+    px, t, out = cx if axis == "x" else cy, value, {"is_log": is_log, "line": float(np.median(cx)) if len(cx) else None}
+    if is_log:
+        whole = (np.abs(value) < 15) & (value == np.floor(value))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(whole, value, np.where(value > 0, np.log10(value), np.nan))
+        px, t, ids = px[~np.isnan(t)], t[~np.isnan(t)], ids[~np.isnan(t)]
+    if len(t) >= 3:
+        out["slope"], out["intercept"], out["inliers"] = _line_of(px, t, ids)
+    return out
+
+
+def models(cands: DataFrame, modes: DataFrame | None = None, fold: int = FOLD) -> DataFrame:
+    """axis, is_log, slope, intercept, inliers, line of every axis with labels: alignment, vote and fit in one step. slope
+    is null where an axis has no model; line is the median x of its aligned labels.
+
+    The labels of an axis, a few, meet in one shuffle. Axes of over ``fold`` labels are first looked for and take the
+    relational way, with the same result. ``modes`` is as in ``log_votes``."""
+    keys = [*FIGURE, "axis"]
+    cands = cut(cands)  # its groups are counted first
+    large = cands.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).select(*(F.col(k).alias(f"{k}_") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    some = not large.isEmpty()
+    small = cands.join(large, same, "left_anti") if some else cands
+
+    @F.pandas_udf(_MODEL)
+    def model(axis: pd.Series, force: pd.Series, ids: pd.Series, cx: pd.Series, cy: pd.Series, value: pd.Series, power: pd.Series) -> pd.DataFrame:
+        rows = [_model_of(*x) for x in zip(axis, force, ids, cx, cy, value, power)]
+        out = pd.DataFrame(rows, columns=["is_log", "slope", "intercept", "inliers", "line"], index=axis.index)
+        return out.astype({"inliers": "Int64"})
+
+    one = F.struct("det_id", "cx", "cy", "value", F.coalesce(v.is_log_text(F.col("text")), F.lit(False)).alias("power"))
+    groups = small.groupBy(*keys).agg(F.collect_list(one).alias("labels"))
+    forced = F.lit(None).cast("boolean")
+    if modes is not None:
+        groups = groups.join(modes, FIGURE, "left")
+        forced = F.when((F.col("axis") != "x") & F.coalesce("heatmap", F.lit(False)), F.lit(False)).when((F.col("axis") == "x") & F.coalesce("log_x", F.lit(False)), F.lit(True))
+    folded = groups.select(*keys, model("axis", forced, *(f"labels.{c}" for c in ("det_id", "cx", "cy", "value", "power"))).alias("m")).select(*keys, "m.*")
+    if not some:
+        return folded
+    near = cut(aligned(cands.join(large, same, "left_semi")))
+    lines = near.groupBy(*keys).agg(F.median("cx").alias("line"))
+    votes = log_votes(near, modes)
+    found = fit(near, votes).select(*keys, "slope", "intercept", "inliers")
+    return folded.unionByName(votes.join(found, keys, "left").join(lines, keys).select(*folded.columns))
+
+
 def axis_lines(cands: DataFrame) -> DataFrame:
     """line_yl, line_yr: median x of the labels of the vertical axes."""
     cx = lambda a: F.median(F.when(F.col("axis") == a, F.col("cx")))

@@ -74,13 +74,21 @@ def tile_to_image(dets: DataFrame, tiles: DataFrame) -> DataFrame:
 FOLD = 2000
 
 
-def suppressed(dets: DataFrame, threshold: float = 0.5, fold: int = FOLD) -> DataFrame:
+def has_crowded(dets: DataFrame, fold: int = FOLD) -> bool:
+    """Is there a figure of over ``fold`` boxes?"""
+    return not dets.groupBy(*FIGURE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).isEmpty()
+
+
+def suppressed(dets: DataFrame, threshold: float = 0.5, fold: int | None = FOLD) -> DataFrame:
     """Greedy suppression of overlaps within a label: the most confident box stays, boxes that overlap a kept one by
     an IoU over the threshold (or equal it) go.
 
     The boxes of a figure and label meet in one shuffle and are folded in the order of their confidence. Groups of over
-    ``fold`` boxes are first looked for and take another way with the same result (``_suppressed_on_grid``)."""
+    ``fold`` boxes are first looked for and take another way with the same result (``_suppressed_on_grid``); with None there
+    are none, as the caller knows."""
     keys = [*FIGURE, "label"]
+    if fold is None:
+        return _folded(dets, keys, threshold)
     large = dets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).select(*(F.col(k).alias(f"{k}_") for k in keys))
     if large.isEmpty():
         return _folded(dets, keys, threshold)
@@ -94,12 +102,16 @@ def _folded(dets: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     least, most = (lambda a, b, c: F.least(a[c], b[c])), (lambda a, b, c: F.greatest(a[c], b[c]))
     area = lambda x: (x["x2"] - x["x1"]) * (x["y2"] - x["y1"])
 
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+
     def covers(k: Column, x: Column) -> Column:
         common = F.greatest(F.lit(0.0), least(k, x, "x2") - most(k, x, "x1")) * F.greatest(F.lit(0.0), least(k, x, "y2") - most(k, x, "y1"))
         equal = (k["x1"] == x["x1"]) & (k["y1"] == x["y1"]) & (k["x2"] == x["x2"]) & (k["y2"] == x["y2"])
         return F.coalesce(F.try_divide(common, area(k) + area(x) - common) > threshold, F.lit(False)) | F.coalesce(equal, F.lit(False))
 
-    step = lambda kept, x: F.when(F.exists(kept, lambda k: covers(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
+    step = lambda kept, x: F.when(known & F.exists(kept, lambda k: covers(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
     groups = dets.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("all_"))
     kept = groups.select(*keys, F.explode(F.reduce("all_", F.slice("all_", 1, 0), step)).alias("k_"))
     return kept.select(*(F.col(c) if c in keys else F.col(f"k_.{c}").alias(c) for c in dets.columns))
@@ -146,35 +158,70 @@ def unnested_set(dets: DataFrame, at_least: float = 0.8) -> DataFrame:
     return dets.join(goes, "det_id", "left_anti").select(*dets.columns)
 
 
-def unnested(dets: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """The sequential rule: boxes are taken in order, each drops the smaller ones it covers and goes itself if a later or
-    earlier kept box of its size or larger covers it. Only boxes with a covered pair are gathered, per figure."""
-    p = covered_pairs(dets, at_least).select(F.col("a_paper_id").alias("paper_id"), F.col("a_figure_id").alias("figure_id"), F.col("a_det_id").alias("a"), F.col("b_det_id").alias("b"), F.signum(g.area("b_") - g.area("a_")).cast("int").alias("sign"))
+def unnested(dets: DataFrame, at_least: float = 0.8, fold: int | None = FOLD) -> DataFrame:
+    """The sequential rule: boxes are taken in the order of det_id, each drops the smaller ones it covers and goes itself if a
+    kept box of its size or larger covers it.
 
-    def gone_of(pairs: np.ndarray) -> list[int]:
-        near: dict[int, list[tuple[int, int]]] = {}
-        for x in pairs:
-            a, b, s = x["a"], x["b"], x["sign"]
-            near.setdefault(a, []).append((b, s))
-            near.setdefault(b, []).append((a, -s))
-        gone: set[int] = set()
-        for i in sorted(near):
-            if i in gone:
+    The boxes of a figure meet in one shuffle. Figures of over ``fold`` boxes are first looked for and take another way with
+    the same result, in which only their covered pairs are gathered; with None there are none."""
+    if fold is None:
+        return _unnested_folded(dets, at_least)
+    large = dets.groupBy(*FIGURE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).select(*(F.col(k).alias(f"{k}_") for k in FIGURE))
+    if large.isEmpty():
+        return _unnested_folded(dets, at_least)
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in FIGURE]
+    return _unnested_folded(dets.join(large, same, "left_anti"), at_least).unionByName(_unnested_by_pairs(dets.join(large, same, "left_semi"), at_least))
+
+
+def _gone(firsts: np.ndarray, seconds: np.ndarray, signs: np.ndarray) -> list[int]:
+    """What the sequential rule drops, from covered pairs and the sign of the second's area less the first's."""
+    near: dict[int, list[tuple[int, int]]] = {}
+    for a, b, s in zip(firsts.tolist(), seconds.tolist(), signs.tolist()):
+        near.setdefault(a, []).append((b, s))
+        near.setdefault(b, []).append((a, -s))
+    gone: set[int] = set()
+    for i in sorted(near):
+        if i in gone:
+            continue
+        for j, sign in sorted(near[i]):
+            if j in gone:
                 continue
-            for j, sign in sorted(near[i]):
-                if j in gone:
-                    continue
-                if sign < 0:
-                    gone.add(j)
-                else:
-                    gone.add(i)
-                    break
-        return sorted(gone)
+            if sign < 0:
+                gone.add(j)
+            else:
+                gone.add(i)
+                break
+    return sorted(gone)
+
+
+def _unnested_folded(dets: DataFrame, at_least: float) -> DataFrame:
+    @F.pandas_udf("array<long>")
+    def dropped(ids: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        out = []
+        for i, a, b, c, d in zip(ids, x1, y1, x2, y2):
+            a, b, c, d = (np.asarray(x, dtype=float) for x in (a, b, c, d))
+            area = (c - a) * (d - b)
+            common = np.maximum(0, np.minimum.outer(c, c) - np.maximum.outer(a, a)) * np.maximum(0, np.minimum.outer(d, d) - np.maximum.outer(b, b))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                first, second = np.nonzero(np.triu((common > 0) & (common / np.minimum.outer(area, area) > at_least), 1))
+            out.append(_gone(i[first], i[second], np.sign(area[second] - area[first]).astype(int)) if len(first) else [])
+        return pd.Series(out)
+
+    rest = [c for c in dets.columns if c not in (*FIGURE, "det_id")]
+    groups = dets.groupBy(*FIGURE).agg(F.collect_list(F.struct("det_id", *rest)).alias("all_"))
+    known = F.col(FIGURE[0]).isNotNull() & F.col(FIGURE[1]).isNotNull()
+    gone = F.when(known, dropped(*(f"all_.{c}" for c in ("det_id", *BOX))))
+    kept = groups.withColumn("gone_", gone).select(*FIGURE, F.explode(F.filter("all_", lambda x: ~F.coalesce(F.array_contains("gone_", x["det_id"]), F.lit(False)))).alias("k_"))
+    return kept.select(*(F.col(c) if c in FIGURE else F.col(f"k_.{c}").alias(c) for c in dets.columns))
+
+
+def _unnested_by_pairs(dets: DataFrame, at_least: float) -> DataFrame:
+    p = covered_pairs(dets, at_least).select(F.col("a_paper_id").alias("paper_id"), F.col("a_figure_id").alias("figure_id"), F.col("a_det_id").alias("a"), F.col("b_det_id").alias("b"), F.signum(g.area("b_") - g.area("a_")).cast("int").alias("sign"))
 
     @F.pandas_udf("array<long>")
-    def dropped(pairs: pd.Series) -> pd.Series:
-        return pairs.map(gone_of)
+    def dropped(a: pd.Series, b: pd.Series, sign: pd.Series) -> pd.Series:
+        return pd.Series([_gone(*x) for x in zip(a, b, sign)])
 
     per = p.groupBy(*FIGURE).agg(F.collect_list(F.struct("a", "b", "sign")).alias("pairs"))
-    goes = per.select(F.explode(dropped("pairs")).alias("det_id"))
+    goes = per.select(F.explode(dropped("pairs.a", "pairs.b", "pairs.sign")).alias("det_id"))
     return dets.join(goes, "det_id", "left_anti").select(*dets.columns)

@@ -39,7 +39,8 @@ def cleaned(dets: DataFrame) -> DataFrame:
     """What is mapped of raw detections: overlaps suppressed, doubtful boxes of crowded figures and nested boxes dropped.
 
     The rows are written once, for the steps of the mapping read them several times."""
-    return cut(detect.unnested(detect.dynamic_confidence(detect.suppressed(dets))))
+    fold = detect.FOLD if detect.has_crowded(dets) else None  # looked for once
+    return cut(detect.unnested(detect.dynamic_confidence(detect.suppressed(dets, fold=fold)), fold=fold))
 
 
 def mapped(dets: DataFrame, texts: DataFrame, series: DataFrame, modes: DataFrame | None = None) -> DataFrame:
@@ -48,14 +49,16 @@ def mapped(dets: DataFrame, texts: DataFrame, series: DataFrame, modes: DataFram
     ``modes`` (figure, heatmap, log_x) says which figures are heatmaps: their y axes are linear and their labels inside the
     plot are values of points. The three models of a figure become one row, so points are joined once."""
     bounds, dual = axes.plot_bounds(dets), axes.dual_axis(dets)
-    cands = cut(axes.aligned(axes.axis_candidates(dets, texts, bounds)))
-    models = axes.fit(cands, axes.log_votes(cands, modes))
-    per = models.groupBy(*FIGURE).agg(*(F.first(F.when(F.col("axis") == a, F.struct("is_log", "slope", "intercept")), ignorenulls=True).alias(a) for a in ("x", "yl", "yr")))
-    points = axes.without_ghosts(dets.where("label = 'data_point'"), axes.axis_lines(cands))
+    found = axes.models(axes.axis_candidates(dets, texts, bounds), modes)
+    of = lambda a, what: F.first(F.when(F.col("axis") == a, what), ignorenulls=True)
+    whole = F.when(F.col("slope").isNotNull(), F.struct("is_log", "slope", "intercept"))
+    # one row per figure, written once: points read its models and its lines
+    per = cut(found.groupBy(*FIGURE).agg(*(of(a, whole).alias(a) for a in ("x", "yl", "yr")), *(of(a, F.col("line")).alias(f"line_{a}") for a in ("yl", "yr"))))
+    points = axes.without_ghosts(dets.where("label = 'data_point'"), per.select(*FIGURE, "line_yl", "line_yr"))
     boxes = promoted(dets, bounds, dual, modes) if modes is not None else dets
     values = boxes.where(F.col("label").isin(VALUE_LABELS)).join(texts.select("det_id", "text"), "det_id")
     labels = nearest_value(points, values).join(values.select(F.col("det_id").alias("value_id"), v.parse_val(F.col("text")).alias("label_value")), "value_id").select("det_id", "label_value")
-    j = points.join(per, FIGURE).where("x is not null").join(dual, FIGURE, "left").join(labels, "det_id", "left").join(series.select("det_id", "series"), "det_id", "left")
+    j = points.join(per.drop("line_yl", "line_yr"), FIGURE).where("x is not null").join(dual, FIGURE, "left").join(labels, "det_id", "left").join(series.select("det_id", "series"), "det_id", "left")
     right = F.when(F.col("dual") & F.col("yr").isNotNull(), predicted("yr", F.col("cy"))).otherwise(F.col("label_value"))
     return j.select(*FIGURE, "det_id", F.coalesce("series", F.lit("Default")).alias("series"), predicted("x", F.col("cx")).alias("x"), F.when(F.col("yl").isNotNull(), predicted("yl", F.col("cy"))).alias("y_left"), right.alias("y_right_or_value"))
 

@@ -305,8 +305,7 @@ def log_target(spark, d):
 @query(f"WITH {DET}, {TXT}, {_B2}, {_CAND}, {_ALIGN}, {_VOTE}, {_FIT} SELECT paper_id, figure_id, axis, is_log, round(slope, 4) AS slope, round(intercept, 3) AS intercept, inliers FROM model WHERE slope IS NOT NULL")
 def axis_fit(spark, d):
     x = dets(spark, d)
-    c = axes.candidates(x, texts(x))
-    return axes.fit(c, axes.log_votes(c)).select(*FIGURE, "axis", "is_log", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), "inliers")
+    return axes.models(axes.axis_candidates(x, texts(x), axes.plot_bounds(x))).where("slope is not null").select(*FIGURE, "axis", "is_log", F.round("slope", 4).alias("slope"), F.round("intercept", 3).alias("intercept"), "inliers")
 
 
 _GHOST = "NOT (coalesce(line_yl <> 0 AND abs(cx - line_yl) < 10, false) OR coalesce(line_yr <> 0 AND abs(cx - line_yr) < 10, false))"

@@ -21,15 +21,18 @@ def fresh(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withColumn("content", F.xxhash64("payload")).withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["file_name", "content"]).drop("content")
 
 
-def legend_counts(stream: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
+def file_counts(stream: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """window, extractor, files: files per extractor and window of arrival."""
     return stream.withWatermark("arrived_at", delay).groupBy(F.window("arrived_at", window), "extractor").agg(F.count(F.lit(1)).alias("files"))
 
 
-def shred_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Shred what has arrived into legend items under ``out`` and stop; run again for what comes later."""
+def shred_available(stream: DataFrame, out: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Shred what has arrived into legend items under ``out`` and stop; run again for what comes later.
+
+    Files that arrive again within the delay are dropped first. Each batch has a folder of its own that is written anew if the
+    batch is repeated after a failure, so no item is there twice."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        shred.flat_legend_items(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        shred.flat_legend_items(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh(stream, delay).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

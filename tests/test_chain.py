@@ -145,3 +145,25 @@ def test_series_colours(spark):
     assert {r.series: (r.h, r.n) for r in protos.collect()} == {"A": (2.0, 2), "B": (90.0, 1)}
     p = spark.createDataFrame([("p", "f", 1, 178.0, 200.0, 200.0), ("p", "f", 2, 80.0, 200.0, 200.0)], "paper_id string, figure_id string, det_id long, h double, s double, v double")
     assert {r.det_id: r.series for r in series.nearest_series(p, protos).collect()} == {1: "A", 2: "B"}
+
+
+def test_both_ways_to_a_model_agree(spark):
+    import random
+
+    rng, rows = random.Random(6), []
+    for f in range(12):
+        for axis in ("x", "yl", "yr"):
+            for k in range(rng.choice((1, 2, 3, 6, 12))):
+                at, off = 60.0 * k + rng.random(), rng.choice((0.0, 0.0, 3.0, 45.0))
+                cx, cy = (at, 700 + off) if axis == "x" else (60 + off, at)
+                value = rng.choice((2.0 * k + 1, 2.0 * k + 1, 10.0**k, -5.0, 7000.0))
+                rows.append(("p", f"f{f}", axis, len(rows), cx, cy, rng.choice(("10^2", "1e3", "5")), value))
+    c = spark.createDataFrame(rows, "paper_id string, figure_id string, axis string, det_id long, cx double, cy double, text string, value double")
+    m = spark.createDataFrame([("p", "f0", True, False), ("p", "f1", False, True)], "paper_id string, figure_id string, heatmap boolean, log_x boolean")
+    for modes in (None, m):
+        a, b = ({(r.figure_id, r.axis): r for r in axes.models(c, modes, fold=n).collect()} for n in (1000, 2))
+        assert set(a) == set(b) and any(r.slope is not None for r in a.values()) and any(r.slope is None for r in a.values())
+        for k, r in a.items():
+            assert (r.is_log, r.inliers) == (b[k].is_log, b[k].inliers) and r.line == pytest.approx(b[k].line)
+            assert r.slope == (None if b[k].slope is None else pytest.approx(b[k].slope, abs=1e-9)) and r.intercept == (None if b[k].intercept is None else pytest.approx(b[k].intercept))
+    assert axes.models(c.limit(0)).count() == 0

@@ -48,7 +48,7 @@ def test_stream(spark, tmp_path, data):
     src = str(tmp_path / "in")
     raw = spark.read.parquet(f"{data}/raw_packets.parquet").limit(20)
     raw.write.parquet(src)
-    stream = ingest.fresh(ingest.arriving(spark, src))
+    stream = ingest.arriving(spark, src)
     out = str(tmp_path / "items")
     for _ in range(2):
         ingest.shred_available(stream, out, str(tmp_path / "cp")).awaitTermination(120)
@@ -56,3 +56,12 @@ def test_stream(spark, tmp_path, data):
     from figmill.operators import shred
 
     assert spark.read.parquet(out).count() == shred.flat_legend_items(unique).count()
+
+
+def test_files_of_any_shape(spark):
+    packet = {"meta": {"figure_id": "a"}, "raw_data": [{"X": 1.0}]}
+    rows = [(1, json.dumps(packet)), (2, json.dumps([packet, packet, {"other": 1}])), (3, json.dumps({"v": 2, "packets": [packet]})), (4, '[{"Series": "s", "X": NaN, "Y_Right/Data_Value": 3}, {"X": "1"}]'), (5, None), (6, ""), (7, '{"meta":'), (8, json.dumps({"raw_data": {"X": [1]}})), (9, "[]"), (10, "3")]
+    raw = spark.createDataFrame(rows, "file_id long, payload string")
+    got = sorted((r.file_id, r.packet.meta.figure_id if r.packet.meta else None, None if r.packet.raw_data is None else len(r.packet.raw_data)) for r in recorded.packets(raw).collect())
+    assert got == [(1, "a", 1), (2, "a", 1), (2, "a", 1), (3, "a", 1), (8, None, None)]
+    assert sorted(((r.file_id, r.series, r.x, r.y_right) for r in recorded.mapped_points(raw).collect()), key=str) == [(4, "s", None, 3.0), (4, None, None, None)]
