@@ -44,6 +44,7 @@ STOP_WORDS = [
     "of", "the", "and", "in", "with", "for", "to", "by", "on", "at", "figure", "fig", "table", "graph",
     "yield", "selectivity", "conversion", "temperature", "pressure", "time", "min", "h", "c", "k", "mpa", "bar",
 ]
+#: Signs that are cut from the ends of a term.
 TERM_EDGES = ".,;:()[]{}"
 
 
@@ -83,8 +84,23 @@ def mime_type(path: Column) -> Column:
 
 
 def crop_kind(file: Column) -> Column:
-    """The text field that a crop belongs to by its file name, null if to none."""
+    """The text field that a crop belongs to by its file name, null if to none (fixed values, in this order)."""
     return (
         F.when(file.contains("x_axis_title"), "x_axis_title").when(file.contains("y_axis_title"), "y_axis_title").when(file.contains("chart_text"), "chart_text")
         .when(file.contains("caption"), "chart_text").when(file.contains("legend"), "legend_text")
     )
+
+
+def base_name(file: Column) -> Column:
+    """A file's name without its folders."""
+    return F.regexp_replace(file, "^.*/", "")
+
+
+def page_of_file(file: Column) -> Column:
+    """The page part (page_<n>) of a file's name, "" if there is none."""
+    return F.regexp_extract(file, "(page_[0-9]+)_", 1)
+
+
+def figure_of_file(file: Column, suffix: str = "_evidence.json") -> Column:
+    """The figure that a file is about: its base name without the suffix."""
+    return base_name(F.replace(file, F.lit(suffix), F.lit("")))

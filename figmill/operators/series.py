@@ -24,12 +24,19 @@ def hue_distance(a: str, b: str) -> Column:
     return F.lit(4.0) * hue + F.lit(1.5) * F.abs(F.col(f"{a}s") - F.col(f"{b}s")) / 255.0 + F.lit(0.5) * F.abs(F.col(f"{a}v") - F.col(f"{b}v")) / 255.0
 
 
-def marker_texts(dets: DataFrame) -> DataFrame:
-    """marker_id, text_id: the nearest text at the right of each legend marker (within three heights up or down)."""
-    m = dets.where("label = 'legend_marker'").select(*FIGURE, F.col("det_id").alias("marker_id"), F.col("cx").alias("mx"), F.col("cy").alias("my"), (F.col("y2") - F.col("y1")).alias("mh"))
-    t = dets.where("label = 'text'").select(*FIGURE, F.col("det_id").alias("text_id"), F.col("cx").alias("tx"), F.col("cy").alias("ty"), (F.col("y2") - F.col("y1")).alias("th"))
+def marker_texts(dets: DataFrame, band: float = 64.0) -> DataFrame:
+    """marker_id, text_id: the nearest text at the right of each legend marker (within three heights up or down).
+
+    Both sides meet on the bands of a figure that three heights around them touch, not with all texts of the figure."""
+
+    def side(label: str, p: str, id_: str) -> DataFrame:
+        h, y = F.col("y2") - F.col("y1"), F.col("cy")
+        bands = F.sequence(F.floor((y - 3 * h) / band), F.greatest(F.floor((y - 3 * h) / band), F.floor((y + 3 * h) / band)))
+        return dets.where(F.col("label") == label).select(*FIGURE, F.col("det_id").alias(id_), F.col("cx").alias(f"{p}x"), y.alias(f"{p}y"), h.alias(f"{p}h"), F.explode(bands).alias("band_"))
+
     near = (F.col("tx") >= F.col("mx") - 10) & (F.abs(F.col("ty") - F.col("my")) <= 3 * F.greatest("th", "mh"))
-    return m.join(t, FIGURE).where(near).groupBy(*FIGURE, "marker_id").agg(F.min_by("text_id", F.struct(distance(F.col("mx"), F.col("my"), F.col("tx"), F.col("ty")).alias("d"), "text_id")).alias("text_id"))
+    pairs = side("legend_marker", "m", "marker_id").join(side("text", "t", "text_id"), [*FIGURE, "band_"]).where(near)
+    return pairs.groupBy(*FIGURE, "marker_id").agg(F.min_by("text_id", F.struct(distance(F.col("mx"), F.col("my"), F.col("tx"), F.col("ty")).alias("d"), "text_id")).alias("text_id"))
 
 
 def prototypes(markers: DataFrame) -> DataFrame:

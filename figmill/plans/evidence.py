@@ -11,7 +11,7 @@ from figmill.operators import evidence
 from figmill.operators.tables import stacked
 from figmill.operators.knowledge import prompt, replies
 from figmill.session import looked_up, table
-from figmill.sources import files, recorded
+from figmill.sources import files, recorded, seams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,6 +74,14 @@ def caption_lines(spark, d):
     return evidence.caption_lines(packets(spark, d))
 
 
+@query("SELECT packet_id, CASE WHEN coalesce(meta.caption, '') = '' THEN 'Forced caption of ' || coalesce(meta.figure_id, '') ELSE meta.caption END AS caption FROM evidence_packets")
+def forced_caption(spark, d):
+    """Packets without a caption are forced to take one."""
+    p = packets(spark, d)
+    forced = p.where(F.coalesce("meta.caption", F.lit("")) == "").select("packet_id", F.concat(F.lit("Forced caption of "), F.coalesce("meta.figure_id", F.lit(""))).alias("caption"))
+    return evidence.forced_caption(p, forced).select("packet_id", F.col("meta.caption").alias("caption"))
+
+
 _PAGE = "array_to_string(list_slice(string_split({f}, '_'), 1, 2), '_')"
 
 
@@ -176,7 +184,7 @@ def fuse_wide(spark, d):
 @query("SELECT file_id, paper_id, regexp_extract(file_name, '(page_[0-9]+)_', 1) AS page, regexp_replace(file_name, '^.*/', '') AS base, regexp_replace(replace(file_name, '_evidence.json', ''), '^.*/', '') AS figure FROM raw_packets")
 def id_parse(spark, d):
     f = F.col("file_name")
-    return table(spark, d, "raw_packets").select("file_id", "paper_id", F.regexp_extract(f, "(page_[0-9]+)_", 1).alias("page"), F.regexp_replace(f, "^.*/", "").alias("base"), F.regexp_replace(F.replace(f, F.lit("_evidence.json"), F.lit("")), "^.*/", "").alias("figure"))
+    return table(spark, d, "raw_packets").select("file_id", "paper_id", v.page_of_file(f).alias("page"), v.base_name(f).alias("base"), v.figure_of_file(f).alias("figure"))
 
 
 _JSON = "try_cast(regexp_replace(payload, '\\bNaN\\b', 'null', 'g') AS JSON)"
@@ -260,6 +268,27 @@ def prompt_build(spark, d):
     return table(spark, d, "documents").select("doc_id", prompt(terms, F.col("text")).alias("prompt"))
 
 
+@query("SELECT doc_id, CASE WHEN trim(text) <> '' THEN length(text) END AS length, CASE WHEN trim(text) = '' THEN 'nothing to read' END AS error FROM documents WHERE text IS NOT NULL")
+def seam_adapter(spark, d):
+    """A model behind a seam, here one that measures a text; a row that it fails on keeps its error."""
+
+    def opened():
+        def model(text: str) -> list[dict]:
+            if not text.strip(" "):
+                raise ValueError("nothing to read")
+            return [{"length": len(text)}]
+
+        return model
+
+    return seams.Adapter(opened, "length long").apply(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+
+
+@query(f"WITH {ITEMS} SELECT packet_id, field, item_no, text FROM items WHERE packet_id IN (SELECT packet_id FROM evidence_packets WHERE meta.caption IS NOT NULL)")
+def seam_recorded(spark, d):
+    """Recorded outputs in place of a model, for the packets that ask for them."""
+    return seams.recorded(packets(spark, d).where("meta.caption is not null"), items(spark, d), "packet_id").select("packet_id", "field", "item_no", "text")
+
+
 @query(f"WITH {ITEMS} SELECT packet_id, string_agg(text, chr(10) ORDER BY field, item_no) AS text FROM items WHERE text IS NOT NULL GROUP BY packet_id")
 def doc_fulltext(spark, d):
     """The texts of a packet, one line each, in order."""

@@ -113,6 +113,28 @@ def grid_assign(spark, d):
     return tables.assigned(cells(spark, d))
 
 
+@query(
+    f"""WITH {CELLS}, {_GAP.format(n='gr', c='cy')}, {_GAP.format(n='gc', c='cx')}
+    SELECT c.cell_id, coalesce(CASE WHEN row_index > 1 THEN row_index END, r.i) AS row_index, coalesce(CASE WHEN row_index > 1 THEN col_index END, k.i) AS col_index FROM cells c
+    LEFT JOIN (SELECT cell_id, arg_min(ord, {{'d': round(abs(centre - cy), 9), 'o': ord}}) AS i FROM cells JOIN gr USING (paper_id, table_id) GROUP BY cell_id) r USING (cell_id)
+    LEFT JOIN (SELECT cell_id, arg_min(ord, {{'d': round(abs(centre - cx), 9), 'o': ord}}) AS i FROM cells JOIN gc USING (paper_id, table_id) GROUP BY cell_id) k USING (cell_id)"""
+)
+def grid_placed(spark, d):
+    """Positions of cells, of which the first rows are taken as not numbered."""
+    c = cells(spark, d)
+    some = c.withColumns({k: F.when(F.col("row_index") > 1, F.col(k)) for k in ("col_index", "row_index")})
+    return tables.placed(some).select("cell_id", "row_index", "col_index")
+
+
+@query(
+    f"""WITH {CELLS} SELECT paper_id, table_id, reason = '' AS is_valid, reason FROM (SELECT paper_id, table_id, CASE WHEN coalesce(max(score), 0) < 0.9 THEN 'Filtered by YOLO' WHEN count(*) FILTER (label = 'cell') = 0 THEN 'No cells detected'
+      WHEN count(*) FILTER (label = 'cell' AND content <> '') = 0 THEN 'No content extracted' ELSE '' END AS reason FROM cells GROUP BY ALL)"""
+)
+def table_outcome(spark, d):
+    c = cells(spark, d)
+    return tables.outcome(tables.accepted(c).select(*TABLE, F.col("is_table").alias("accepted"), F.lit(True).alias("readable")), c.where("label = 'cell'"))
+
+
 _P = ", ".join(f"coalesce(arg_max(coalesce(content, ''), cell_id) FILTER (col_index = {i}), '') AS c{i}" for i in range(6))
 
 
