@@ -188,8 +188,10 @@ def pieces(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = VOCABU
 def decode(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """doc_id, text: ids joined with their pieces; an empty list gives an empty text; one row per row."""
     table = F.broadcast(pieces(encoded.sparkSession, name, folder))
-    # rows of the same doc_id are told apart by their ids; equal rows are decoded once and given back as often
-    flat = encoded.select("doc_id", F.xxhash64("ids").alias("row"), F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
+    # rows of the same doc_id are told apart by their ids; equal rows are decoded once and given back as often. The lists are
+    # brought to their row's place before they are taken apart, so that no single token is shuffled
+    rows = encoded.select("doc_id", "ids", F.xxhash64("ids").alias("row")).repartition("doc_id", "row")
+    flat = rows.select("doc_id", "row", F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
     first = F.count_if(F.coalesce("pos", F.lit(0)) == 0).cast("int").alias("n")
     parts = flat.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("pos", F.hex("piece").alias("hex")))).alias("parts"), first)
     text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["hex"]), "")), "UTF-8").alias("text")
