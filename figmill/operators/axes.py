@@ -95,12 +95,22 @@ def log_votes(cands: DataFrame, modes: DataFrame | None = None) -> DataFrame:
 
 #: Pairs of labels tried as a line for each axis, and the residual in value units up to which a label agrees.
 TRIALS, RESIDUAL = 100, 10.0
+#: Of an axis with more pairs than trials, trial m takes the labels (m * a + b) modulo their number along the axis.
+_STEP = ((7919, 13), (104729, 7))
+
+
+def trial_pairs(n: Column) -> Column:
+    """The pairs (i, j) of labels, by their place along an axis of n, that are tried: all of them, or TRIALS spread over all."""
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(TRIALS)) - 2), lambda i: F.transform(F.sequence(i + 1, F.least(n, F.lit(TRIALS)) - 1), lambda j: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j")))))
+    (a, b), (c, d) = _STEP
+    some = F.transform(F.sequence(F.lit(0), F.lit(TRIALS - 1)), lambda m: F.struct(((m * a + b) % n).cast("long").alias("i"), ((m * c + d) % n).cast("long").alias("j")))
+    return F.when(n * (n - 1) / 2 <= TRIALS, every).otherwise(F.array_distinct(some))
 
 
 def fit(cands: DataFrame, votes: DataFrame) -> DataFrame:
     """axis, is_log, slope, intercept, inliers: a robust line through (pixel, target) of each axis.
 
-    At most TRIALS pairs of neighbouring labels (one to three places apart along the axis) are tried, like the random
+    All pairs of labels are tried or, where there are more than TRIALS, so many that are spread over all, like the random
     trials they stand for but the same in every run; the line most labels agree with wins, of equal ones that of the
     first pair, and is fitted again to these labels. An axis on which no pair makes a line is fitted to all its labels by
     least squares (a level line where they share one pixel). Work is in proportion to the labels."""
@@ -108,11 +118,13 @@ def fit(cands: DataFrame, votes: DataFrame) -> DataFrame:
     pixel = F.when(F.col("axis") == "x", F.col("cx")).otherwise(F.col("cy"))
     pts = cands.join(votes, keys).withColumn("px", pixel).withColumn("t", F.when(F.col("is_log"), v.log_target(F.col("value"))).otherwise(F.col("value"))).where("t is not null")
     w = W.partitionBy(*keys).orderBy("px", "det_id")
-    ranked = pts.select(*keys, "is_log", "det_id", "px", "t", F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("n"), *(F.lead(F.struct("det_id", "px", "t"), k).over(w).alias(f"next{k}") for k in (1, 2, 3))).where("n >= 3")
-    ranked = cut(ranked)  # read three times below
-    pairs = ranked.select(*keys, F.col("det_id").alias("i"), F.col("px").alias("px_i"), F.col("t").alias("t_i"), F.explode(F.array("next1", "next2", "next3")).alias("o")).where("o is not null and o.px <> px_i")
-    lines = pairs.select(*keys, "i", F.col("o.det_id").alias("j"), F.try_divide(F.col("o.t") - F.col("t_i"), F.col("o.px") - F.col("px_i")).alias("a"), "px_i", "t_i").withColumn("b", F.col("t_i") - F.col("a") * F.col("px_i"))
-    tried = lines.withColumn("no", F.row_number().over(W.partitionBy(*keys).orderBy((F.col("i") * 31 + F.col("j") * 17) % 1009, "i", "j"))).where(F.col("no") <= TRIALS).select(*keys, "i", "j", "a", "b")
+    ranked = pts.select(*keys, "is_log", "det_id", "px", "t", (F.row_number().over(w) - 1).cast("long").alias("r"), F.count(F.lit(1)).over(W.partitionBy(*keys)).alias("n")).where("n >= 3")
+    ranked = cut(ranked)  # read several times below
+    pairs = ranked.where("r = 0").select(*keys, F.explode(trial_pairs(F.col("n"))).alias("q")).select(*keys, "q.i", "q.j")
+    end = lambda p: ranked.select(*keys, F.col("r").alias(p), F.col("det_id").alias(f"d_{p}"), F.col("px").alias(f"px_{p}"), F.col("t").alias(f"t_{p}"))
+    ends = pairs.join(end("i"), [*keys, "i"]).join(end("j"), [*keys, "j"]).where("px_i <> px_j")
+    slope = F.try_divide(F.col("t_j") - F.col("t_i"), F.col("px_j") - F.col("px_i"))
+    tried = ends.select(*keys, F.col("d_i").alias("i"), F.col("d_j").alias("j"), slope.alias("a"), (F.col("t_i") - slope * F.col("px_i")).alias("b"))
     agree = tried.join(ranked.select(*keys, "px", "t"), keys).where(F.abs(F.col("a") * F.col("px") + F.col("b") - F.col("t")) <= RESIDUAL)
     scores = agree.groupBy(*keys, "i", "j", "a", "b").agg(F.count(F.lit(1)).alias("hits"))
     best = scores.groupBy(*keys).agg(F.max_by(F.struct("a", "b"), F.struct("hits", -F.col("i"), -F.col("j"))).alias("m"))
@@ -141,10 +153,11 @@ def _line_of(px: np.ndarray, t: np.ndarray, ids: np.ndarray) -> tuple[float, flo
     """slope, intercept, inliers as ``fit`` has them."""
     order = np.lexsort((ids, px))
     px, t, ids = px[order], t[order], ids[order]
-    pairs = [(int(ids[i]), int(ids[j]), px[i], t[i], (t[j] - t[i]) / (px[j] - px[i])) for k in (1, 2, 3) for i, j in zip(range(len(px)), range(k, len(px))) if px[j] != px[i]]
-    pairs.sort(key=lambda p: ((p[0] * 31 + p[1] * 17) % 1009, p[0], p[1]))
+    n, ((e, f), (g, h)) = len(px), _STEP
+    chosen = [(i, j) for i in range(n) for j in range(i + 1, n)] if n * (n - 1) / 2 <= TRIALS else [((m * e + f) % n, (m * g + h) % n) for m in range(TRIALS)]
+    pairs = [(int(ids[i]), int(ids[j]), px[i], t[i], (t[j] - t[i]) / (px[j] - px[i])) for i, j in chosen if px[j] != px[i]]
     near = np.ones(len(px), bool)
-    if pairs := pairs[:TRIALS]:
+    if pairs:
         a = np.array([p[4] for p in pairs])
         b = np.array([p[3] - p[4] * p[2] for p in pairs])
         agree = np.abs(a[:, None] * px + b[:, None] - t) <= RESIDUAL

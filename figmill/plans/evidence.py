@@ -330,10 +330,9 @@ def name_filter(spark, d):
     return items(spark, d).where(f.contains("title") & ~f.contains("y_axis")).select("source_file").distinct()
 
 
-@query("SELECT file_id, regexp_replace(file_name, '^([^/]+)/(.*)$', 'evidence/\\1_\\2') AS path, 'lab_pub_' || regexp_replace(file_name, '^.*/', '') AS copy FROM raw_packets WHERE NOT contains(file_name, '_extraction')")
+@query("SELECT file_id, regexp_replace(file_name, '^([^/]+)/(.*)$', 'evidence/\\1_\\2') AS path, 'lab_pub_' || regexp_replace(file_name, '^.*/', '') AS copy FROM raw_packets WHERE NOT contains(file_name, '_extraction') AND NOT contains(file_name, '_9_')")
 def path_rename(spark, d):
-    f = F.col("file_name")
-    return table(spark, d, "raw_packets").where(~f.contains("_extraction")).select("file_id", F.regexp_replace(f, "^([^/]+)/(.*)$", "evidence/$1_$2").alias("path"), F.concat(F.lit("lab_pub_"), F.regexp_replace(f, "^.*/", "")).alias("copy"))
+    return files.gathered(table(spark, d, "raw_packets"), "evidence", "lab_pub_", ["_extraction", "_9_"]).select("file_id", "path", "copy")
 
 
 @query("SELECT cell_id, list_count(list_filter(string_split('Cell ' || CAST(cell_idx AS VARCHAR) || ' [' || coalesce(content, '') || ']:' || chr(10) || coalesce(content, ''), chr(10)), lambda l: contains(l, 'Cell ') AND contains(l, ']:'))) AS lines FROM table_cells")

@@ -240,8 +240,9 @@ _VOTE = "vote AS (SELECT paper_id, figure_id, axis, count(*) >= 2 AND avg(CASE W
 _TARGET = "CASE WHEN is_log THEN CASE WHEN abs(val) < 15 AND val = floor(val) THEN val WHEN val > 0 THEN log10(val) END ELSE val END"
 _FIT = f"""pt0 AS (SELECT al.paper_id, al.figure_id, al.axis, det_id, is_log, CASE WHEN al.axis = 'x' THEN cx ELSE cy END AS px, {_TARGET} AS t FROM al JOIN vote USING (paper_id, figure_id, axis)),
     pt AS (SELECT *, row_number() OVER (PARTITION BY paper_id, figure_id, axis ORDER BY px, det_id) AS k, count(*) OVER (PARTITION BY paper_id, figure_id, axis) AS n FROM pt0 WHERE t IS NOT NULL),
-    ln AS (SELECT a.paper_id, a.figure_id, a.axis, a.det_id AS i, b.det_id AS j, (b.t - a.t) / (b.px - a.px) AS sl, a.px AS ipx, a.t AS it FROM pt a JOIN pt b ON a.paper_id = b.paper_id AND a.figure_id = b.figure_id AND a.axis = b.axis AND b.k BETWEEN a.k + 1 AND a.k + 3 WHERE a.n >= 3 AND a.px <> b.px),
-    tr AS (SELECT paper_id, figure_id, axis, i, j, sl, it - sl * ipx AS ic FROM ln QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id, axis ORDER BY (i * 31 + j * 17) % 1009, i, j) <= 100),
+    pq AS (SELECT paper_id, figure_id, axis, unnest(CASE WHEN n * (n - 1) / 2 <= 100 THEN flatten(list_transform(range(0, n), lambda i: list_transform(range(i + 1, n), lambda j: {{'i': i, 'j': j}}))) ELSE list_distinct(list_transform(range(0, 100), lambda m: {{'i': (m * 7919 + 13) % n, 'j': (m * 104729 + 7) % n}})) END) AS q FROM pt WHERE n >= 3 AND k = 1),
+    tr AS (SELECT a.paper_id, a.figure_id, a.axis, a.det_id AS i, b.det_id AS j, (b.t - a.t) / (b.px - a.px) AS sl, a.t - (b.t - a.t) / (b.px - a.px) * a.px AS ic FROM pq JOIN pt a ON a.paper_id = pq.paper_id AND a.figure_id = pq.figure_id AND a.axis = pq.axis AND a.k = pq.q.i + 1
+      JOIN pt b ON b.paper_id = pq.paper_id AND b.figure_id = pq.figure_id AND b.axis = pq.axis AND b.k = pq.q.j + 1 WHERE a.px <> b.px),
     sc AS (SELECT tr.paper_id, tr.figure_id, tr.axis, i, j, sl, ic, count(*) AS hits FROM tr JOIN pt ON tr.paper_id = pt.paper_id AND tr.figure_id = pt.figure_id AND tr.axis = pt.axis WHERE abs(sl * px + ic - t) <= 10.0 GROUP BY ALL),
     be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY paper_id, figure_id, axis ORDER BY hits DESC, i, j) = 1),
     model AS (SELECT pt.paper_id, pt.figure_id, pt.axis, bool_or(is_log) AS is_log, coalesce(regr_slope(t, px), 0.0) AS slope, coalesce(regr_intercept(t, px), avg(t)) AS intercept, count(*) AS inliers FROM pt LEFT JOIN be ON pt.paper_id = be.paper_id AND pt.figure_id = be.figure_id AND pt.axis = be.axis WHERE pt.n >= 3 AND (sl IS NULL OR abs(sl * px + ic - t) <= 10.0) GROUP BY ALL)"""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from figmill.functions.values import mime_type
+from figmill.functions.values import base_name, mime_type
 from figmill.sources.recorded import PACKET, POINTS
 
 
@@ -58,6 +58,17 @@ def write_fused(rows: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").partitionBy("paper_id", "figure_id").text(path)
 
 
+def gathered(files_: DataFrame, folder: str, prefix: str = "", exclude: list[str] | None = None) -> DataFrame:
+    """files_ (file_name, further columns) with path and copy: where each file goes when the files of all papers are brought
+    into one folder, named by paper and file, and its name under a prefix. Names that contain one of ``exclude`` are left
+    out. Only the plan of the moves is made: no file is touched."""
+    f = F.col("file_name")
+    kept = files_.where(f.isNotNull())
+    for word in exclude or []:
+        kept = kept.where(~f.contains(word))
+    return kept.withColumns({"path": F.regexp_replace(f, "^([^/]+)/(.*)$", f"{folder}/$1_$2"), "copy": F.concat(F.lit(prefix), base_name(f))})
+
+
 def data_uri(path: Column, content: Column) -> Column:
     """An image as a base64 data URI, its type by its name, without the line breaks of mail."""
     return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.regexp_replace(F.base64(content), "[\r\n]", ""))

@@ -153,7 +153,7 @@ def test_both_ways_to_a_model_agree(spark):
     rng, rows = random.Random(6), []
     for f in range(12):
         for axis in ("x", "yl", "yr"):
-            for k in range(rng.choice((1, 2, 3, 6, 12))):
+            for k in range(rng.choice((1, 2, 3, 6, 12, 30))):
                 at, off = 60.0 * k + rng.random(), rng.choice((0.0, 0.0, 3.0, 45.0))
                 cx, cy = (at, 700 + off) if axis == "x" else (60 + off, at)
                 value = rng.choice((2.0 * k + 1, 2.0 * k + 1, 10.0**k, -5.0, 7000.0))
