@@ -278,14 +278,14 @@ def judged_words(counts: DataFrame, sample: list[tuple[str, float]], editor: Edi
     asked = sorted({w for w, _ in harm} | {w for w, _ in sample})
     own = counts.where("kind = 'w'").select("key", "n")
     real = _mapped(own, lambda w, n: [(w, n, k, False) for k in keys(w)] if is_word(w) else [], "w string, n double, k string, train boolean")
-    extra = spark.createDataFrame([(w, 0.0, k, True) for w in asked for k in keys(w)], "w string, n double, k string, train boolean")
+    extra = _mapped(spark.createDataFrame([(w,) for w in asked], "w string").repartition(1), lambda w: [(w, 0.0, k, True) for k in keys(w)], "w string, n double, k string, train boolean")
     meet = cut(real)
     right = meet.where("n >= 2").select("k", F.col("w").alias("v"), F.col("n").alias("have"))
     pairs = cut(meet.unionByName(extra).join(right, "k").where("have > n and (train or v <> w)").select("w", "n", "train", "v", "have").distinct())
 
     # training, on what the sample meets
     near: dict[str, list[tuple[str, float]]] = {}
-    for r in pairs.where("train").select("w", "v", "have").toLocalIterator():
+    for r in sorted(pairs.where("train").select("w", "v", "have").collect()):
         near.setdefault(r.w, []).append((r.v, r.have))
     count = dict(sample)
 
@@ -371,7 +371,7 @@ def judged_pairs(counts: DataFrame, judged: DataFrame, sample: list[tuple[str, f
     slot = lambda i: F.coalesce(F.max(F.when(F.col("slot") == i, F.col("seen"))), F.lit(0.0)).alias(f"c{i}")
     full = cut(looked.groupBy("no", "key").agg(F.max("n").alias("n"), *map(slot, range(4))))
     shown = []
-    for r in full.where("no is not null").orderBy("no").toLocalIterator():
+    for r in sorted(full.where("no is not null").collect(), key=lambda r: r.no):
         first, mark, second, is_break, unseen = examples[r.no]
         shown.append((editor.end_features(first, second, mark, 0.0 if unseen else r.c0, r.c1, r.c2, r.c3), is_break))
     editor.ends = Perceptron.train(shown, 6, seed)
@@ -505,7 +505,7 @@ def learned(items: DataFrame) -> tuple[Repairer, dict[str, DataFrame]]:
         yield pd.DataFrame(list(part.items()), columns=["t", "k"])
 
     # no more rows than there are trigrams of Latin letters and digits
-    for r in word_rows.mapInPandas(grams, "t string, k double").groupBy("t").agg(F.round(F.sum("k"), 4).alias("k")).toLocalIterator():
+    for r in word_rows.mapInPandas(grams, "t string, k double").groupBy("t").agg(F.round(F.sum("k"), 4).alias("k")).collect():
         tri[r.t] = r.k
     total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0.0
     sample = _sample(counts)
