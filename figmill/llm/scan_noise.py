@@ -138,24 +138,25 @@ _TEXTS = ("x_axis_title", "chart_text", "legend_text")
 
 
 def items_of(docs: DataFrame, packets: DataFrame) -> DataFrame:
-    """origin, row_id, field, item_no, text, record: the texts of documents and, each with its place in its array, the
-    captions and the texts of x-axis titles, charts and legends of packets. ``record`` is a hash of all texts of the row."""
-    one = docs.select(F.lit("document").alias("origin"), F.col("doc_id").alias("row_id"), F.lit("text").alias("field"), F.lit(0).alias("item_no"), "text", F.xxhash64("text").alias("record"))
+    """origin, row_id, field, item_no, text, record, head: the texts of documents and, each with its place in its array, the
+    captions and the texts of x-axis titles, charts and legends of packets. ``record`` is a hash of all texts of the row,
+    ``head`` is true for one of them."""
+    one = docs.select(F.lit("document").alias("origin"), F.col("doc_id").alias("row_id"), F.lit("text").alias("field"), F.lit(0).alias("item_no"), "text", F.xxhash64("text").alias("record"), F.lit(True).alias("head")).where("length(text) > 0")
     fields = [F.array(F.struct(F.lit("caption").alias("field"), F.lit(0).alias("item_no"), F.col("meta.caption").alias("text")))]
     for f in _TEXTS:
         name = F.lit(f).alias("field")
         at = F.transform(F.col(f"text_evidence.{f}.text"), lambda x, i: F.struct(name, i.alias("item_no"), x.alias("text")))  # noqa: B023
         fields.append(F.coalesce(at, F.array().cast("array<struct<field: string, item_no: int, text: string>>")))
     record = F.xxhash64("meta.caption", *(F.col(f"text_evidence.{f}.text") for f in _TEXTS))
-    rows = packets.select(F.lit("packet").alias("origin"), F.col("packet_id").alias("row_id"), record.alias("record"), F.explode(F.concat(*fields)).alias("i"))
-    return one.unionByName(rows.select("origin", "row_id", "i.field", "i.item_no", "i.text", "record")).where("length(text) > 0")
+    full = F.filter(F.concat(*fields), lambda x: F.length(x["text"]) > 0)
+    rows = packets.select(F.lit("packet").alias("origin"), F.col("packet_id").alias("row_id"), record.alias("record"), F.posexplode(full).alias("pos", "i"))
+    return one.unionByName(rows.select("origin", "row_id", "i.field", "i.item_no", "i.text", "record", (F.col("pos") == 0).alias("head")))
 
 
 def weighted(items: DataFrame) -> DataFrame:
     """origin, text, weight: a text of a record with k copies counts 1/k, so that copies together count once and no text
     need be shuffled. The records with copies, two numbers each, are joined by broadcast while they are few."""
-    first = items.where("field = 'text' or field = 'caption' or item_no = 0").groupBy("origin", "record", "row_id", "field", "item_no").agg(F.count(F.lit(1)).alias("k"))
-    copies = cut(first.groupBy("origin", "record", "field", "item_no").agg(F.sum("k").alias("k")).groupBy("origin", "record").agg(F.max("k").alias("k")).where("k > 1"))
+    copies = cut(items.where("head").groupBy("origin", "record").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     few = copies.limit(SENT_COPIES + 1).count() <= SENT_COPIES
     return items.join(F.broadcast(copies) if few else copies, ["origin", "record"], "left").select("origin", "text", F.coalesce(F.lit(1.0) / F.col("k"), F.lit(1.0)).alias("weight"))
 
